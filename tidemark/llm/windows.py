@@ -33,6 +33,8 @@ from . import common as C
 
 #: Tokens that are worked on at once.
 BLOCK = 1 << 18
+#: Anchor hashes of one bucket.
+BUCKET_BYTES = 5 << 20
 
 
 @dataclass
@@ -276,9 +278,8 @@ def least_spans(spec: Spec, strings: list[bytes], low: np.ndarray, anchors: np.n
     shared = np.zeros(n, bool)
     shared[order] = np.repeat(size > 1, size)
     mine = order[shared[order]]  # those with one anchor stand together
-    spans = [(np.array([i]), np.array([0]), np.array([c]), np.array([d])) for i, c, d in ()]
     alone = np.flatnonzero(~shared)
-    spans.append((alone, np.zeros(len(alone), np.int64), count[alone], low[alone]))
+    spans = [(alone, np.zeros(len(alone), np.int64), count[alone], low[alone])]
     if len(mine):
         least = spec.least([strings[i] for i in mine], low[mine], anchors[mine], count[mine])
         owner = np.repeat(mine, count[mine])
@@ -317,7 +318,8 @@ def remove_repeats(docs: DataFrame, spec: Spec, finish, schema: str, total_bytes
     """finish(doc_id, text bytes, ranges or None) -> a tuple of schema, for each document."""
     total = C.text_bytes(docs) if total_bytes is None else total_bytes
     n_groups = C.group_count(total)
-    n_buckets = max(4, int(total / spec.bytes_per_anchor * 8 / (6 << 20)))
+    n_buckets = max(4, int(total / spec.bytes_per_anchor * 8 / BUCKET_BYTES))
+    n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
     names = [x.split()[0] for x in schema.split(",")]
     arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}[x.split()[1]]) for n, x in zip(names, schema.split(","), strict=True)])
 
@@ -331,6 +333,6 @@ def remove_repeats(docs: DataFrame, spec: Spec, finish, schema: str, total_bytes
     groups = own.groupBy("g")
     asked = groups.applyInArrow(anchors_of_group(spec, n_buckets), ASKED)
     repeated = asked.groupBy("bucket").applyInArrow(repeated_anchors, SAID)
-    sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, n_buckets), ASKED)
+    sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, n_string_buckets), ASKED)
     covered = sent.groupBy("bucket").applyInArrow(covered_places(spec), SAID)
     return groups.cogroup(covered.groupBy("g")).applyInArrow(result, schema)
