@@ -92,7 +92,7 @@ def runs(t: Tokens, length: int, k: int) -> Runs:
         h = C.grams(t.hashes[a : a + step + length - 1], k)
         keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         at = (C.sliding_min(keys, m) & low).astype(np.int64)
-        found.append((at + a, h[at]))
+        found.append((at + a, C.mix(h[at] * C.MULT)))  # least hashes are small: spread them anew over the buckets
     at = np.concatenate([x for x, _ in found])
     h = np.concatenate([x for _, x in found])
     sizes = np.diff(t.offsets)
