@@ -7,16 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import suffix_array, superkmer
+from . import decontaminate, language, packing, quality, suffix_array, superkmer
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup(C.documents(spark, sf_dir), 50)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.dedup(C.documents(spark, sf_dir), 13)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op7_superkmer_dedup)}
+def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(C.documents(spark, sf_dir), C.table(spark, sf_dir, "benchmark"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(C.documents(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(C.documents(spark, sf_dir), C.table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_suffix_array_dedup, op6_language_id, op7_superkmer_dedup, op8_simhash_decontamination, op9_best_fit_packing, op10_quality_classifier)
+}
 ORACLES: dict[str, str] = {}
