@@ -170,14 +170,16 @@ def repeated_anchors(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _pack(hashes: list[int], strings: list[bytes], docs: list[np.ndarray], at: list[np.ndarray]) -> bytes:
-    """Header n; per string anchor, length, number of places; then doc_ids, places, strings."""
+    """Header n; per string anchor, length, number of places; then doc_ids, places, strings; compressed, after the plain size."""
     head = np.array([len(strings)], np.int64).tobytes()
     sizes = np.array([len(s) for s in strings], np.int32).tobytes()
     times = np.array([len(d) for d in docs], np.int32).tobytes()
-    return b"".join([head, np.array(hashes, np.uint64).tobytes(), sizes, times, np.concatenate(docs).tobytes(), np.concatenate(at).tobytes(), *strings])
+    plain = b"".join([head, np.array(hashes, np.uint64).tobytes(), sizes, times, np.concatenate(docs).tobytes(), np.concatenate(at).tobytes(), *strings])
+    return len(plain).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(plain, asbytes=True)
 
 
 def _unpack(blob: bytes):
+    blob = pa.Codec("zstd", 3).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     p = 8
     out = []
