@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, fingerprints, language, ngram_join, packing, quality, sharding, suffix_array, superkmer
+from . import decontaminate, fingerprints, language, ngram_join, packing, quality, quotes, sharding, suffix_array, superkmer
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(C.documents(spark, sf_dir))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_conversations(C.table(spark, sf_dir, "conversations"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -47,6 +51,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_byte_sharding, op3_bottom_k_fingerprints, op4_ngram_jaccard_join, op6_language_id, op7_superkmer_dedup, op8_simhash_decontamination, op9_best_fit_packing, op10_quality_classifier)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_byte_sharding, op3_bottom_k_fingerprints, op4_ngram_jaccard_join, op5_quotation_linking, op6_language_id, op7_superkmer_dedup, op8_simhash_decontamination, op9_best_fit_packing, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}

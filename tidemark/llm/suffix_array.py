@@ -18,7 +18,6 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 from . import windows as W
@@ -93,12 +92,4 @@ def dedup_text(docs: DataFrame, length: int = 50) -> DataFrame:
 
     A character of which only a part was removed goes as a whole; null stays null.
     """
-
-    def finish(doc_id: int, text: bytes | None, spans: np.ndarray | None) -> tuple:
-        return doc_id, None if text is None else _kept(text, spans).decode("utf-8", "ignore")
-
-    columns = docs.columns
-    kept = W.remove_repeats(docs.select("doc_id", "text"), spec(length), finish, "doc_id long, kept_text string")
-    # rows with one doc_id are told apart by their place among them
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept.groupBy("kept_id").agg(F.min("kept_text").alias("kept_text")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left").select(*[(F.col("kept_text").alias(c) if c == "text" else F.col(c)) for c in columns])
+    return W.rewrite(docs, spec(length), lambda text, spans: _kept(text, spans).decode("utf-8", "ignore"))

@@ -83,9 +83,5 @@ def dedup(docs: DataFrame, length: int = 13) -> DataFrame:
 
 
 def dedup_text(docs: DataFrame, length: int = 13) -> DataFrame:
-    """doc_id and the kept words of each document, joined by one space."""
-
-    def finish(doc_id: int, text: bytes | None, spans: np.ndarray | None) -> tuple:
-        return doc_id, b" ".join(kept_words(text, spans)[0]).decode()
-
-    return W.remove_repeats(docs.select("doc_id", "text"), spec(length), finish, "doc_id long, text string")
+    """The documents, all columns and rows; where words went, the kept ones are joined by one space."""
+    return W.rewrite(docs, spec(length), lambda text, spans: b" ".join(kept_words(text, spans)[0]).decode())

@@ -316,25 +316,48 @@ def per_document(table: pa.Table) -> dict[int, np.ndarray]:
     return {int(d[x]): merged(spans[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
 
 
-def remove_repeats(docs: DataFrame, spec: Spec, finish, schema: str, total_bytes: int | None = None) -> DataFrame:
-    """finish(doc_id, text bytes, ranges or None) -> a tuple of schema, for each document."""
-    total = C.text_bytes(docs) if total_bytes is None else total_bytes
+def repeats(docs: DataFrame, spec: Spec):
+    """Documents by group and the token ranges to remove, ready for one last cogroup; docs may have more columns."""
+    total = C.text_bytes(docs)
     n_groups = C.group_count(total)
     n_buckets = max(4, int(total / spec.bytes_per_anchor * 8 / BUCKET_BYTES))
     n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
-    names = [x.split()[0] for x in schema.split(",")]
-    arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}[x.split()[1]]) for n, x in zip(names, schema.split(","), strict=True)])
-
-    def result(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-        spans = per_document(said)
-        ids, texts = table["doc_id"].to_pylist(), table["text"].cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-        out = [finish(i, t, spans.get(i)) for i, t in zip(ids, texts, strict=True)]
-        return pa.table({n: pa.array([r[j] for r in out], arrow.field(n).type) for j, n in enumerate(names)}, schema=arrow)
-
-    own = docs.select(C.group_of("doc_id", n_groups).alias("g"), "doc_id", "text")
-    groups = own.groupBy("g")
+    groups = docs.withColumn(GROUP, C.group_of("doc_id", n_groups)).groupBy(GROUP)
     asked = groups.applyInArrow(anchors_of_group(spec, n_buckets), ASKED)
     repeated = asked.groupBy("bucket").applyInArrow(repeated_anchors, SAID)
     sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, n_string_buckets), ASKED)
     covered = sent.groupBy("bucket").applyInArrow(covered_places(spec), SAID)
-    return groups.cogroup(covered.groupBy("g")).applyInArrow(result, schema)
+    return groups.cogroup(covered.groupBy("g"))
+
+
+#: Column of the group; of no table that is read here.
+GROUP = "_tidemark_group"
+
+
+def _texts(table: pa.Table) -> list[bytes | None]:
+    return table["text"].cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
+def remove_repeats(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
+    """finish(doc_id, text bytes, ranges or None) -> a tuple of schema, for each document of (doc_id, text)."""
+    names, kinds = zip(*(x.split() for x in schema.split(",")), strict=True)
+    types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+
+    def result(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
+        spans = per_document(said)
+        out = [finish(i, t, spans.get(i)) for i, t in zip(table["doc_id"].to_pylist(), _texts(table), strict=True)]
+        return pa.table({n: pa.array([r[j] for r in out], types[j]) for j, n in enumerate(names)})
+
+    return repeats(docs.select("doc_id", "text"), spec).applyInArrow(result, schema)
+
+
+def rewrite(docs: DataFrame, spec: Spec, edit) -> DataFrame:
+    """All rows and columns, the text as edit(text bytes, ranges) gives it; null stays null."""
+
+    def result(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
+        spans = per_document(said)
+        texts = [None if t is None else edit(t, spans[i]) if i in spans else t.decode() for i, t in zip(table["doc_id"].to_pylist(), _texts(table), strict=True)]
+        table = table.drop_columns([GROUP])
+        return table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
+
+    return repeats(docs, spec).applyInArrow(result, docs.schema)
