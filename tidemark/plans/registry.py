@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import bars, windows  # noqa: F401  (they register themselves)
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
