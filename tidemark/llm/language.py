@@ -38,75 +38,82 @@ CACHE = 100_000
 
 
 class Model:
-    """Log frequencies by language: tables of words and of n-grams of each order."""
+    """Log frequencies by language: a row for each word, and one for each n-gram, less the price of its shortness."""
 
     def __init__(self, langs: list[str], words: dict[str, list[int]], grams: list[dict[str, list[int]]]):
         self.langs = langs
-        self.words = self._logs(words)
-        self.grams = [self._logs(g) for g in grams]
+        self.words, self.word_logs = list(words), self._logs(words)
+        self.grams = [g for table in grams for g in table]
+        logs = [self._logs(table) + (ORDER - n) * BACKOFF for n, table in enumerate(grams, 1)]
+        self.gram_logs = np.concatenate(logs) if logs else np.zeros((0, len(langs)))
 
-    def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
+    def _logs(self, counts: dict[str, list[int]]) -> np.ndarray:
         table = np.array(list(counts.values()), float).reshape(len(counts), len(self.langs))
-        total = table.sum(0)
-        return {w: i for i, w in enumerate(counts)}, np.log((table + 0.5) / (total + 0.5 * len(counts) + 1.0))
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the word's places of the longest known n-gram's log frequency."""
-        padded = f"<{word[:100]}>" if len(word) <= 100 else f"<{word}>"
-        total, places = np.zeros(len(self.langs)), 0
-        for i in range(len(padded) - 1):
-            for n in range(min(ORDER, len(padded) - i), 0, -1):
-                index, logs = self.grams[n - 1]
-                at = index.get(padded[i : i + n])
-                if at is not None:
-                    total += logs[at] + (ORDER - n) * BACKOFF
-                    places += 1
-                    break
-        return total / max(1, places)
+        return np.log((table + 0.5) / (table.sum(0) + 0.5 * len(counts) + 1.0))
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        index, self.known = model.words
-        self.seen = dict(index)
-        self.extra: list[np.ndarray] = []
+    """Rows of log frequencies by word: the known ones, then unseen ones as they come."""
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def __init__(self, model: Model):
+        self.model, self.langs = model, model.langs
+        self.gram = {g: i for i, g in enumerate(model.grams)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen = {w: i for i, w in enumerate(self.model.words)}
+        self.n = len(self.seen)
+        self.table = np.zeros((self.n + 2 * CACHE, len(self.langs)))
+        self.table[: self.n] = self.model.word_logs
+
+    def learn(self, words: list[str]) -> None:
+        """Rows of unseen words: the mean, over a word's places, of the longest known n-gram that begins there."""
+        get, at, ends = self.gram.get, [], []
+        for w in words:
+            p = f"<{w}>"
+            for i in range(len(p) - 1):
+                a = get(p[i : i + 4])
+                if a is None:
+                    a = get(p[i : i + 3])
+                    if a is None:
+                        a = get(p[i : i + 2])
+                        if a is None:
+                            a = get(p[i])
+                            if a is None:
+                                continue
+                at.append(a)
+            ends.append(len(at))
+        sums = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self.model.gram_logs[at], axis=0)))
+        ends = np.array([0, *ends])
+        rows = (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(1, np.diff(ends))[:, None]
+        if self.n + len(words) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((len(words), len(self.langs)))))
+        self.table[self.n : self.n + len(words)] = rows
+        self.seen.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+
+    def total(self, words: list[str]) -> np.ndarray:
         get = self.seen.get
         at = [get(w) for w in words]
         if None in at:
-            base = len(self.known)
-            for i, a in enumerate(at):
-                if a is None:
-                    w = words[i]
-                    if (a := get(w)) is None:
-                        a = self.seen[w] = base + len(self.extra)
-                        self.extra.append(self.model.unseen(w))
-                    at[i] = a
-        at = np.array(at)
-        total = np.zeros(len(self.model.langs))
-        known = at < len(self.known)
-        if known.any():
-            total += self.known[at[known]].sum(0)
-        if not known.all():
-            total += np.array(self.extra)[at[~known] - len(self.known)].sum(0) if len(at) > len(self.extra) else sum(self.extra[i] for i in (at[~known] - len(self.known)).tolist())
-        return total
+            self.learn(list({w: None for w, a in zip(words, at, strict=True) if a is None}))
+            at = [self.seen[w] for w in words]
+        return self.table[at].sum(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
+        if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.model.langs))
+        total = np.zeros(len(self.langs))
         for a in range(0, len(words), 20_000):
-            total += self.rows(words[a : a + 20_000])
-            if len(self.extra) > CACHE:
-                self.seen, self.extra = dict(self.model.words[0]), []
+            total += self.total(words[a : a + 20_000])
+            if self.n > len(self.model.words) + CACHE:
+                self.forget()
         total -= total.max()
         share = np.exp(total)
         share /= share.sum()
         best = int(np.argmax(share))
-        return self.model.langs[best], float(share[best])
+        return self.langs[best], float(share[best])
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -124,7 +131,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
         return {r[0]: list(r[1:-1]) for r in best.collect()}
 
     if not langs:
-        return Model([], {}, [{} for _ in range(ORDER)])
+        return Model([], {}, [])
     grams = []
     padded = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
     for n in range(1, ORDER + 1):
