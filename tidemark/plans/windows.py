@@ -98,16 +98,16 @@ def q_expanding_zscore_strict(spark, sf_dir):
 
 
 def _means(spans) -> str:
-    return ", ".join(f"round(avg(quote_volume) OVER (PARTITION BY symbol ORDER BY close_time RANGE BETWEEN {ms} PRECEDING AND 1 PRECEDING), 6) + 0 AS {name}" for name, ms in spans.items())
+    return ", ".join(f"round(avg(r1 * r1) OVER (PARTITION BY symbol ORDER BY close_time RANGE BETWEEN {ms} PRECEDING AND 1 PRECEDING), 6) + 0 AS {name}" for name, ms in spans.items())
 
 
 SPANS = {"har_day": 86_400_000, "har_week": 604_800_000, "har_month": 2_592_000_000}
 
 
-@query(f"{HEAD} SELECT symbol, open_time, {_means(SPANS)} FROM bars")
+@query(f"{RET} SELECT symbol, open_time, {_means(SPANS)} FROM ret")
 def q_har_time_range_mean(spark, sf_dir):
-    df = hours(spark, sf_dir)
-    return df.select(*KEY, *[r(W.time_mean("quote_volume", "close_time", ms)).alias(name) for name, ms in SPANS.items()])
+    df = rets(spark, sf_dir).withColumn("rv", F.col("r1") * F.col("r1"))
+    return df.select(*KEY, *[r(W.time_mean("rv", "close_time", ms)).alias(name) for name, ms in SPANS.items()])
 
 
 @query(f"{HEAD} SELECT symbol, open_time, round((rank() OVER (PARTITION BY symbol ORDER BY count) + (count(*) OVER (PARTITION BY symbol, count) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol), 6) + 0 AS pct FROM bars")
