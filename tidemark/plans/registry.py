@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars, windows  # noqa: F401  (they register themselves)
+from . import bars, joins, windows  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
