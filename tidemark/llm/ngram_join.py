@@ -7,9 +7,12 @@ Verification is vertical: the order of hashes is cut into fragments, partial ove
 are counted in each fragment on its own and summed for each pair.
 
 Candidate pairs are not all pairs of a posting list. First each class is tested with one
-pivot of the lists it stands in, for some rounds with other pivots; classes that links
-have joined need no further test among themselves. What is left, pairs of one list in
-different components, is then tested in full, so no link between components is lost.
+pivot of the lists it stands in, the class whose shingles are the most frequent, then
+with another; classes that links have joined need no further test among themselves. What
+is left are pairs of one list in different components. Two classes that were tested with
+the same pivot share at most, in each fragment, the lesser of their overlaps with it,
+and of the shingles outside it the lesser number of those that are not unique: pairs
+that this bound leaves are tested in full, so no link between components is lost.
 
 Document frequencies (which only order the shingles) come from packed blobs, one for
 each (group of documents, hash range), so frequent shingles are combined per group.
@@ -25,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -34,8 +37,10 @@ from .components import components
 from .decontaminate import lower
 
 SHINGLE = 5
-FRAGMENTS = 4
-PIVOT_ROUNDS = 3
+FRAGMENTS = 16
+#: Neighbouring fragments that are counted as one where only the sum is wanted.
+JOINED = 4
+PIVOT_ROUNDS = 2
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -130,7 +135,7 @@ def ranks_of_bucket(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"g": table["g"], "bucket": table["bucket"], "blob": pa.array([out[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary()), "doc_id": pa.nulls(n, pa.int64()), "node": pa.nulls(n, pa.int64())})
 
 
-CANDIDATES = "node long, doc_id long, n long, u long, prefix array<long>, fragments array<array<long>>"
+CANDIDATES = "node long, doc_id long, n long, u long, central double, prefix array<long>, fragments array<array<long>>"
 
 
 def candidates_of_group(n_buckets: int, num: int, den: int):
@@ -151,19 +156,22 @@ def candidates_of_group(n_buckets: int, num: int, den: int):
                 ordered = s[np.lexsort((s, q))].view(np.int64)
                 prefix = ordered[: n - -(-num * n // den) + 1]
                 cuts = np.searchsorted(W.bucket_of(s, FRAGMENTS), np.arange(FRAGMENTS + 1))
-                rows.append((node, doc_id, n, u, prefix.tolist(), [s.view(np.int64)[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-        return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("node", "doc_id", "n", "u", "prefix", "fragments"))})
+                rows.append((node, doc_id, n, u, float(q.mean()), prefix.tolist(), [s.view(np.int64)[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+        return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("node", "doc_id", "n", "u", "central", "prefix", "fragments"))})
 
     return ask
 
 
+PARTS = [f"p{i}" for i in range(FRAGMENTS)]
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, shared): partial overlaps of each fragment, summed for each pair."""
+    """(a, b, shared, p0, p1, ...): partial overlaps of each fragment, and their sum for each pair."""
     left = segments.select(F.col("node").alias("a"), "f", F.col("seg").alias("left"))
     right = segments.select(F.col("node").alias("b"), "f", F.col("seg").alias("right"))
-    part = pairs.select("a", "b").join(left, "a").join(right, ["b", "f"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("part"))
-    return part.groupBy("a", "b").agg(F.sum("part").alias("shared"))
+    part = pairs.select("a", "b").join(left, "a").join(right, ["b", "f"]).select("a", "b", "f", F.size(F.array_intersect("left", "right")).alias("part"))
+    return part.groupBy("a", "b").agg(F.sum("part").alias("shared"), *[F.sum(F.when(F.col("f") == i, F.col("part")).otherwise(0)).alias(c) for i, c in enumerate(PARTS)])
 
 
 def may_link(num: int, den: int, a: str = "", b: str = "p_"):
@@ -173,56 +181,65 @@ def may_link(num: int, den: int, a: str = "", b: str = "p_"):
     return (num + den) * most >= need
 
 
+def may_link_by_pivot(num: int, den: int, a: str = "", b: str = "p_") -> Column:
+    """Unless both were tested with one pivot and what they share with it, by fragment, is too little."""
+    inside = sum((F.least(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in PARTS), F.lit(0))
+    most = inside + F.least(F.col(f"{a}outside"), F.col(f"{b}outside"))
+    enough = (num + den) * most >= F.lit(num) * (F.col(f"{a}n") + F.col(f"{b}n"))
+    return F.coalesce((F.col(f"{a}pivot") != F.col(f"{b}pivot")) | enough, F.lit(True))
+
+
 def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links of candidate classes, enough for the right components."""
     spark = found.sparkSession
-    segments = found.select("node", F.posexplode("fragments").alias("f", "seg")).where(F.size("seg") > 0)
+    fine = found.select("node", F.posexplode("fragments").alias("f", "seg")).where(F.size("seg") > 0)
+    wide = F.array(*[F.flatten(F.slice("fragments", i + 1, JOINED)) for i in range(0, FRAGMENTS, JOINED)])
+    coarse = found.select("node", F.posexplode(wide).alias("f", "seg")).where(F.size("seg") > 0)
     sizes = found.select("node", "n", "u")
-    postings = C.materialise(found.select("node", "doc_id", "n", "u", F.explode("prefix").alias("s")))
+    postings = C.materialise(found.select("node", "central", "n", "u", F.explode("prefix").alias("s")))
     lists = postings.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     postings = C.materialise(postings.join(lists, "s"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
         n_a, n_b = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
         shared = overlaps(pairs, segments).join(n_a, "a").join(n_b, "b")
-        return C.materialise(shared.select("a", "b", ((num + den) * F.col("shared") >= num * (F.col("n_a") + F.col("n_b"))).alias("link")))
+        return C.materialise(shared.withColumn("link", (num + den) * F.col("shared") >= num * (F.col("n_a") + F.col("n_b"))).drop("n_a", "n_b"))
 
-    tested = None
+    def between_components(tested: DataFrame) -> DataFrame:
+        """Postings whose list reaches into several components."""
+        at = postings.join(components(tested.where("link")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = at.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
+        return C.materialise(at.join(open_, "s"))
+
+    def unordered(tested: DataFrame) -> DataFrame:
+        return tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    profile = tested = None
+    at = postings.withColumn("comp", F.col("node"))
     for round_ in range(PIVOT_ROUNDS):
-        at = postings
-        if tested is not None:
-            comp = components(tested.where("link"))
-            at = at.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = at.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
-            at = at.join(open_, "s")
-        else:
-            at = at.withColumn("comp", F.col("node"))
-        first = F.col("doc_id") if round_ == 0 else F.xxhash64("node", F.lit(round_))
+        first = -F.col("central") if round_ == 0 else F.xxhash64("node", F.lit(round_))
         pivots = at.groupBy("s").agg(F.min(F.struct(first, "node", "comp", "n", "u")).alias("p"))
         pivots = pivots.select("s", F.col("p.node").alias("p"), F.col("p.comp").alias("p_comp"), F.col("p.n").alias("p_n"), F.col("p.u").alias("p_u"))
         pairs = at.join(pivots, "s").where((F.col("comp") != F.col("p_comp")) & may_link(num, den))
-        if tested is not None:
-            known = tested.select("a", "b").union(tested.select("b", "a")).toDF("node", "p")
-            pairs = pairs.join(known, ["node", "p"], "left_anti")
-        counted = pairs.groupBy("node", "p").agg(F.count("*").alias("c"))
-        best = counted.groupBy("node").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
-        # a pair may come from both sides
-        best = best.select(F.least("node", "p").alias("x"), F.greatest("node", "p").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-        more = linked(best)
+        best = pairs.groupBy("node", "p").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
+        best = best.select(F.col("node").alias("a"), F.col("p").alias("b"))
+        if tested is None:
+            more = profile = linked(best, fine)
+        else:
+            more = linked(unordered(best).distinct().join(unordered(tested), ["a", "b"], "left_anti"), coarse)
         if more.isEmpty():
             break
         tested = more if tested is None else tested.union(more)
+        at = between_components(tested)
     if tested is None:
         return spark.createDataFrame([], "a long, b long")
-    comp = components(tested.where("link"))
-    at = postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = at.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
-    at = C.materialise(at.join(open_, "s").select("s", "node", "comp", "n", "u"))
-    other = at.select("s", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "n", "u")])
-    rest = at.join(other, "s").where((F.col("node") < F.col("p_node")) & (F.col("comp") != F.col("p_comp")) & may_link(num, den))
+    near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "shared", *PARTS)
+    at = C.materialise(at.join(near, "node", "left").withColumn("outside", F.col("n") - F.col("shared") - F.col("u")).drop("shared", "central"))
+    other = at.select("s", *[F.col(c).alias(f"p_{c}") for c in at.columns if c != "s"])
+    differ = (F.col("node") < F.col("p_node")) & (F.col("comp") != F.col("p_comp"))
+    rest = at.join(other, (at.s == other.s) & differ & may_link(num, den) & may_link_by_pivot(num, den))
     rest = rest.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(rest.join(known, ["a", "b"], "left_anti"))
+    more = linked(rest.join(unordered(tested), ["a", "b"], "left_anti"), coarse)
     return tested.union(more).where("link").select("a", "b")
 
 
