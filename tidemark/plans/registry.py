@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars, joins, validation, windows  # noqa: F401  (they register themselves)
+from . import bars, checks, joins, states, validation, windows  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
