@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 from . import decontaminate, fingerprints, language, ngram_join, packing, quality, quotes, sharding, suffix_array, superkmer
+from .oracles import ORACLES
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +54,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_array_dedup, op2_byte_sharding, op3_bottom_k_fingerprints, op4_ngram_jaccard_join, op5_quotation_linking, op6_language_id, op7_superkmer_dedup, op8_simhash_decontamination, op9_best_fit_packing, op10_quality_classifier)
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
