@@ -66,8 +66,8 @@ def group_of(column: str, n: int) -> Column:
 
 
 def held_out() -> Column:
-    """crc32(doc_id as text) mod 5 is 0."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """crc32(doc_id as text) mod 5 is 0; a row without doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 # --- numpy over Arrow text -------------------------------------------------------

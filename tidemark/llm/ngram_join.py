@@ -19,7 +19,8 @@ each (group of documents, hash range), so frequent shingles are combined per gro
 
 Cases: null texts and texts without words have no shingle and link with nothing; under
 five words the whole sequence is the one shingle; repeated shingles count once; rows
-with equal sets are linked whatever their doc_id; an empty table gives none.
+with equal sets are linked whatever their doc_id, and a row without one takes its
+component's least (null if there is none); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -67,10 +68,9 @@ SETS = "doc_id long, n_shingles long, node long"
 def set_sizes(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        ids, sizes, nodes = [], [], []
-        for i, raw, off in W.blocks(table):
+        sizes, nodes = [], []
+        for _, raw, off in W.blocks(table, unnamed=True):
             sets = sets_of(raw, off)
-            ids += i.tolist() if not isinstance(i, list) else i
             sizes += [len(s) for s in sets]
             nodes += [class_of(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
@@ -87,12 +87,12 @@ def _representatives(docs: pa.Table, said: pa.Table) -> list[tuple[int, int, np.
     ids = {d for d, _ in wanted}
     mine = docs.filter(pa.array([d in ids for d in docs["doc_id"].to_pylist()], pa.bool_()))
     out = []
-    for block_ids, raw, off in W.blocks(mine):
+    for block_ids, raw, off in W.blocks(mine, unnamed=True):
         for d, s in zip(block_ids.tolist(), sets_of(raw, off), strict=True):
             if len(s) and (d, n := class_of(s)) in wanted:
                 wanted.discard((d, n))
                 out.append((n, d, s))
-    return sorted(out, key=lambda x: (x[1], x[0]))
+    return sorted(out, key=lambda x: x[0])
 
 
 def _group_keys(found: list[tuple[int, int, np.ndarray]], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:

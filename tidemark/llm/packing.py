@@ -249,7 +249,7 @@ def _sorted(table: pa.Table, columns: list[str]) -> pa.Table:
 
 def pack_level(rest: DataFrame, columns: list[str], subsets: int, level: int, capacity: int) -> DataFrame:
     """columns, sequence_id, offset and bin_fill of all pieces of rest, packed subset by subset."""
-    dealt = rest.select(F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece"), F.lit(subsets)).alias("subset"), *columns)
+    dealt = rest.select(F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(subsets)).alias("subset"), *columns)
 
     def lengths_of(key: tuple, table: pa.Table) -> pa.Table:
         lengths = np.sort(table["length"].to_numpy())[::-1]

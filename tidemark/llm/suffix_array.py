@@ -8,8 +8,8 @@ suffixes. Groups that are equal after the last pass are exactly the repeated win
 
 Cases: null text counts as empty; documents under L bytes have no window; rows with
 the same doc_id are one document for the comparison (nothing of them is removed on
-account of each other); identical rows give identical results; an empty table gives
-none; further columns are ignored by the query and kept by ``dedup_text``.
+account of each other); a row without doc_id stays whole and removes nothing; identical
+rows give identical results; an empty table gives none; further columns are ignored by the query and kept by ``dedup_text``.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ to the minimiser's bucket; sorting the windows of a bucket finds equal ones exac
 
 Cases: null text has no words; documents of fewer words than a window keep all;
 any ASCII white space parts words and the kept words are joined by one space; rows
-with the same doc_id are one document for the comparison; an empty table gives none.
+with the same doc_id are one document for the comparison, one without doc_id stays whole
+and removes nothing; an empty table gives none.
 """
 
 from __future__ import annotations

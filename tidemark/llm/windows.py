@@ -60,9 +60,13 @@ class Spec:
     bytes_per_anchor: float
 
 
-def blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, bytes and offsets of the group's documents, in blocks of whole documents."""
-    ids = table["doc_id"].to_numpy()
+def blocks(table: pa.Table, unnamed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, bytes and offsets of the group's documents, in blocks of whole documents; those without doc_id only if asked for."""
+    if unnamed:
+        ids = np.array([*table["doc_id"].to_pylist(), None], object)[:-1]
+    else:
+        table = table.filter(table["doc_id"].is_valid())
+        ids = table["doc_id"].to_numpy()
     raw, off = C.flat(table["text"])
     a = 0
     while a < len(ids):
@@ -133,8 +137,8 @@ def anchors_of_group(spec: Spec, n_buckets: int):
         for ids, raw, off in blocks(table):
             r = runs(spec.tokens(raw, off), spec.length, spec.anchor)
             hashes.append(r.hash)
-            docs.append(ids[r.doc] if len(r.doc) else np.empty(0, np.int64))
-        h, d = np.concatenate(hashes), np.concatenate(docs)
+            docs.append(ids[r.doc])
+        h, d = np.concatenate([*hashes, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
         order = np.argsort(h, kind="stable")
         h, d = h[order] & ~np.uint64(1), d[order]
         if not len(h):
@@ -322,7 +326,9 @@ def repeats(docs: DataFrame, spec: Spec):
     n_groups = C.group_count(total)
     n_buckets = max(4, int(total / spec.bytes_per_anchor * 8 / BUCKET_BYTES))
     n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
-    groups = docs.withColumn(GROUP, C.group_of("doc_id", n_groups)).groupBy(GROUP)
+    # rows without doc_id are compared with nothing; their texts spread them over the groups
+    spread = F.when(F.col("doc_id").isNotNull(), C.group_of("doc_id", n_groups)).otherwise(C.group_of("text", n_groups))
+    groups = docs.withColumn(GROUP, spread).groupBy(GROUP)
     asked = groups.applyInArrow(anchors_of_group(spec, n_buckets), ASKED)
     repeated = asked.groupBy("bucket").applyInArrow(repeated_anchors, SAID)
     sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, n_string_buckets), ASKED)
