@@ -39,7 +39,7 @@ def differs(spark_rows: list[tuple], sql_rows: list[tuple]) -> str:
     if len(spark_rows) != len(sql_rows):
         return f"{len(spark_rows)} rows, SQL has {len(sql_rows)}"
     a, b = sorted(spark_rows, key=key), sorted(sql_rows, key=key)
-    wrong = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+    wrong = [(x, y) for x, y in zip(a, b, strict=True) if x != y or any(type(v) is not type(w) and v is not None for v, w in zip(x, y, strict=True))]
     return f"{len(wrong)} of {len(a)} rows differ, e.g. {wrong[0]}" if wrong else ""
 
 

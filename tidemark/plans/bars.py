@@ -112,8 +112,8 @@ def q_running_quote(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TICKS} SELECT symbol, transact_time // 900000 AS bucket, round(sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE 0 END), 6) + 0 AS bought,
-    round(sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END), 6) + 0 AS sold,
+    f"""WITH {TICKS} SELECT symbol, transact_time // 900000 AS bucket, round(CAST(sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE 0 END) AS DOUBLE), 6) + 0 AS bought,
+    round(CAST(sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END) AS DOUBLE), 6) + 0 AS sold,
     round((sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE -quantity END)) / CAST(sum(quantity) AS DOUBLE), 6) + 0 AS imbalance FROM ticks GROUP BY 1, 2"""
 )
 def q_order_flow_imbalance(spark, sf_dir):
