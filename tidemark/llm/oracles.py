@@ -53,4 +53,20 @@ r AS (SELECT a AS doc_id, b AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOI
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(r.seen)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLES = {"op1_suffix_array_dedup": SUFFIX_ARRAY, "op2_byte_sharding": SHARDING, "op4_ngram_jaccard_join": NGRAM_JOIN, "op7_superkmer_dedup": SUPERKMER}
+#: Every item-sized window of each document that shares a shingle with the item (items of five words or more).
+_LOWER = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS ws FROM documents), i AS (SELECT item_id, {_LOWER} AS ws FROM benchmark),
+ds AS (SELECT doc_id, i AS at, array_to_string(ws[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
+it AS (SELECT item_id, array_to_string(ws[i + 1 : i + 5], ' ') AS g, count(*) AS c FROM (SELECT item_id, ws, unnest(range(len(ws) - 4)) AS i FROM i WHERE len(ws) >= 5) GROUP BY 1, 2),
+p AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN it ON ds.g = it.g),
+m AS (SELECT p.doc_id, p.item_id, len(i.ws) AS n, len(d.ws) AS l, least(len(i.ws), len(d.ws)) AS m FROM p JOIN d ON d.doc_id = p.doc_id JOIN i ON i.item_id = p.item_id),
+w AS (SELECT doc_id, item_id, n, m, unnest(range(l - m + 1)) AS k FROM m),
+c AS (SELECT w.doc_id, w.item_id, w.n, w.m, w.k, ds.g, count(*) AS c FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.at >= w.k AND ds.at <= w.k + w.m - 5 GROUP BY ALL),
+b AS (SELECT c.doc_id, c.item_id, c.n, c.m, c.k, CAST(sum(least(c.c, it.c)) AS BIGINT) AS b FROM c JOIN it ON it.item_id = c.item_id AND it.g = c.g GROUP BY ALL),
+s AS (SELECT doc_id, item_id, m, k, b / CAST(n - 4 + m - 4 - b AS DOUBLE) AS s FROM b)
+SELECT doc_id, item_id, max(s) AS similarity, arg_min(k, (-s, k)) AS first_word, any_value(m) AS n_words FROM s WHERE s >= 0.75 GROUP BY 1, 2
+"""
+
+ORACLES = {"op1_suffix_array_dedup": SUFFIX_ARRAY, "op2_byte_sharding": SHARDING, "op4_ngram_jaccard_join": NGRAM_JOIN, "op7_superkmer_dedup": SUPERKMER, "op8_simhash_decontamination": DECONTAMINATION}
