@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+#: Ranges of a table; their number bounds what is gathered or broadcast about them.
+MOST_RANGES = 16_384
+PARTS = 1024
+
+
+def cuts(df: DataFrame, column: str, n: int) -> list:
+    """At most n - 1 quantiles, ascending."""
+    n = min(n, MOST_RANGES)
+    if n < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(column: str, at: Sequence) -> Column:
+    """Number of cuts that are not above the value (null: 0), found in two steps of about the root of their number."""
+    if not at:
+        return F.lit(0)
+    step = max(1, int(len(at) ** 0.5))
+    heads = F.array(*[F.lit(x) for x in at[::step]])
+    rows = F.array(*[F.array(*[F.lit(x) for x in at[i : i + step]]) for i in range(0, len(at), step)])
+    c = F.col(column)
+    row = F.size(F.filter(heads, lambda x: x <= c))
+    within = F.size(F.filter(F.element_at(rows, F.greatest(row, F.lit(1))), lambda x: x <= c))
+    return F.when(c.isNull() | (row == 0), 0).otherwise((row - 1) * step + within)
 
 
 def positions(df: DataFrame, column: str, tie: Sequence[str] = (), by: Sequence[str] = (), name: str = "position") -> DataFrame:
@@ -18,10 +42,7 @@ def positions(df: DataFrame, column: str, tie: Sequence[str] = (), by: Sequence[
     """
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(column, *tie)).cast("long") - 1)
-    found = df.agg(F.percentile_approx(column, [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0]
-    cuts = sorted(set(found or []))
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(column))) if cuts else F.lit(0)
-    rows = df.withColumn("_range", F.when(F.col(column).isNull(), -1).otherwise(at))
+    rows = df.withColumn("_range", F.when(F.col(column).isNull(), -1).otherwise(range_of(column, cuts(df, column, PARTS))))
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"))
     sizes = sizes.select("_range", F.coalesce(F.sum("_k").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(column, *tie)) - 1
