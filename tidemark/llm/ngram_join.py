@@ -248,7 +248,7 @@ def join_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     docs = docs.select("doc_id", "text")
     total = C.text_bytes(docs)
     n_groups = C.group_count(total)
-    n_buckets = max(4, total // (6 << 20))
+    n_buckets = W.bucket_count(total)  # about a shingle of four bytes for each four bytes of text
     sets = C.materialise(docs.mapInArrow(set_sizes, SETS))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     group = C.group_of("doc_id", n_groups).alias("g")

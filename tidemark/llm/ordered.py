@@ -1,31 +1,5 @@
 """Global order of documents without one task holding them all: ranges of doc_id cut at quantiles."""
 
-from __future__ import annotations
+from ..operators.ranking import MOST_RANGES, cuts, range_of
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: Ranges of a corpus; their number bounds what is gathered or broadcast about them.
-MOST_RANGES = 4096
-
-
-def cuts(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 quantiles, ascending."""
-    n = min(n, MOST_RANGES)
-    if n < 2:
-        return []
-    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)).first()[0]
-    return sorted(set(found or []))
-
-
-def range_of(column: str, at: list[int]) -> Column:
-    """Number of cuts that are not above the value (null: 0), found in two steps."""
-    if not at:
-        return F.lit(0)
-    step = max(1, int(len(at) ** 0.5))
-    heads = F.array(*[F.lit(x) for x in at[::step]])
-    rows = F.array(*[F.array(*[F.lit(x) for x in at[i : i + step]]) for i in range(0, len(at), step)])
-    c = F.col(column)
-    row = F.size(F.filter(heads, lambda x: x <= c))
-    within = F.size(F.filter(F.element_at(rows, F.greatest(row, F.lit(1))), lambda x: x <= c))
-    return F.when(c.isNull() | (row == 0), 0).otherwise((row - 1) * step + within)
+__all__ = ["MOST_RANGES", "cuts", "range_of"]

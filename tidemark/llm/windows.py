@@ -33,8 +33,10 @@ from . import common as C
 
 #: Tokens that are worked on at once.
 BLOCK = 1 << 18
-#: Anchor hashes of one bucket.
+#: Anchor hashes of one bucket; for large corpora buckets grow, so that a group sends each of them more than a few.
 BUCKET_BYTES = 5 << 20
+BUCKET_BYTES_MAX = 64 << 20
+BUCKETS_BEFORE_GROWTH = 16_384
 
 
 @dataclass
@@ -120,6 +122,11 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def bucket_count(n_bytes: int) -> int:
+    size = min(BUCKET_BYTES_MAX, max(BUCKET_BYTES, n_bytes // BUCKETS_BEFORE_GROWTH))
+    return max(4, n_bytes // size)
+
+
 def _rows(**columns) -> pa.Table:
     types = {"g": pa.int32(), "bucket": pa.int32(), "blob": pa.binary()}
     return pa.table({k: pa.array(v, types[k]) for k, v in columns.items()})
@@ -324,7 +331,7 @@ def repeats(docs: DataFrame, spec: Spec):
     """Documents by group and the token ranges to remove, ready for one last cogroup; docs may have more columns."""
     total = C.text_bytes(docs)
     n_groups = C.group_count(total)
-    n_buckets = max(4, int(total / spec.bytes_per_anchor * 8 / BUCKET_BYTES))
+    n_buckets = bucket_count(int(total / spec.bytes_per_anchor * 8))
     n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
     # rows without doc_id are compared with nothing; their texts spread them over the groups
     spread = F.when(F.col("doc_id").isNotNull(), C.group_of("doc_id", n_groups)).otherwise(C.group_of("text", n_groups))
