@@ -83,26 +83,28 @@ def first_touch(orders: DataFrame, path: DataFrame, order_id: str, longest_ms: i
     kind = F.when(tp & (~sl | nearer), F.lit("TP")).when(sl, F.lit("SL"))
     worse = F.when(long_, F.least("sl_price", "_open")).otherwise(F.greatest("sl_price", "_open"))
     paid = F.when(kind == "TP", F.col("tp_price")).when(kind == "SL", worse)
-    pairs = pairs.withColumns({"_kind": kind, "_paid": paid, "_tie": tp & sl, "_gap": sl & (kind == "SL") & (worse != F.col("sl_price"))})
-    touch = F.when(F.col("_kind").isNotNull(), F.struct("_t", "_kind", "_paid", "_tie", "_gap"))
-    ends = pairs.groupBy(order_id).agg(F.min(touch).alias("_touch"), F.max_by("_close", "_t").alias("_last"), F.max("_t").alias("_last_t"))
-    up_to = pairs.join(ends.select(order_id, F.coalesce("_touch._t", "_last_t").alias("_until")), order_id).where(F.col("_t") <= F.col("_until"))
-    best, worst = F.max("_high"), F.min("_low")
-    moves = up_to.groupBy(order_id).agg(best.alias("_top"), worst.alias("_bottom"), F.count(F.lit(1)).alias("n_bars_held"))
-    out = orders.join(ends, order_id, "left").join(moves, order_id, "left")
-    favourable = F.when(long_, F.col("_top") - F.col("fill_price")).otherwise(F.col("fill_price") - F.col("_bottom"))
-    adverse = F.when(long_, F.col("fill_price") - F.col("_bottom")).otherwise(F.col("_top") - F.col("fill_price"))
+    w = Window.partitionBy(order_id).orderBy("_t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumns({"_kind": kind, "_paid": paid, "_tie": tp & sl, "_gap": sl & (kind == "SL") & (worse != F.col("sl_price")), "_top": F.max("_high").over(upto), "_bottom": F.min("_low").over(upto), "_n": F.row_number().over(w).cast("long")})
+    # the window and the aggregate share one shuffle by order
+    seen = F.struct("_t", F.coalesce("_kind", F.lit("TIME")).alias("kind"), F.coalesce("_paid", "_close").alias("paid"), "_tie", "_gap", "_top", "_bottom", "_n")
+    ends = pairs.groupBy(order_id).agg(F.min(F.when(F.col("_kind").isNotNull(), seen)).alias("_touch"), F.max(seen).alias("_last"))
+    out = orders.join(ends.select(order_id, F.coalesce("_touch", "_last").alias("_end"), F.col("_touch").isNotNull().alias("_hit")), order_id, "left")
+    favourable = F.when(long_, F.col("_end._top") - F.col("fill_price")).otherwise(F.col("fill_price") - F.col("_end._bottom"))
+    adverse = F.when(long_, F.col("fill_price") - F.col("_end._bottom")).otherwise(F.col("_end._top") - F.col("fill_price"))
+    hit = F.coalesce("_hit", F.lit(False))
     return out.withColumns(
         {
-            "barrier_hit": F.when(F.col("_last_t").isNotNull(), F.coalesce("_touch._kind", F.lit("TIME"))),
-            "t1": F.coalesce("_touch._t", "_last_t"),
-            "exit_price": F.coalesce("_touch._paid", "_last"),
-            "tie_break_used": F.coalesce("_touch._tie", F.lit(False)),
-            "gap_fill_used": F.coalesce("_touch._gap", F.lit(False)),
+            "barrier_hit": F.col("_end.kind"),
+            "t1": F.col("_end._t"),
+            "exit_price": F.col("_end.paid"),
+            "tie_break_used": hit & F.coalesce("_end._tie", F.lit(False)),
+            "gap_fill_used": hit & F.coalesce("_end._gap", F.lit(False)),
+            "n_bars_held": F.col("_end._n"),
             "mfe": F.greatest(favourable, F.lit(0.0)),
             "mae": F.greatest(adverse, F.lit(0.0)),
         }
-    ).drop("_touch", "_last", "_last_t", "_top", "_bottom")
+    ).drop("_end", "_hit")
 
 
 def concurrency(labels: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
