@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .asof import asof
 
 
@@ -112,13 +113,13 @@ def concurrency(labels: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame
 
     Interval i covers the places from its own to the last t0 at or before its t1. All by
     windows and two joins on places: counts of begun and ended intervals, then prefix
-    sums of 1 / concurrency.
+    sums of 1 / concurrency. The intervals are used several times, so they are written once.
     """
     order = Window.partitionBy(*by).orderBy("t0", "label_id")
-    rows = labels.withColumn("idx0", F.row_number().over(order))
+    rows = materialise(labels.select(*by, "label_id", "t0", "t1").withColumn("idx0", F.row_number().over(order)))
     last = rows.select(*by, F.col("t0").alias("_t"), "idx0")
     last = last.groupBy(*by, "_t").agg(F.max("idx0").alias("idx1"))
-    rows = asof(rows, last, "t1", "_t", ["idx1"], by).withColumn("idx1", F.greatest("idx1", "idx0"))
+    rows = materialise(asof(rows, last, "t1", "_t", ["idx1"], by).withColumn("idx1", F.greatest("idx1", "idx0")))
     ended = rows.groupBy(*by, (F.col("idx1") + 1).alias("idx0")).agg(F.count(F.lit(1)).alias("_ended"))
     w = Window.partitionBy(*by).orderBy("idx0").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(ended, [*by, "idx0"], "left").withColumn("concurrency", F.col("idx0") - F.sum(F.coalesce("_ended", F.lit(0))).over(w)).drop("_ended")
@@ -126,7 +127,8 @@ def concurrency(labels: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame
     upper = rows.select(*by, F.col("idx0").alias("idx1"), F.col("_p").alias("_p1"))
     rows = rows.join(upper, [*by, "idx1"])
     own = 1 / F.col("concurrency")
-    return rows.withColumn("uniqueness", (F.col("_p1") - F.col("_p") + own) / (F.col("idx1") - F.col("idx0") + 1)).drop("_p", "_p1")
+    rows = rows.withColumn("uniqueness", (F.col("_p1") - F.col("_p") + own) / (F.col("idx1") - F.col("idx0") + 1))
+    return labels.join(rows.select(*by, "label_id", "idx0", "idx1", "concurrency", "uniqueness"), [*by, "label_id"])
 
 
 def sample_weight(labels: DataFrame, ret: str = "ret_gross") -> DataFrame:
