@@ -307,3 +307,10 @@ def test_round_trip_of_sources(spark, tmp_path):
     S.write_by_day(bars_, str(tmp_path / "days"))
     assert S.scan(spark, str(tmp_path / "days"), "dollar_bars_r1", start="1970-01-02", end="1970-01-02").count() == 1
     assert S.scan(spark, str(tmp_path / "days"), "dollar_bars_r1", start="1999-01-02").columns[:2] == ["open_time", "open"]
+
+
+def test_tables_that_cut_a_plan_can_be_cleared(spark):
+    from tidemark.sources import shared
+
+    df = shared.materialise(spark.range(5))
+    assert df.count() == 5 and shared.clear(spark) and not shared.clear(spark)
