@@ -314,3 +314,17 @@ def test_tables_that_cut_a_plan_can_be_cleared(spark):
 
     df = shared.materialise(spark.range(5))
     assert df.count() == 5 and shared.clear(spark) and not shared.clear(spark)
+
+
+def test_boosting_respects_its_constraint(spark):
+    from tidemark.operators import boosting
+
+    df = spark.range(400).select(((F.col("id") * 37) % 101 / 101.0).alias("a"), ((F.col("id") * 53) % 89 / 89.0).alias("b"), F.lit(1.0).alias("w"))
+    df = df.withColumn("y", (F.col("a") + 0.2 * F.col("b") > 0.6).cast("int"))
+    stumps, base = boosting.fit(df, ["a", "b"], "y", "w", rounds=8)
+    assert validation.auc(df.withColumn("s", boosting.probability(stumps, base)), "s", "y").first().roc_auc > 0.9
+    down, _ = boosting.fit(df, ["a", "b"], "y", "w", signs={"a": -1, "b": 1}, rounds=8)
+    assert all(s.right <= s.left for s in down if s.feature == "a") and all(s.right >= s.left for s in down if s.feature == "b")
+    tried = boosting.search([(df, df)], ["a", "b"], "y", "w", {"rounds": [1, 4]})
+    assert [t["settings"]["rounds"] for t in tried] == [4, 1]
+    assert boosting.search([], ["a"], "y", "w", {"rounds": [1, 4]}, tried) == tried

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import boosting as G
 from ..operators import models as M
 from ..operators import regime as R
 from ..operators import windows as W
@@ -107,3 +108,10 @@ def q_boosted_isotonic(spark, sf_dir):
     scored = M.boosted_side(df, ["er", "vol", "r1"], "y", "w", trees=5).transform(df).withColumn("score", M.probability_of("probability"))
     knots = M.isotonic(scored, "score", "y", "w")
     return scored.select("symbol", "open_time", r(M.interpolate(F.col("score"), knots)).alias("p"))
+
+
+@query()
+def q_monotone_boosting(spark, sf_dir):
+    df = training(spark, sf_dir)
+    stumps, base = G.fit(df, ["er", "vol", "r1"], "y", "w", signs={"r1": -1}, rounds=6)
+    return df.select("symbol", "open_time", r(G.probability(stumps, base)).alias("p"))
