@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, shared_dir  # noqa: F401  (C.materialise)
+
 #: Text bytes that one group of documents holds, and the number of groups from
 #: which the groups grow instead (up to GROUP_BYTES_MAX).
 GROUP_BYTES = 4 << 20
@@ -28,29 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if where.isDefined():
-            return where.get()
-        found = "/tmp/checkpoints/tidemark"
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a Parquet table in the shared folder, read back.
-
-    The rows survive lost executors, and both later reads see the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

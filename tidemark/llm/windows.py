@@ -122,6 +122,25 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+#: Anchors travel as 47 bits of their hash and one that tells of several documents: a chance match only lets a unique
+#: window go on to the exact steps.
+_LOW = np.uint64(1)
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(16)) & ~_LOW
+
+
+def six_bytes(v: np.ndarray) -> bytes:
+    return v.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def bucket_count(n_bytes: int) -> int:
     size = min(BUCKET_BYTES_MAX, max(BUCKET_BYTES, n_bytes // BUCKETS_BEFORE_GROWTH))
     return max(4, n_bytes // size)
@@ -137,7 +156,7 @@ SAID = "g int, blob binary"
 
 
 def anchors_of_group(spec: Spec, n_buckets: int):
-    """The group's distinct anchor hashes; the lowest bit tells of several documents."""
+    """The group's distinct anchors; the lowest bit tells of several documents."""
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         hashes, docs = [], []
@@ -146,16 +165,17 @@ def anchors_of_group(spec: Spec, n_buckets: int):
             hashes.append(r.hash)
             docs.append(ids[r.doc])
         h, d = np.concatenate([*hashes, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
+        h = short(h)
         order = np.argsort(h, kind="stable")
-        h, d = h[order] & ~np.uint64(1), d[order]
+        h, d = h[order], d[order]
         if not len(h):
             return _rows(g=[], bucket=[], blob=[])
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
         sent = h[begin] | several.astype(np.uint64)
-        cuts = np.searchsorted(bucket_of(sent, n_buckets), np.arange(n_buckets + 1))
+        cuts = np.searchsorted(bucket_of(sent << np.uint64(16), n_buckets), np.arange(n_buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
-        return _rows(g=[key[0].as_py()] * len(full), bucket=full, blob=[sent[cuts[b] : cuts[b + 1]].tobytes() for b in full])
+        return _rows(g=[key[0].as_py()] * len(full), bucket=full, blob=[six_bytes(sent[cuts[b] : cuts[b + 1]]) for b in full])
 
     return ask
 
@@ -163,21 +183,21 @@ def anchors_of_group(spec: Spec, n_buckets: int):
 def repeated_anchors(key: tuple, table: pa.Table) -> pa.Table:
     """For each group those of its hashes that lie in several documents."""
     groups, blobs = table["g"].to_numpy(), table["blob"].to_pylist()
-    parts = [np.frombuffer(b, np.uint64) for b in blobs]
+    parts = [from_six_bytes(b) for b in blobs]
     sent = np.concatenate(parts)
     from_ = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(sent, kind="stable")
-    h = sent[order] & ~np.uint64(1)
+    h = sent[order] & ~_LOW
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(begin, len(h)))
-    several = (size > 1) | (np.maximum.reduceat(sent[order] & np.uint64(1), begin) == 1)
+    several = (size > 1) | (np.maximum.reduceat(sent[order] & _LOW, begin) == 1)
     kept = np.repeat(several, size)
     h, from_ = h[kept], from_[order][kept]
     order = np.argsort(from_, kind="stable")
     h, from_ = h[order], from_[order]
     cuts = np.searchsorted(from_, np.arange(len(parts) + 1))
     full = np.flatnonzero(np.diff(cuts))
-    return _rows(g=groups[full], blob=[h[cuts[i] : cuts[i + 1]].tobytes() for i in full])
+    return _rows(g=groups[full], blob=[six_bytes(h[cuts[i] : cuts[i + 1]]) for i in full])
 
 
 def _pack(hashes: list[int], strings: list[bytes], docs: list[np.ndarray], at: list[np.ndarray]) -> bytes:
@@ -212,12 +232,12 @@ def strings_of_group(spec: Spec, n_buckets: int):
     def ask(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
         if not docs.num_rows or not said.num_rows:
             return _rows(g=[], bucket=[], blob=[])
-        repeated = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in said["blob"].to_pylist()]))
+        repeated = np.sort(np.concatenate([from_six_bytes(b) for b in said["blob"].to_pylist()]))
         found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         for ids, raw, off in blocks(docs):
             t = spec.tokens(raw, off)
             r = runs(t, spec.length, spec.anchor)
-            h = r.hash & ~np.uint64(1)
+            h = short(r.hash)
             near = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
             kept = np.flatnonzero(repeated[near] == h)
             data = t.packed.tobytes()
@@ -228,7 +248,7 @@ def strings_of_group(spec: Spec, n_buckets: int):
         if not found:
             return _rows(g=[], bucket=[], blob=[])
         keys = list(found)
-        bucket = bucket_of(np.array([k[0] for k in keys], np.uint64), n_buckets)
+        bucket = bucket_of(np.array([k[0] for k in keys], np.uint64) << np.uint64(16), n_buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         full, out = np.flatnonzero(np.diff(cuts)), []
@@ -331,7 +351,7 @@ def repeats(docs: DataFrame, spec: Spec):
     """Documents by group and the token ranges to remove, ready for one last cogroup; docs may have more columns."""
     total = C.text_bytes(docs)
     n_groups = C.group_count(total)
-    n_buckets = bucket_count(int(total / spec.bytes_per_anchor * 8))
+    n_buckets = bucket_count(int(total / spec.bytes_per_anchor * 6))
     n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
     # rows without doc_id are compared with nothing; their texts spread them over the groups
     spread = F.when(F.col("doc_id").isNotNull(), C.group_of("doc_id", n_groups)).otherwise(C.group_of("text", n_groups))
