@@ -1,19 +1,12 @@
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import random
-
 import pytest
-
-WORDS = [f"{a}{b}" for a in ("al", "be", "cor", "du", "el", "fi", "go", "ha") for b in ("na", "ti", "ro", "mes", "k", "st")]
-
-
-def prose(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) for _ in range(n))
+from plain import prose
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import zlib
 
 import plain
 import pytest
-from conftest import prose
+from plain import prose
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, fingerprints, language, packing, quality, quotes, sharding

@@ -2,7 +2,7 @@
 
 import plain
 import pytest
-from conftest import prose
+from plain import prose
 
 import corpus_pipeline
 from tidemark.llm import common as C
