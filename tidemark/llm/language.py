@@ -120,7 +120,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
     """docs: doc_id, text, lang; rows that are held out are not learned from."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~C.held_out()).select("doc_id", "lang")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where(F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text").join(F.broadcast(rows.distinct()), "doc_id").where(F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows that repeat a doc_id one
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     counts = C.materialise(words.groupBy("lang", "w").agg(F.count("*").alias("c")))
     langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
