@@ -11,7 +11,7 @@ from ..sources.shared import materialise, shared_dir  # noqa: F401  (C.materiali
 
 #: Text bytes that one group of documents holds, and the number of groups from
 #: which the groups grow instead (up to GROUP_BYTES_MAX).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 GROUP_BYTES_MAX = 64 << 20
 GROUPS_BEFORE_GROWTH = 4096
 
