@@ -38,6 +38,23 @@ def test_keep_one(frame):
     assert ngram_join.keep_one(frame).columns == frame.columns
 
 
+def test_keep_one_loses_no_clean_text(spark):
+    """Rows without a doc_id, and rows that repeat one with texts of their own."""
+    text = {k: plain.prose(700 + k, 60) for k in range(8)}
+    near = text[0] + " tail"
+    docs = [(1, text[0]), (7, near), (7, text[1]), (7, text[2]), (7, text[2]), (None, near), (None, text[3]), (None, text[3] + " tail"), (None, text[4]), (None, None), (None, ""), (None, ""), (8, ""), (8, None), (8, "")]
+    got = rows(ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string")))
+    either = [t for d, t in got if t in (text[3], text[3] + " tail")]
+    assert len(either) == 1
+    want = [(1, text[0]), (7, text[1]), (7, text[2]), (None, either[0]), (None, text[4]), (None, None), (None, ""), (None, ""), (8, ""), (8, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_keep_one_in_the_frame(frame, corpus):
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(frame).collect()]
+    assert (None, None) in got and (None, corpus[0][1]) not in got and got.count((1, corpus[1][1])) == 1
+
+
 def test_empty_table(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

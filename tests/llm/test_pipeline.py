@@ -47,3 +47,14 @@ def test_stages(spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() >= 60
+
+
+def test_rows_without_or_with_a_shared_doc_id_reach_the_end(spark, tmp_path):
+    where, texts = str(tmp_path), [prose(3000 + i, 80) for i in range(5)]
+    docs = [(i, prose(1000 + i, 80), 80) for i in range(40)] + [(900, texts[0], 80), (900, texts[1], 80), (None, texts[2], 80), (None, texts[3], 80), (901, texts[4], 80), (901, prose(1003, 80) + " tail", 81)]
+    docs += [(200 + i, " ".join(w + "###" for w in prose(2000 + i, 60).split()), 60) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(1, prose(501, 30))], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(40), *range(200, 220)]], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    found = [(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, where).collect()]
+    assert [found.count((d, 0)) for d in (900, None, 901, 3)] == [2, 2, 1, 1]

@@ -20,7 +20,8 @@ each (group of documents, hash range), so frequent shingles are combined per gro
 Cases: null texts and texts without words have no shingle and link with nothing; under
 five words the whole sequence is the one shingle; repeated shingles count once; rows
 with equal sets are linked whatever their doc_id, and a row without one takes its
-component's least (null if there is none); an empty table gives none.
+component's least (null if there is none); an empty table gives none. keep_one chooses
+rows, not ids: texts that share a doc_id, or have none, stay if no link joins them.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-SETS = "doc_id long, n_shingles long, node long"
+SETS = "doc_id long, n_shingles long, node long, h long"
 
 
 def set_sizes(batches):
@@ -73,7 +74,7 @@ def set_sizes(batches):
             sets = sets_of(raw, off)
             sizes += [len(s) for s in sets]
             nodes += [class_of(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), batch.column("h")], ["doc_id", "n_shingles", "node", "h"])
 
 
 def keys_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -243,13 +244,13 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     return tested.union(more).where("link").select("a", "b")
 
 
-def join_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document of (doc_id, text), at Jaccard num / den or more."""
+def _components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n_shingles, node and text hash of each row; node and doc_id of each class; node and comp of each class."""
     docs = docs.select("doc_id", "text")
     total = C.text_bytes(docs)
     n_groups = C.group_count(total)
     n_buckets = W.bucket_count(total)  # about a shingle of four bytes for each four bytes of text
-    sets = C.materialise(docs.mapInArrow(set_sizes, SETS))
+    sets = C.materialise(docs.withColumn("h", F.xxhash64("text")).mapInArrow(set_sizes, SETS))
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     group = C.group_of("doc_id", n_groups).alias("g")
     own = docs.select(group, "doc_id", "text").groupBy("g")
@@ -259,17 +260,38 @@ def join_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     said = ranks.unionByName(wanted, allowMissingColumns=True).select("g", "bucket", "blob", "doc_id", "node")
     found = C.materialise(own.cogroup(said.groupBy("g")).applyInArrow(candidates_of_group(n_buckets, num, den), CANDIDATES))
     links = C.materialise(links_between(found, num, den))
-    comp = components(links)
+    label = classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return sets, classes, label
+
+
+def join_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document of (doc_id, text), at Jaccard num / den or more."""
+    sets, classes, label = _components(docs, num, den)
     # least doc_id of each component, over its classes
-    label = classes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+    label = label.join(classes, "node")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = label.join(least, "comp").select("node", "component_id")
     return sets.join(by_class, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: A row by its doc_id and text: what says whether it has a doc_id, the doc_id, the text's hash.
+ROW = ["no_id", "id", "h"]
+
+
 def keep_one(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """One document of each component, the one with the least doc_id; all columns. Of rows that repeat a doc_id one stays."""
-    found = join_components(docs, num, den)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs.join(kept, "doc_id", "left_semi")
-    return same.dropDuplicates(["doc_id"])
+    """One row of each component, all columns: the least doc_id, rows without one last, then the least text hash.
+
+    Of the texts without words, which link with nothing, one row of each doc_id and text
+    stays, and every row without a doc_id.
+    """
+    no_id, id_ = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")
+    sets, _, label = _components(docs, num, den)
+    rows = sets.select(no_id, id_, "h", "node")
+    first = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(*ROW)).alias("row"))
+    first = first.join(label, "node").groupBy("comp").agg(F.min("row").alias("row")).select("row.*")
+    kept = first.unionByName(rows.where("node is null and not no_id").select(*ROW).distinct())
+    names = [f"_keep_one_{c}" for c in ROW]
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(C.WORD), F.lit(False))
+    keyed = docs.where(~loose).select("*", *[c.alias(n) for c, n in zip((no_id, id_, F.xxhash64("text")), names, strict=True)])
+    same = keyed.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names)
+    return same.select(*docs.columns).unionByName(docs.where(loose))
