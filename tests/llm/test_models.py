@@ -116,6 +116,17 @@ def check_packing(rows, capacity):
     return len(bins)
 
 
+def test_packing_encodes_as_the_tokenizer_does(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(packing.vocabulary())
+    monkeypatch.setattr(packing, "_CHUNK", 40)
+    end = "<|endoftext|>"
+    for text in ("", "a <|endoftext|> b", end, end + end, f"x  {end}\n\n y", f"<{end}>", "<|endoftext|", " <|ENDOFTEXT|>", f"one two {end} " * 30, f"word{end}" * 30, f"a b c{end} d" * 40):
+        assert packing.encode(enc, text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_round_trip(spark, frame, corpus):
 
     import public_tokenizers

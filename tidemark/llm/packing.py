@@ -40,10 +40,12 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 
 
 _ENCODERS: dict[str, object] = {}
+#: In a text, too, the vocabulary makes this one id; it holds no blank, where long texts are parted.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 
 
 def encoder(ranks_file: str):
-    """The byte-level BPE of the JSON vocabulary, from its rank file: the same ids, four times as fast."""
+    """The byte-level BPE of the JSON vocabulary, from its rank file and its added token: the same ids, four times as fast."""
     if ranks_file not in _ENCODERS:
         import base64
 
@@ -52,7 +54,7 @@ def encoder(ranks_file: str):
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[ranks_file] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[ranks_file] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS)
     return _ENCODERS[ranks_file]
 
 
@@ -72,13 +74,13 @@ _CHUNK = 1 << 20
 def encode(enc, text: str) -> np.ndarray:
     """Ids of a whole text. Long texts are parted before a blank between letters, where no token reaches across."""
     if len(text) <= _CHUNK:
-        return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        return np.asarray(enc.encode_to_numpy(text, allowed_special="all"), np.uint32)
     parts, a = [], 0
     while a < len(text):
         b = min(len(text), a + _CHUNK)
         while b < len(text) and not (text[b] == " " and text[b - 1].isalpha() and text[b + 1 : b + 2].isalpha()):
             b += 1
-        parts.append(np.asarray(enc.encode_to_numpy(text[a:b], disallowed_special=()), np.uint32))
+        parts.append(np.asarray(enc.encode_to_numpy(text[a:b], allowed_special="all"), np.uint32))
         a = b
     return np.concatenate(parts)
 
