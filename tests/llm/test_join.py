@@ -32,6 +32,15 @@ def test_links_near_the_threshold(spark, seed):
     assert rows(ngram_join.join_components(df)) == plain.components(docs)
 
 
+def test_links_where_no_central_class_may_link(spark):
+    """The most central class of each list that 1 and 2 share is 3, which is too long for either."""
+    base, boiler = [f"w{i}" for i in range(54)], [f"b{i}" for i in range(100)]
+    docs = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join(base + boiler))]
+    docs += [(10 + d, " ".join([*boiler, *[f"d{d}x{i}" for i in range(200)]])) for d in range(8)]
+    got = rows(ngram_join.join_components(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == plain.components(docs) and (2, 50, 1) in got
+
+
 def test_keep_one(frame):
     got = sorted(r.doc_id for r in ngram_join.keep_one(frame).collect() if r.doc_id is not None)
     assert got == sorted(set(got)) and 30 not in got and 0 in got and 42 in got and 10 not in got

@@ -192,7 +192,6 @@ def may_link_by_pivot(num: int, den: int, a: str = "", b: str = "p_") -> Column:
 
 def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links of candidate classes, enough for the right components."""
-    spark = found.sparkSession
     fine = found.select("node", F.posexplode("fragments").alias("f", "seg")).where(F.size("seg") > 0)
     wide = F.array(*[F.flatten(F.slice("fragments", i + 1, JOINED)) for i in range(0, FRAGMENTS, JOINED)])
     coarse = found.select("node", F.posexplode(wide).alias("f", "seg")).where(F.size("seg") > 0)
@@ -228,12 +227,9 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
             more = profile = linked(best, fine)
         else:
             more = linked(unordered(best).distinct().join(unordered(tested), ["a", "b"], "left_anti"), coarse)
-        if more.isEmpty():
-            break
         tested = more if tested is None else tested.union(more)
-        at = between_components(tested)
-    if tested is None:
-        return spark.createDataFrame([], "a long, b long")
+        if not more.isEmpty():  # else no list is joined yet, and the pairs are left to the next round or the last join
+            at = between_components(tested)
     near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "shared", *PARTS)
     at = C.materialise(at.join(near, "node", "left").withColumn("outside", F.col("n") - F.col("shared") - F.col("u")).drop("shared", "central"))
     other = at.select("s", *[F.col(c).alias(f"p_{c}") for c in at.columns if c != "s"])
