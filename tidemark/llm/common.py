@@ -33,7 +33,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def group_count(total_bytes: int) -> int:
-    """Number of document groups: 4 MiB each, growing to 64 MiB for large corpora."""
+    """Number of document groups: 2 MiB each, growing to 64 MiB for large corpora."""
     size = min(GROUP_BYTES_MAX, max(GROUP_BYTES, total_bytes // GROUPS_BEFORE_GROWTH))
     return max(1, -(-total_bytes // size))
 

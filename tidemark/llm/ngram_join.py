@@ -70,7 +70,7 @@ def set_sizes(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch])
         sizes, nodes = [], []
-        for _, raw, off in W.blocks(table, unnamed=True):
+        for _, raw, off in W.blocks(table):
             sets = sets_of(raw, off)
             sizes += [len(s) for s in sets]
             nodes += [class_of(s) if len(s) else None for s in sets]
@@ -88,7 +88,7 @@ def _representatives(docs: pa.Table, said: pa.Table) -> list[tuple[int, int, np.
     ids = {d for d, _ in wanted}
     mine = docs.filter(pa.array([d in ids for d in docs["doc_id"].to_pylist()], pa.bool_()))
     out = []
-    for block_ids, raw, off in W.blocks(mine, unnamed=True):
+    for block_ids, raw, off in W.blocks(mine):
         for d, s in zip(block_ids.tolist(), sets_of(raw, off), strict=True):
             if len(s) and (d, n := class_of(s)) in wanted:
                 wanted.discard((d, n))

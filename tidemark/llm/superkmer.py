@@ -2,19 +2,21 @@
 
 Consecutive windows that share their minimiser (the least-hashed run of five of
 their thirteen words) travel as one packed string, the words joined by one space,
-to the minimiser's bucket; sorting the windows of a bucket finds equal ones exactly
-(see ``windows``; minimisers that lie in one document alone do not travel).
+to the minimiser's bucket; sorting the windows of a bucket by their hashes, with equal
+hashes compared byte by byte, finds equal ones exactly (see ``windows``; minimisers that
+lie in one document alone do not travel).
 
 Cases: null text has no words; documents of fewer words than a window keep all;
 any ASCII white space parts words and the kept words are joined by one space; rows
-with the same doc_id are one document for the comparison, one without doc_id stays whole
-and removes nothing; an empty table gives none.
+with the same doc_id are one document for the comparison, each cut by its own text; one
+without doc_id stays whole and removes nothing; very long texts are read in stretches; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,26 +37,48 @@ def word_tokens(raw: np.ndarray, offsets: np.ndarray) -> W.Tokens:
     return W.Tokens(C.word_hashes(raw, starts, ends), packed, to, to + sizes, word_offsets)
 
 
-def sorted_least(length: int):
-    def least(strings: list[bytes], low: np.ndarray, anchors: np.ndarray, count: np.ndarray) -> np.ndarray:
-        windows: list[bytes] = []
-        for s in strings:
-            cut = [-1, *np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist(), len(s)]
-            windows += [s[a + 1 : b] for a, b in zip(cut, cut[length:], strict=False)]
-        docs = np.repeat(low, count)
-        out = docs.copy()
-        order = sorted(range(len(windows)), key=windows.__getitem__)
-        for _, same in groupby(order, windows.__getitem__):
-            same = list(same)
-            if len(same) > 1:
-                out[same] = docs[same].min()
-        return out
+def word_stretches(length: int):
+    """Stretches of whole words whose windows follow on one another."""
 
-    return least
+    def stretches(raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        starts, ends, _ = C.words(raw, np.array([0, len(raw)]))
+        a = 0
+        while a == 0 or a < len(starts) - length + 1:
+            b = min(len(starts), max(a + 1, int(np.searchsorted(starts, starts[a] + W.BLOCK))) + length - 1) if len(starts) else 0
+            yield int(starts[a]) if b else 0, int(ends[b - 1]) if b else 0, a
+            a = max(a + 1, b - length + 1)
+
+    return stretches
+
+
+def sorted_spans(length: int, k: int):
+    """Windows of distinct strings with the least doc_id of their class, as runs of one doc_id."""
+
+    def spans(strings: W.Strings, low: np.ndarray) -> tuple[np.ndarray, ...]:
+        blank = np.flatnonzero(strings.data == 32)
+        starts, ends = np.sort(np.concatenate((strings.starts, blank + 1))), np.sort(np.concatenate((strings.ends, blank)))
+        first = np.searchsorted(starts, strings.starts)
+        windows = np.diff(np.append(first, len(starts))) - length + 1
+        # strings that alone have their minimiser are settled
+        at = first + strings.anchor
+        _, class_ = W.distinct(strings.data, starts[at], ends[at + k - 1])
+        several = np.bincount(class_)[class_] > 1
+        alone, shared = np.flatnonzero(~several), np.flatnonzero(several)
+        out = [(alone, np.zeros(len(alone), np.int64), windows[alone], low[alone])]
+        if len(shared):
+            count = windows[shared]
+            at = C.ranges(first[shared], count)
+            member, class_ = W.distinct(strings.data, starts[at], ends[at + length - 1])
+            least = np.full(len(member), np.iinfo(np.int64).max)
+            np.minimum.at(least, class_, np.repeat(low[shared], count))
+            out.append(W.spans_with_last(np.repeat(shared, count), C.ranges(np.zeros(len(shared), np.int64), count), least[class_]))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+
+    return spans
 
 
 def spec(length: int = 13, minimiser: int = 5) -> W.Spec:
-    return W.Spec(length, minimiser, word_tokens, sorted_least(length), lambda s: s.count(b" ") + 1, bytes_per_anchor=6 * (length - minimiser + 2) / 2)
+    return W.Spec(length, minimiser, word_tokens, word_stretches(length), sorted_spans(length, minimiser), bytes_per_anchor=6 * (length - minimiser + 2) / 2)
 
 
 def kept_words(text: bytes | None, spans: np.ndarray | None) -> tuple[list[bytes], int]:

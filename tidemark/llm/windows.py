@@ -8,21 +8,28 @@ all of packed binary rows, one for each (group of documents, bucket):
    answers with those that lie in more than one document. All other windows are
    unique and travel no further;
 2. for the anchors left, consecutive windows with the same anchor travel as one
-   packed string, once per group however often it occurs there, with the places
-   where it occurs; the bucket finds for each window the least doc_id that holds it;
-3. the places covered by a window of a smaller doc_id go back to the documents.
-
-A hot anchor or string reaches a bucket once per group of documents, not once per
-document, so groups of copies are combined before the shuffle. Documents are dealt
-to groups by a hash of doc_id; the three steps share that one exchange of texts.
-Groups and buckets have a bounded size; nothing goes to the driver but the sum of
-text bytes. All steps are deterministic, so lost executors are simply recomputed.
+   packed string, once per group however often it occurs there, with the least
+   doc_id that holds it in the group and whether there are more; the bucket finds
+   for each window the least doc_id of all;
+3. the bucket answers each group with the windows of its strings that a smaller
+   doc_id holds. The group finds its strings again, in the same order, and only it
+   knows where in its documents they occur.
+
+A hot anchor or string costs a bucket one small row a group, and a group what its own
+documents hold: places never travel. Documents are dealt to groups by a hash of doc_id
+and text; all steps share that one exchange of texts. Nothing goes to the driver but the
+sum of text bytes and the cuts of the buckets. All steps are deterministic functions of
+the rows of a group, in whatever order they come, so lost executors are simply recomputed.
+
+Strings are told apart by 64-bit hashes whose matches are compared byte by byte; should
+two different strings of one set collide, the set is hashed again with another salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Tokens that are worked on at once.
+#: Text bytes that are worked on at once; a longer document is worked on in stretches.
 BLOCK = 1 << 18
 #: Anchor hashes of one bucket; for large corpora buckets grow, so that a group sends each of them more than a few.
 BUCKET_BYTES = 5 << 20
 BUCKET_BYTES_MAX = 64 << 20
 BUCKETS_BEFORE_GROWTH = 16_384
+#: Buckets of strings for each bucket of anchor hashes.
+STRING_BUCKETS = 5
 
 
 @dataclass
@@ -57,32 +66,36 @@ class Spec:
     length: int
     anchor: int
     tokens: Callable[[np.ndarray, np.ndarray], Tokens]
-    least: Callable  # least(strings, docs, anchor groups) -> for each string its windows' least doc_id
-    unit: Callable[[bytes], int]  # tokens of a packed string
+    stretches: Callable[[np.ndarray], Iterator[tuple[int, int, int]]]  # of a long text: bytes from, to, tokens before
+    spans: Callable  # spans(strings, least doc_ids) -> (string, first window, last window + 1, least doc_id)
     bytes_per_anchor: float
+    leading: int = 0  # bytes of an anchor that order the string buckets; 0: they are ranges of its hash
 
 
-def blocks(table: pa.Table, unnamed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, bytes and offsets of the group's documents, in blocks of whole documents; those without doc_id only if asked for."""
-    if unnamed:
-        ids = np.array([*table["doc_id"].to_pylist(), None], object)[:-1]
-    else:
-        table = table.filter(table["doc_id"].is_valid())
-        ids = table["doc_id"].to_numpy()
-    raw, off = C.flat(table["text"])
+def block_bounds(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Blocks of whole documents of about BLOCK bytes."""
     a = 0
-    while a < len(ids):
+    while a < len(off) - 1:
         b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK, "right")) - 1)
-        yield ids[a:b], raw[off[a] : off[b]], off[a : b + 1] - off[a]
+        yield a, b
         a = b
 
 
+def blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids (objects, None where there is none), bytes and offsets of the group's documents, in blocks."""
+    ids = np.array([*table["doc_id"].to_pylist(), None], object)[:-1]
+    raw, off = C.flat(table["text"])
+    for a, b in block_bounds(off):
+        yield ids[a:b], raw[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
 @dataclass
 class Runs:
     """Consecutive windows of one document with one anchor."""
 
     first: np.ndarray  # token where the first window starts
     last: np.ndarray  # token where the last window starts
+    at: np.ndarray  # token where the anchor starts
     hash: np.ndarray  # of the anchor
     doc: np.ndarray  # index in the block
 
@@ -91,10 +104,10 @@ def runs(t: Tokens, length: int, k: int) -> Runs:
     m = length - k + 1
     none = np.empty(0, np.int64)
     if len(t.hashes) < length:
-        return Runs(none, none, np.empty(0, np.uint64), none)
+        return Runs(none, none, none, np.empty(0, np.uint64), none)
     found: list[tuple] = []
     step, low = 1 << 20, np.uint64((1 << 21) - 1)
-    for a in range(0, len(t.hashes) - length + 1, step):  # more than one turn only in very long documents
+    for a in range(0, len(t.hashes) - length + 1, step):
         h = C.grams(t.hashes[a : a + step + length - 1], k)
         keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         at = (C.sliding_min(keys, m) & low).astype(np.int64)
@@ -108,13 +121,114 @@ def runs(t: Tokens, length: int, k: int) -> Runs:
     whole[cut[cut < len(at)]] = False
     places = np.flatnonzero(whole)
     if not len(places):
-        return Runs(none, none, np.empty(0, np.uint64), none)
+        return Runs(none, none, none, np.empty(0, np.uint64), none)
     doc = np.searchsorted(t.offsets, places, "right") - 1
     new = np.ones(len(places), bool)
     new[1:] = (at[places][1:] != at[places][:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(places)) - 1
-    return Runs(places[begin], places[end], h[places[begin]], doc[begin])
+    return Runs(places[begin], places[end], at[places[begin]], h[places[begin]], doc[begin])
+
+
+def named(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+    """Rows that have a doc_id, those ids, and the texts."""
+    valid = docs["doc_id"].is_valid()
+    rows = np.flatnonzero(valid.to_numpy())
+    docs = docs.select(["doc_id", "text"]).filter(valid)
+    return rows, docs["doc_id"].to_numpy().astype(np.int64), docs["text"]
+
+
+def runs_of(spec: Spec, texts: pa.ChunkedArray) -> Iterator[tuple[int, int, Tokens, Runs]]:
+    """Index of the block's first document, tokens before the stretch, tokens and runs."""
+    raw, off = C.flat(texts)
+    for a, b in block_bounds(off):
+        text = raw[off[a] : off[b]]
+        parts = [(0, len(text), 0)] if b - a > 1 or len(text) <= 2 * BLOCK else spec.stretches(text)
+        for from_, to, before in parts:
+            t = spec.tokens(text[from_:to], off[a : b + 1] - off[a] if b - a > 1 else np.array([0, to - from_]))
+            yield a, before, t, runs(t, spec.length, spec.anchor)
+
+
+# --- exact classes of byte strings ---------------------------------------------------
+
+STRETCH = 1 << 19
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each string data[start:end], by differences of prefix sums; starts ascend."""
+    out = np.empty(len(starts), np.uint64)
+    values = C.mix(np.arange(1, 257, dtype=np.uint64) * C.MULT + np.uint64(salt))
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, base + STRETCH, "right")))
+        part = data[base : int(ends[i:j].max())]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * C.powers("up", len(part)), out=prefix[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = C.mix((prefix[b] - prefix[a]) * C.powers("down", len(part) + 1)[a])
+        i = j
+    return out
+
+
+def _all_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the strings at a and b, two by two, are equal."""
+    done = np.cumsum(sizes)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + STRETCH, "right")))
+        if (data[C.ranges(a[i:j], sizes[i:j])] != data[C.ranges(b[i:j], sizes[i:j])]).any():
+            return False
+        i = j
+    return True
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A member of each class of equal strings, and the class of each string.
+
+    Classes are in the order of a hash that depends on the set of strings alone.
+    """
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = ends - starts
+    for salt in count():
+        h = string_hashes(data, starts, ends, salt)
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        x, y = order[:-1][same], order[1:][same]
+        if (sizes[x] == sizes[y]).all() and _all_equal(data, starts[x], starts[y], sizes[x]):
+            break
+    new = np.append(True, ~same)
+    class_ = np.empty(len(starts), np.int64)
+    class_[order] = np.cumsum(new) - 1
+    return order[new], class_
+
+
+@dataclass
+class Strings:
+    """Byte strings on end, and the token of each where its anchor starts."""
+
+    data: np.ndarray
+    sizes: np.ndarray
+    anchor: np.ndarray
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.sizes)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.ends - self.sizes
+
+    def take(self, at: np.ndarray) -> Strings:
+        return Strings(self.data[C.ranges(self.starts[at], self.sizes[at])], self.sizes[at], self.anchor[at])
+
+
+def joined(parts: list[Strings]) -> Strings:
+    return Strings(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("data", "sizes", "anchor")))
+
+
+# --- step 1: anchors that lie in several documents -----------------------------------
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -152,20 +266,20 @@ def _rows(**columns) -> pa.Table:
 
 
 ASKED = "g int, bucket int, blob binary"
-SAID = "g int, blob binary"
+#: The bucket of rows that hold the repeated anchors of a group.
+ANCHORS = -1
 
 
 def anchors_of_group(spec: Spec, n_buckets: int):
     """The group's distinct anchors; the lowest bit tells of several documents."""
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        hashes, docs = [], []
-        for ids, raw, off in blocks(table):
-            r = runs(spec.tokens(raw, off), spec.length, spec.anchor)
-            hashes.append(r.hash)
-            docs.append(ids[r.doc])
-        h, d = np.concatenate([*hashes, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
-        h = short(h)
+        hashes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        _, ids, texts = named(table)
+        for first, _, _, r in runs_of(spec, texts):
+            hashes.append(short(r.hash))
+            docs.append(ids[first + r.doc])
+        h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         if not len(h):
@@ -181,7 +295,7 @@ def anchors_of_group(spec: Spec, n_buckets: int):
 
 
 def repeated_anchors(key: tuple, table: pa.Table) -> pa.Table:
-    """For each group those of its hashes that lie in several documents."""
+    """For each group those of its hashes that lie in several documents (or in two groups: the bucket can't tell)."""
     groups, blobs = table["g"].to_numpy(), table["blob"].to_pylist()
     parts = [from_six_bytes(b) for b in blobs]
     sent = np.concatenate(parts)
@@ -197,134 +311,182 @@ def repeated_anchors(key: tuple, table: pa.Table) -> pa.Table:
     h, from_ = h[order], from_[order]
     cuts = np.searchsorted(from_, np.arange(len(parts) + 1))
     full = np.flatnonzero(np.diff(cuts))
-    return _rows(g=groups[full], blob=[six_bytes(h[cuts[i] : cuts[i + 1]]) for i in full])
+    return _rows(g=groups[full], bucket=[ANCHORS] * len(full), blob=[six_bytes(h[cuts[i] : cuts[i + 1]]) for i in full])
+
 
+# --- step 2: strings of windows ------------------------------------------------------
 
-def _pack(hashes: list[int], strings: list[bytes], docs: list[np.ndarray], at: list[np.ndarray]) -> bytes:
-    """Header n; per string anchor, length, number of places; then doc_ids, places, strings; compressed, after the plain size."""
-    head = np.array([len(strings)], np.int64).tobytes()
-    sizes = np.array([len(s) for s in strings], np.int32).tobytes()
-    times = np.array([len(d) for d in docs], np.int32).tobytes()
-    plain = b"".join([head, np.array(hashes, np.uint64).tobytes(), sizes, times, np.concatenate(docs).tobytes(), np.concatenate(at).tobytes(), *strings])
-    return len(plain).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(plain, asbytes=True)
 
+@dataclass
+class Cuts:
+    """Buckets of strings: ranges of the anchors' leading bytes, else of their hashes."""
+
+    n: int
+    first: np.ndarray | None = None  # of each cut the first eight bytes, and the next eight
+    second: np.ndarray | None = None
 
-def _unpack(blob: bytes):
-    blob = pa.Codec("zstd", 3).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    p = 8
+    def bucket(self, spec: Spec, data: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of anchors that start at data[at], with hashes h."""
+        if not spec.leading:
+            return bucket_of(h, self.n)
+        first, second = leading(spec, data, at)
+        low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
+        out = low.copy()
+        tied = np.flatnonzero(low < high)  # a hot digit has several cuts: the next one parts it
+        for a in np.unique(low[tied]).tolist():
+            mine = tied[low[tied] == a]
+            out[mine] = a + np.searchsorted(self.second[a : high[mine[0]]], second[mine], "right")
+        return out
+
+
+def digit(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Up to eight bytes from each place as one number, the first byte the most significant."""
+    if size <= 0 or not len(at):
+        return np.zeros(len(at), np.uint64)
+    out = np.zeros((len(at), 8), np.uint8)
+    for i in range(min(8, size)):
+        out[:, i] = data[at + i]
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def leading(spec: Spec, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return digit(data, at, spec.leading), digit(data, at + 8, spec.leading - 8)
+
+
+def _pack(blob: bytes) -> bytes:
+    """Compressed, after the plain size."""
+    return len(blob).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(blob, asbytes=True)
+
+
+def _unpack(blob: bytes) -> memoryview:
+    return memoryview(pa.Codec("zstd", 3).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+
+
+def arrays(view: memoryview, n: int, *kinds) -> tuple[list[np.ndarray], memoryview]:
+    """n values of each kind, one after the other, and what is left."""
     out = []
-    for kind, count in ((np.uint64, n), (np.int32, n), (np.int32, n)):
-        out.append(np.frombuffer(blob, kind, count, p))
-        p += out[-1].nbytes
-    places = int(out[2].sum())
-    docs = np.frombuffer(blob, np.int64, places, p)
-    at = np.frombuffer(blob, np.int64, places, p + 8 * places)
-    p += 16 * places
-    ends = p + np.cumsum(out[1], dtype=np.int64)
-    strings = [blob[e - s : e] for e, s in zip(ends.tolist(), out[1].tolist(), strict=True)]
-    return out[0], strings, out[2], docs, at
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        out.append(np.frombuffer(view[:size], kind))
+        view = view[size:]
+    return out, view
 
 
-def strings_of_group(spec: Spec, n_buckets: int):
-    """Packed strings of windows whose anchor is repeated, each once, with its places."""
+@dataclass
+class Occurrences:
+    """The distinct strings of a group in the order of bucket and hash, and where they occur."""
+
+    strings: Strings
+    bucket: np.ndarray
+    doc: np.ndarray  # index among the documents that have a doc_id
+    at: np.ndarray  # token of the document
+    string: np.ndarray
+
+
+def occurrences(spec: Spec, texts: pa.ChunkedArray, repeated: np.ndarray, cuts: Cuts) -> Occurrences | None:
+    parts, buckets, docs, ats, owners, n = [], [], [], [], [], 0
+    for first, before, t, r in runs_of(spec, texts):
+        h = short(r.hash)
+        near = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+        kept = np.flatnonzero(repeated[near] == h)
+        if not len(kept):
+            continue
+        a, b = t.starts[r.first[kept]], t.ends[r.last[kept] + spec.length - 1]
+        member, class_ = distinct(t.packed, a, b)
+        anchor = r.at[kept] - r.first[kept]
+        parts.append(Strings(t.packed[C.ranges(a[member], (b - a)[member])], (b - a)[member], anchor[member]))
+        buckets.append(cuts.bucket(spec, t.packed, t.starts[r.at[kept[member]]], h[kept[member]] << np.uint64(16)))
+        docs.append(first + r.doc[kept])
+        ats.append(before + r.first[kept] - t.offsets[r.doc[kept]])
+        owners.append(n + class_)
+        n += len(member)
+    if not parts:
+        return None
+    strings, bucket = joined(parts), np.concatenate(buckets)
+    del parts
+    member, class_ = distinct(strings.data, strings.starts, strings.ends)
+    order = np.argsort(bucket[member], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    member = member[order]
+    return Occurrences(strings.take(member), bucket[member], np.concatenate(docs), np.concatenate(ats), rank[class_][np.concatenate(owners)])
+
+
+def strings_of_group(spec: Spec, cuts: Cuts):
+    """Packed strings of windows whose anchor is repeated, each once."""
 
     def ask(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
-        if not docs.num_rows or not said.num_rows:
-            return _rows(g=[], bucket=[], blob=[])
-        repeated = np.sort(np.concatenate([from_six_bytes(b) for b in said["blob"].to_pylist()]))
-        found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        for ids, raw, off in blocks(docs):
-            t = spec.tokens(raw, off)
-            r = runs(t, spec.length, spec.anchor)
-            h = short(r.hash)
-            near = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-            kept = np.flatnonzero(repeated[near] == h)
-            data = t.packed.tobytes()
-            a, b = t.starts[r.first[kept]].tolist(), t.ends[r.last[kept] + spec.length - 1].tolist()
-            doc = r.doc[kept]
-            for x, y, hash_, d, at in zip(a, b, h[kept].tolist(), ids[doc].tolist(), (r.first[kept] - t.offsets[doc]).tolist(), strict=True):
-                found.setdefault((hash_, data[x:y]), []).append((d, at))
-        if not found:
+        found = None
+        if docs.num_rows and said.num_rows:
+            _, ids, texts = named(docs)
+            found = occurrences(spec, texts, np.sort(np.concatenate([from_six_bytes(b) for b in said["blob"].to_pylist()])), cuts)
+        if found is None:
             return _rows(g=[], bucket=[], blob=[])
-        keys = list(found)
-        bucket = bucket_of(np.array([k[0] for k in keys], np.uint64) << np.uint64(16), n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        full, out = np.flatnonzero(np.diff(cuts)), []
-        for b in full:
-            mine = [keys[i] for i in order[cuts[b] : cuts[b + 1]]]
-            places = [np.array(found[k], np.int64).reshape(-1, 2) for k in mine]
-            out.append(_pack([k[0] for k in mine], [k[1] for k in mine], [p[:, 0] for p in places], [p[:, 1] for p in places]))
+        order = np.argsort(found.string, kind="stable")
+        begin = np.searchsorted(found.string[order], np.arange(len(found.bucket)))
+        doc = ids[found.doc[order]]
+        low, several = np.minimum.reduceat(doc, begin), np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
+        full, first = np.unique(found.bucket, return_index=True)
+        ends, out = found.strings.ends, []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
+            s = found.strings
+            head = [np.int64(b - a), s.sizes[a:b].astype(np.int32), s.anchor[a:b].astype(np.int32), several[a:b], low[a:b], s.data[ends[a] - s.sizes[a] : ends[b - 1]]]
+            out.append(_pack(b"".join(x.tobytes() for x in head)))
         return _rows(g=[key[0].as_py()] * len(full), bucket=full, blob=out)
 
     return ask
 
 
-def covered_places(spec: Spec):
-    """For each group the token ranges (doc_id, from, to) that smaller doc_ids hold too."""
+def least_windows(spec: Spec):
+    """For each group, and each of its strings in their order, the windows that a smaller doc_id holds."""
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        number: dict[tuple[int, bytes], int] = {}
-        least_of: list[int] = []
-        sent = []
-        for g, blob in zip(table["g"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            hashes, strings, times, docs, at = _unpack(blob)
-            own = np.empty(len(strings), np.int64)
-            begin = np.concatenate(([0], np.cumsum(times)[:-1]))
-            low = np.minimum.reduceat(docs, begin).tolist()
-            for i, k in enumerate(zip(hashes.tolist(), strings, strict=True)):
-                j = number.setdefault(k, len(least_of))
-                if j == len(least_of):
-                    least_of.append(low[i])
-                elif low[i] < least_of[j]:
-                    least_of[j] = low[i]
-                own[i] = j
-            sent.append((g, np.repeat(own, times), docs, at))
-        strings = [s for _, s in number]
-        anchors = np.array([h for h, _ in number], np.uint64)
-        # spans of equal least doc_id: for string i the spans begin[i]:begin[i + 1] of (from, to, doc)
-        begin, from_, to, doc = least_spans(spec, strings, np.array(least_of, np.int64), anchors)
-        groups, blobs = [], []
-        for g, own, docs, at in sent:
-            count = begin[own + 1] - begin[own]
-            span = C.ranges(begin[own], count)
-            d, p = np.repeat(docs, count), np.repeat(at, count)
-            hit = doc[span] < d
-            if hit.any():
-                span, d, p = span[hit], d[hit], p[hit]
-                groups.append(g)
-                blobs.append(np.stack([d, p + from_[span], p + to[span] + spec.length - 1]).tobytes())
-        return _rows(g=groups, blob=blobs)
+        groups, parts, lows, severals = table["g"].to_numpy(), [], [], []
+        for blob in table["blob"]:
+            view = _unpack(blob.as_py())
+            (n,), view = arrays(view, 1, np.int64)
+            (sizes, anchor, several, low), view = arrays(view, int(n[0]), np.int32, np.int32, np.bool_, np.int64)
+            parts.append(Strings(np.frombuffer(view, np.uint8), sizes.astype(np.int64), anchor))
+            lows.append(low)
+            severals.append(several)
+        sent = np.array([len(x) for x in lows])
+        strings, low, several = joined(parts), np.concatenate(lows), np.concatenate(severals)
+        del parts, lows
+        member, class_ = distinct(strings.data, strings.starts, strings.ends)
+        least = np.full(len(member), np.iinfo(np.int64).max)
+        np.minimum.at(least, class_, low)
+        owner, from_, to, doc = spec.spans(strings.take(member), least)
+        del strings
+        order = np.argsort(owner, kind="stable")
+        from_, to, doc = from_[order], to[order], doc[order]
+        begin = np.searchsorted(owner[order], np.arange(len(member) + 1))
+        times = (begin[1:] - begin[:-1])[class_]
+        span, own = C.ranges(begin[class_], times), np.repeat(np.arange(len(class_)), times)
+        hit = (doc[span] < low[own]) | several[own]
+        span, own = span[hit], own[hit]
+        times = np.bincount(own, minlength=len(class_))
+        ends = np.cumsum(sent)
+        out, keep = [], []
+        cut = np.searchsorted(own, [0, *ends])
+        for i, (a, b) in enumerate(zip(ends - sent, ends, strict=True)):
+            if cut[i + 1] > cut[i]:
+                s = span[cut[i] : cut[i + 1]]
+                keep.append(i)
+                out.append(_pack(b"".join(x.tobytes() for x in (np.int64(b - a), np.int64(len(s)), times[a:b].astype(np.int32), from_[s].astype(np.int32), to[s].astype(np.int32), doc[s].astype(np.int64)))))
+        return _rows(g=groups[keep], bucket=[key[0].as_py()] * len(keep), blob=out)
 
     return answer
 
 
-def least_spans(spec: Spec, strings: list[bytes], low: np.ndarray, anchors: np.ndarray):
-    """Runs of windows with one least doc_id. A string that alone has its anchor is one run."""
-    n = len(strings)
-    count = np.array([spec.unit(s) - spec.length + 1 for s in strings], np.int64)
-    order = np.argsort(anchors, kind="stable")
-    sorted_ = anchors[order]
-    start = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    size = np.diff(np.append(start, n))
-    shared = np.zeros(n, bool)
-    shared[order] = np.repeat(size > 1, size)
-    mine = order[shared[order]]  # those with one anchor stand together
-    alone = np.flatnonzero(~shared)
-    spans = [(alone, np.zeros(len(alone), np.int64), count[alone], low[alone])]
-    if len(mine):
-        least = spec.least([strings[i] for i in mine], low[mine], anchors[mine], count[mine])
-        owner = np.repeat(mine, count[mine])
-        place = np.arange(len(least)) - np.repeat(np.cumsum(count[mine]) - count[mine], count[mine])
-        new = np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(least)) - 1
-        spans.append((owner[a], place[a], place[b] + 1, least[a]))
-    owner, from_, to, doc = (np.concatenate([s[i] for s in spans]).astype(np.int64) for i in range(4))
-    order = np.argsort(owner, kind="stable")
-    begin = np.searchsorted(owner[order], np.arange(n + 1))
-    return begin, from_[order], to[order], doc[order]
+def spans_with_last(owner: np.ndarray, place: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows one after the other as runs of one least doc_id: (string, first, last + 1, doc_id)."""
+    new = np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1]))
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(least)) - 1
+    return owner[a], place[a], place[b] + 1, least[a]
+
+
+# --- step 3: places in the documents -------------------------------------------------
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -336,61 +498,110 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[begin, 0], reach[np.append(begin[1:], len(spans)) - 1]], axis=1)
 
 
-def per_document(table: pa.Table) -> dict[int, np.ndarray]:
-    """Merged (from, to) ranges by doc_id."""
-    if not table.num_rows:
+def ranges_of_rows(spec: Spec, cuts: Cuts, docs: pa.Table, said: pa.Table) -> dict[int, np.ndarray]:
+    """Merged (from, to) token ranges to remove, by row of docs."""
+    answers = {b: x for b, x in zip(said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True) if b != ANCHORS}
+    if not answers or not docs.num_rows:
         return {}
-    d, a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in table["blob"].to_pylist()], axis=1)
+    rows, ids, texts = named(docs)
+    repeated = said.filter(pa.compute.equal(said["bucket"], ANCHORS))
+    found = occurrences(spec, texts, np.sort(np.concatenate([from_six_bytes(b) for b in repeated["blob"].to_pylist()])), cuts)
+    times = np.zeros(len(found.bucket), np.int64)
+    first = np.searchsorted(found.bucket, np.arange(cuts.n + 1))
+    spans = []
+    for b in sorted(answers):
+        (n, k), view = arrays(_unpack(answers[b]), 1, np.int64, np.int64)
+        (own,), view = arrays(view, int(n[0]), np.int32)
+        times[first[b] : first[b + 1]] = own
+        spans.append(arrays(view, int(k[0]), np.int32, np.int32, np.int64)[0])
+    from_, to, doc = (np.concatenate([s[i] for s in spans]) for i in range(3))
+    begin = np.cumsum(times) - times
+    each = times[found.string]
+    span, own = C.ranges(begin[found.string], each), np.repeat(np.arange(len(each)), each)
+    hit = doc[span] < ids[found.doc[own]]
+    span, own = span[hit], own[hit]
+    d, a, b = found.doc[own], found.at[own] + from_[span], found.at[own] + to[span] + spec.length - 1
     order = np.argsort(d, kind="stable")
-    d, spans = d[order], np.stack([a[order], b[order]], axis=1)
-    cuts = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
-    return {int(d[x]): merged(spans[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
+    d, both = d[order], np.stack([a[order], b[order]], axis=1)
+    edge = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d)) if len(d) else np.zeros(1, np.int64)
+    return {int(rows[d[x]]): merged(both[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)}
+
+
+#: Text bytes of the sample that the cuts of string buckets come from, and values of it for each bucket; they only balance buckets.
+SAMPLE_BYTES = 8 << 20
+SAMPLE_OF_BUCKET = 32
+SAMPLE_MOST = 400_000
+
+
+def string_cuts(docs: DataFrame, spec: Spec, n: int, total: int) -> Cuts:
+    """Quantiles of the leading bytes of a sample's anchors, at most SAMPLE_MOST of them."""
+    if not spec.leading:
+        return Cuts(n)
+    values = min(SAMPLE_MOST, n * SAMPLE_OF_BUCKET)
+    one_in = max(1, total // SAMPLE_BYTES)
+    share = min(1.0, values / max(1.0, min(total, SAMPLE_BYTES) / (2 * spec.bytes_per_anchor)))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, t, r in runs_of(spec, pa.chunked_array([batch.column("text")])):
+                at = r.at[(C.mix(r.hash + C.MULT) >> np.uint64(11)) < np.uint64(int(share * 2**53))]
+                a, b = leading(spec, t.packed, t.starts[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x ^ np.uint64(1 << 63)).view(pa.int64()) for x in (a, b)], ["a", "b"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(one_in)) == 0).select("text")
+    found = some.mapInArrow(sampled, "a long, b long").orderBy("a", "b").limit(SAMPLE_MOST).toArrow()
+    first, second = (found[c].to_numpy().view(np.uint64) ^ np.uint64(1 << 63) for c in ("a", "b"))
+    at = np.linspace(0, len(first), n + 1).astype(int)[1:-1] if len(first) else np.empty(0, int)
+    pairs = np.unique(np.stack([first[at], second[at]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
+    return Cuts(len(pairs) + 1, pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
 def repeats(docs: DataFrame, spec: Spec):
-    """Documents by group and the token ranges to remove, ready for one last cogroup; docs may have more columns."""
+    """Documents by group and what is known of their windows, ready for one last cogroup; docs may have more columns."""
     total = C.text_bytes(docs)
     n_groups = C.group_count(total)
     n_buckets = bucket_count(int(total / spec.bytes_per_anchor * 6))
-    n_string_buckets = n_buckets * 5  # strings take some 200 bytes of Python memory each
-    # rows without doc_id are compared with nothing; their texts spread them over the groups
-    spread = F.when(F.col("doc_id").isNotNull(), C.group_of("doc_id", n_groups)).otherwise(C.group_of("text", n_groups))
+    cuts = string_cuts(docs.where("doc_id is not null"), spec, n_buckets * STRING_BUCKETS, total)
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int")
     groups = docs.withColumn(GROUP, spread).groupBy(GROUP)
     asked = groups.applyInArrow(anchors_of_group(spec, n_buckets), ASKED)
-    repeated = asked.groupBy("bucket").applyInArrow(repeated_anchors, SAID)
-    sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, n_string_buckets), ASKED)
-    covered = sent.groupBy("bucket").applyInArrow(covered_places(spec), SAID)
-    return groups.cogroup(covered.groupBy("g"))
+    repeated = asked.groupBy("bucket").applyInArrow(repeated_anchors, ASKED)
+    sent = groups.cogroup(repeated.groupBy("g")).applyInArrow(strings_of_group(spec, cuts), ASKED)
+    covered = sent.groupBy("bucket").applyInArrow(least_windows(spec), ASKED)
+    return groups.cogroup(repeated.unionByName(covered).groupBy("g")), cuts
 
 
 #: Column of the group; of no table that is read here.
 GROUP = "_tidemark_group"
 
 
-def _texts(table: pa.Table) -> list[bytes | None]:
-    return table["text"].cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+def _texts(table: pa.Table) -> Iterator[bytes | None]:
+    for text in table["text"].cast(pa.large_string()).cast(pa.large_binary()):
+        yield text.as_py()
 
 
 def remove_repeats(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
     """finish(doc_id, text bytes, ranges or None) -> a tuple of schema, for each document of (doc_id, text)."""
     names, kinds = zip(*(x.split() for x in schema.split(",")), strict=True)
     types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+    pairs, cuts = repeats(docs.select("doc_id", "text"), spec)
 
     def result(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-        spans = per_document(said)
-        out = [finish(i, t, spans.get(i)) for i, t in zip(table["doc_id"].to_pylist(), _texts(table), strict=True)]
+        spans = ranges_of_rows(spec, cuts, table, said)
+        out = [finish(d, t, spans.get(i)) for i, (d, t) in enumerate(zip(table["doc_id"].to_pylist(), _texts(table), strict=True))]
         return pa.table({n: pa.array([r[j] for r in out], types[j]) for j, n in enumerate(names)})
 
-    return repeats(docs.select("doc_id", "text"), spec).applyInArrow(result, schema)
+    return pairs.applyInArrow(result, schema)
 
 
 def rewrite(docs: DataFrame, spec: Spec, edit) -> DataFrame:
     """All rows and columns, the text as edit(text bytes, ranges) gives it; null stays null."""
+    pairs, cuts = repeats(docs, spec)
 
     def result(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-        spans = per_document(said)
-        texts = [None if t is None else edit(t, spans[i]) if i in spans else t.decode() for i, t in zip(table["doc_id"].to_pylist(), _texts(table), strict=True)]
+        spans = ranges_of_rows(spec, cuts, table, said)
+        texts = [None if t is None else edit(t, spans[i]) if i in spans else t.decode() for i, t in enumerate(_texts(table))]
         table = table.drop_columns([GROUP])
         return table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
 
-    return repeats(docs, spec).applyInArrow(result, docs.schema)
+    return pairs.applyInArrow(result, docs.schema)
