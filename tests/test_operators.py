@@ -227,6 +227,69 @@ def test_declared_checks(spark):
     assert quality.declared_check(df, "unique(a)") and not quality.declared_check(df, "not_null(b)")
     with pytest.raises(ValueError, match="no such check"):
         quality.declared_check(df, "drop(a)")
+    with pytest.raises(ValueError, match="order"):
+        quality.declared_check(df, "monotonic_increasing(a)")
+
+
+@pytest.mark.parametrize(("values", "fine"), [([1, 2, 3], True), ([3, 1, 2], False), ([1, 2, 2], False), ([1, None, 3], False), ([None, 1], False), ([5], True), ([], True), (list(range(3000)), True), ([*range(2000), 1999], False)])
+def test_monotonic_looks_at_the_rows_as_they_stand(spark, values, fine):
+    df = spark.createDataFrame(list(enumerate(values)), "i long, a long").repartition(3)
+    assert quality.declared_check(df, "monotonic_increasing(a)", ["i"]) is fine
+
+
+def test_median_and_deviation_of_ascending_values():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for n in [*range(1, 12), 101, 500]:
+        x = sorted(rng.choice([rng.randrange(5), rng.random() * 100]) for _ in range(n))
+        m, mad = regime.centre(x)
+        assert m == pytest.approx(np.median(x)) and mad == pytest.approx(np.median(np.abs(np.array(x) - np.median(x))))
+
+
+def test_student_t_tail():
+    from tidemark.operators.analysis import one_sided_gate, t_tail
+
+    for t, df, want in ((0.0, 5, 0.5), (2.015048, 5, 0.05), (12.7062, 1, 0.025), (-1.0, 1, 0.75), (1.660234, 100, 0.05), (3.0, 2, 0.047733)):
+        assert t_tail(t, df) == pytest.approx(want, abs=2e-6)
+    assert one_sided_gate(1.0, 1.0, 6, 0.0) and not one_sided_gate(1.0, 1.3, 5, 0.0) and not one_sided_gate(1.0, 0.0, 9, 0.0)
+
+
+def test_quantiles_and_running_sums_without_one_task(spark):
+    import numpy as np
+
+    x = [float((i * 7919) % 1000) for i in range(997)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(x)] + [(None, -1)], "x double, i long")
+    assert ranking.quantiles(df, "x", [0.0, 0.1, 0.5, 0.999, 1.0]) == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.999, 1.0])))
+    assert ranking.quantiles(df.where("x < 0"), "x", [0.5]) == [None]
+    got = {r.i: r.s for r in ranking.running(df.where("i >= 0"), {"s": F.lit(1)}, "i").collect()}
+    assert got == {i: i + 1 for i in range(997)}
+
+
+def test_fdr_in_blocks_of_ranks(spark, monkeypatch):
+    p = [((i * 37) % 101) / 101 for i in range(101)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "id long, p double")
+    monkeypatch.setattr(validation, "RANKS_OF_BLOCK", 7)
+    order = sorted(range(101), key=lambda i: p[i])
+    want, low = {}, 1.0
+    for rank in range(101, 0, -1):
+        low = min(low, p[order[rank - 1]] * 101 / rank)
+        want[order[rank - 1]] = low
+    assert {r.id: r.adjusted for r in validation.fdr(df, "p").collect()} == pytest.approx(want)
+    h = sum(1 / i for i in range(1, 102))
+    scaled = {r.id: r.adjusted for r in validation.fdr(df, "p", yekutieli=True).collect()}
+    assert all(scaled[i] <= min(1.0, want[i] * h) + 1e-12 for i in want)
+    big = spark.createDataFrame([(5000,)], "n long").select(validation.harmonic("n").alias("h")).first().h
+    assert big == pytest.approx(sum(1 / i for i in range(1, 5001)), abs=1e-13)
+
+
+def test_dead_features(spark):
+    from tidemark.operators.features import dead_columns
+
+    df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None), (None, 2.0, None)], "a double, b double, c double")
+    assert {r.column: (r.known, r.dead) for r in dead_columns(df, ["a", "b", "c"]).collect()} == {"a": (2, True), "b": (3, False), "c": (0, True)}
 
 
 def test_regime_needs_count_and_time():
@@ -257,6 +320,29 @@ def test_walkforward_skips_periods_without_a_past(spark):
     assert min(r.open_time for r in got) >= day and sum(r["count"] for r in got) == 20
 
 
+RULE = bars.ImbalanceRule(sign_span=9, length_span=3, initial_length=4.0, least=2.0, most=60.0)
+
+
+def test_imbalance_bars_by_hand(spark):
+    """Without memory (spans of one) a bar ends where the signed count reaches the length of the bar before."""
+    price = [100.0, 101.0, 102.0, 99.0, 98.0, 97.0, 103.0, 104.0, 105.0, 106.0]
+    maker = [False, False, False, True, True, False, False, False, False, False]
+    t = spark.createDataFrame([("a", i, i, p, 2, m) for i, (p, m) in enumerate(zip(price, maker, strict=True))], TRADES)
+    got = sorted(bars.tick_imbalance_bars(t, bars.ImbalanceRule(1, 1, 3.0, 1.0, 100.0)).collect(), key=lambda r: r.bar_id)
+    assert [(r.open_time, r.close_time, r["count"], r.open, r.high, r.low, r.close) for r in got] == [(0, 2, 3, 100.0, 102.0, 100.0, 102.0), (3, 9, 7, 99.0, 106.0, 97.0, 106.0)]
+    assert [(r.volume, r.taker_buy_volume, r.threshold_quote) for r in got] == [(6.0, 6.0, None), (14.0, 10.0, None)]
+    assert got[0].quote_volume == got[0].taker_buy_quote_volume == 606.0
+
+
+def test_a_balanced_flow_still_closes_bars(spark):
+    t = spark.createDataFrame([("a", i, i, 100.0 + i % 5, 1, i % 2 == 0) for i in range(200)], TRADES)
+    got = bars.tick_imbalance_bars(t, bars.ImbalanceRule(99, 3, 20.0, 1.0, 1000.0)).collect()
+    assert len(got) > 1 and sum(r["count"] for r in got) == 200
+    for wrong in ({"sign_span": 0}, {"length_span": 0}, {"initial_length": 0.0}, {"least": 0.0}, {"least": 50.0, "most": 10.0}):
+        with pytest.raises(ValueError):
+            bars.ImbalanceRule(**wrong)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tidemark.streaming import bars as S
 
@@ -265,7 +351,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         t.where(f"transact_time >= {k * 100} and transact_time < {(k + 1) * 100}").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    for processor, batch in ((S.ThresholdBars(50), bars.dollar_bars(t, 50)), (S.ImbalanceBars(10.0), bars.tick_imbalance_bars(t, 10.0))):
+    for processor, batch in ((S.ThresholdBars(50), bars.dollar_bars(t, 50)), (S.ImbalanceBars(RULE), bars.tick_imbalance_bars(t, RULE))):
         name = type(processor).__name__
         # files of one batch may come in any order of their names: write order is kept by the time in them
         q = S.stateful_bars(stream, processor).writeStream.outputMode("append").format("parquet").option("path", f"{sink}/{name}").option("checkpointLocation", f"{sink}/c{name}").trigger(availableNow=True).start()

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import sqrt
-from statistics import NormalDist
+from math import exp, lgamma, log, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import positions
+from .ranking import positions, quantiles, running
 from .validation import ranked, spearman
 
 
@@ -18,8 +17,7 @@ def ecdf(rows: DataFrame, train: DataFrame, value: str, by: Sequence[str] = (),
     from .asof import asof
 
     counts = train.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.select(*by, F.col(value).alias("_v"), F.sum("_c").over(upto).alias("_k"))
+    counts = running(counts, {"_k": F.col("_c")}, value, by, block=None if not by else F.lit(0)).select(*by, F.col(value).alias("_v"), "_k")
     n = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     hit = asof(rows, counts, value, "_v", ["_k"], by, block=10)
     hit = hit.join(n, list(by), "left") if by else hit.crossJoin(F.broadcast(n))
@@ -74,15 +72,15 @@ def joint_threshold(scores: DataFrame, p_long: str, p_short: str, rate: float, s
     Quantiles on a fixed grid and the counts come from one pass each; the grid is the only thing on the driver.
     """
     grid = [i / 1000 for i in range(1001)]
-    q = scores.agg(F.percentile(p_long, grid).alias("a"), F.percentile(p_short, grid).alias("b")).first()
+    a, b = quantiles(scores, p_long, grid), quantiles(scores, p_short, grid)
     low, high = 0, 1000
     for _ in range(steps):
         if high - low <= 1:
             break
         mid = (low + high) // 2
-        share = scores.agg(F.avg(F.when((F.col(p_long) >= q.a[mid]) | (F.col(p_short) >= q.b[mid]), 1.0).otherwise(0.0))).first()[0]
+        share = scores.agg(F.avg(F.when((F.col(p_long) >= a[mid]) | (F.col(p_short) >= b[mid]), 1.0).otherwise(0.0))).first()[0]
         low, high = (mid, high) if share > rate else (low, mid)
-    return q.a[high], q.b[high]
+    return a[high], b[high]
 
 
 def plateaus(df: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
@@ -124,8 +122,34 @@ def lift_error(p_tp: Column, n: Column, breakeven: Column) -> Column:
 
 
 def one_sided_gate(mean: float, sd: float, n: int, least: float, level: float = 0.05) -> bool:
-    """Whether a mean is above ``least``, by a normal test."""
-    return n >= 2 and sd > 0 and (mean - least) / (sd / sqrt(n)) > NormalDist().inv_cdf(1 - level)
+    """Whether a mean is above ``least``, by Student's t with n - 1 degrees of freedom."""
+    return n >= 2 and sd > 0 and t_tail((mean - least) / (sd / sqrt(n)), n - 1) < level
+
+
+def t_tail(t: float, df: float) -> float:
+    """Chance that Student's t exceeds t: half the regularised incomplete beta at df / (df + t^2), by its continued fraction."""
+    half = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    return half if t >= 0 else 1 - half
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised; Lentz's method on whichever side converges."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or tiny)
+            c = 1 + term / c or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * value
 
 
 def tau_sweep(df: DataFrame, score: str, taus: Sequence[float], time: str, by: Sequence[str]) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,39 +100,75 @@ def walkforward_thresholds(trades: DataFrame, trailing_days: int, bars_per_day:
     return days.withColumn("threshold", F.sum("quote").over(trailing) / (trailing_days * bars_per_day)).where(F.col("threshold").isNotNull())
 
 
-IMBALANCE = "symbol string, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, count long, theta double"
+IMBALANCE = "symbol string, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, count long, taker_buy_volume double, taker_buy_quote_volume double, threshold_quote double"
 
 
-def _imbalance_kernel(pdf: pd.DataFrame, initial_length: float, alpha: float, least: float, most: float, floor: float) -> pd.DataFrame:
-    """One pass over a symbol's trades: close the bar when the signed count reaches its expectation."""
+@dataclass(frozen=True)
+class ImbalanceRule:
+    """Smoothing spans, in trades and in bars, and the bounds of the expected length of a bar."""
+
+    sign_span: int = 100
+    length_span: int = 20
+    initial_length: float = 50.0
+    least: float = 5.0
+    most: float = 500.0
+    floor: float = 1e-12  # of the expected imbalance: a balanced flow still closes bars
+
+    def __post_init__(self) -> None:
+        if min(self.sign_span, self.length_span, self.initial_length, self.least) <= 0 or self.most < self.least:
+            raise ValueError(f"spans and lengths must be positive, and most not under least: {self}")
+
+
+@dataclass
+class Imbalance:
+    """What the rule remembers from trade to trade; mean is None before the first one."""
+
+    rule: ImbalanceRule
+    mean: float | None = None
+    theta: float = 0.0
+    length: float = 0.0
+    n: int = 0
+
+    def closes(self, bought: bool) -> bool:
+        """Takes a trade (a taker's buy is +1, a sale -1) and says whether it ends its bar."""
+        r, sign = self.rule, 1.0 if bought else -1.0
+        alpha = 2.0 / (r.sign_span + 1.0)
+        self.mean = sign if self.mean is None else alpha * sign + (1.0 - alpha) * self.mean
+        self.length = self.length or r.initial_length
+        self.theta, self.n = self.theta + sign, self.n + 1
+        if abs(self.theta) < self.length * max(abs(self.mean), r.floor):
+            return False
+        alpha = 2.0 / (r.length_span + 1.0)
+        self.length = min(max(alpha * self.n + (1.0 - alpha) * self.length, r.least), r.most)
+        self.theta, self.n = 0.0, 0
+        return True
+
+
+def _imbalance_bars(pdf: pd.DataFrame, rule: ImbalanceRule) -> pd.DataFrame:
+    """A symbol's bars: the rule says where they end, sums and extremes go by stretches."""
     pdf = pdf.sort_values(["transact_time", "agg_trade_id"], kind="stable")
-    times, prices, quantities = pdf["transact_time"].tolist(), pdf["price"].tolist(), pdf["quantity"].tolist()
-    length, mean_sign, theta, begin, sign, bar_id = initial_length, 0.0, 0.0, 0, 1.0, 0
-    out: list[tuple] = []
-    n = len(times)
-
-    def close(end: int) -> None:
-        p = prices[begin : end + 1]
-        out.append((pdf["symbol"].iat[0], bar_id, times[begin], times[end], p[0], max(p), min(p), p[-1], float(sum(quantities[begin : end + 1])), end + 1 - begin, theta))
-
-    for i in range(n):
-        if i and prices[i] != prices[i - 1]:
-            sign = 1.0 if prices[i] > prices[i - 1] else -1.0
-        theta += sign
-        mean_sign += alpha * (sign - mean_sign)
-        if abs(theta) >= length * max(abs(mean_sign), floor):
-            close(i)
-            length = min(most, max(least, length + alpha * (i + 1 - begin - length)))
-            theta, begin, bar_id = 0.0, i + 1, bar_id + 1
-    if begin < n:
-        close(n - 1)
-    return pd.DataFrame(out, columns=["symbol", "bar_id", "open_time", "close_time", "open", "high", "low", "close", "volume", "count", "theta"])
-
-
-def tick_imbalance_bars(trades: DataFrame, initial_length: float = 50.0, alpha: float = 0.05, least: float = 5.0, most: float = 500.0, floor: float = 0.1) -> DataFrame:
-    """A recurrence over a symbol's whole tape, so a task a symbol; see ``streaming`` for the incremental form."""
-    own = trades.select("symbol", "transact_time", "agg_trade_id", "price", "quantity")
-    return own.groupBy("symbol").applyInPandas(lambda pdf: _imbalance_kernel(pdf, initial_length, alpha, least, most, floor), IMBALANCE)
+    state, bought = Imbalance(rule), ~pdf["is_buyer_maker"].to_numpy(bool)
+    closed = np.fromiter((state.closes(b) for b in bought.tolist()), bool, len(pdf))
+    first = np.append(0, np.flatnonzero(closed) + 1)
+    first = first[first < len(pdf)]  # the last bar may be open
+    last = np.append(first[1:], len(pdf)) - 1
+    time, price, quantity = (pdf[c].to_numpy() for c in ("transact_time", "price", "quantity"))
+    quantity = quantity.astype(float)
+    sums = {c: np.add.reduceat(x, first) for c, x in {"volume": quantity, "quote_volume": price * quantity, "taker_buy_volume": quantity * bought, "taker_buy_quote_volume": price * quantity * bought}.items()}
+    out = {"symbol": pdf["symbol"].iat[0], "bar_id": np.arange(len(first)), "open_time": time[first], "close_time": time[last], "open": price[first], "high": np.maximum.reduceat(price, first), "low": np.minimum.reduceat(price, first), "close": price[last], **sums, "count": last - first + 1, "threshold_quote": np.nan}
+    return pd.DataFrame(out)[[c.split()[0] for c in IMBALANCE.split(", ")]].assign(threshold_quote=pd.Series([None] * len(first), dtype="object"))
+
+
+def tick_imbalance_bars(trades: DataFrame, rule: ImbalanceRule = ImbalanceRule()) -> DataFrame:
+    """A bar ends where the sum of its trades' signs reaches the expected length times the mean sign; threshold_quote is null.
+
+    A trade's sign is that of its taker (is_buyer_maker: -1). Both expectations are
+    exponential means, of signs over all trades and of lengths over closed bars, and live
+    on from bar to bar. The last bar is given as it stands. A recurrence over a symbol's
+    whole tape, so a task a symbol; see ``streaming`` for the incremental form.
+    """
+    own = trades.select("symbol", "transact_time", "agg_trade_id", "price", "quantity", "is_buyer_maker")
+    return own.groupBy("symbol").applyInPandas(lambda pdf: _imbalance_bars(pdf, rule), IMBALANCE)
 
 
 def drop_ghosts(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:

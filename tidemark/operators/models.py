@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import positions
+from .ranking import quantiles as exact_quantiles
 
 
 def nelder_mead(f, x0: np.ndarray, steps: int = 400, tolerance: float = 1e-9) -> np.ndarray:
@@ -143,13 +144,19 @@ def egarch(bars: DataFrame, value: str, train_share: float = 0.5) -> DataFrame:
     return bars.select("symbol", "open_time", F.col(value).alias("_x")).groupBy("symbol").applyInPandas(run, "symbol string, open_time long, variance double")
 
 
+SERIES_MOST = 1_000_000
+
+
 def block_bootstrap(values: DataFrame, value: str, replicates: int, seed: int, block: int | None = None) -> DataFrame:
     """(replicate, mean) by stationary blocks: geometric lengths around block, by default n^(1/3).
 
     values is one series of a bounded size (differences by day or path): it goes to each
-    replicate's task.
+    replicate's task. A longer one than SERIES_MOST is refused; aggregate it by day first.
     """
     spark = values.sparkSession
+    n = values.count()
+    if n > SERIES_MOST:
+        raise ValueError(f"a series of {n} values is too long to send to each replicate (at most {SERIES_MOST}); aggregate it first")
     x = np.array([r[0] for r in values.select(value).toLocalIterator()], float)
     data = spark.sparkContext.broadcast(x)
     mean_block = block or max(1, round(len(x) ** (1 / 3)))
@@ -174,20 +181,34 @@ def block_bootstrap(values: DataFrame, value: str, replicates: int, seed: int, b
 def permutation_null(df: DataFrame, x: str, y: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, statistic): the correlation after y is shuffled, the shuffle being the order of a seeded hash of each row's key ``row_id``.
 
-    No replicate needs all rows in one task: sums of products suffice, over positions paired by a join.
+    A replicate's shuffled order is cut into equal ranges of the hash, numbered one by one
+    after the counts of those before, so no task needs all rows of a replicate; the rows
+    are exploded by replicate and paired by place (replicates times the table in all).
     """
-    rows = positions(df.select(x, y, "row_id"), "row_id", name="_p").withColumn("_i", F.col("_p") + 1)
+    rows = positions(df.select(x, y, "row_id"), "row_id", name="_i")
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     left = rows.select(reps, "_i", x)
-    shuffled = rows.select(reps, y, "row_id").withColumn("_i", F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64("row_id", "replicate", F.lit(seed)), "row_id"))).select("replicate", "_i", y)
+    shuffled = shuffle_places(rows.select(reps, y, "row_id"), ["replicate"], seed, "_i").select("replicate", "_i", y)
     return left.join(shuffled, ["replicate", "_i"]).groupBy("replicate").agg(F.corr(x, y).alias("statistic"))
 
 
+HASH_RANGES = 256
+
+
+def shuffle_places(rows: DataFrame, by: Sequence[str], seed: int, name: str) -> DataFrame:
+    """name: 0, 1, ... in the order of a seeded hash of row_id, in each group; a range of the hash is a task."""
+    rows = rows.withColumn("_h", F.xxhash64("row_id", *by, F.lit(seed))).withColumn("_range", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(HASH_RANGES)))
+    sizes = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_h", "row_id")
+    return rows.withColumn("_at", F.row_number().over(inside) - 1).join(sizes, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_h", "_range", "_at", "_before")
+
+
 def random_entries(df: DataFrame, value: str, size: int, seeds: int, base_seed: int = 0) -> DataFrame:
     """(seed, n, mean, sharpe_like) of samples without replacement: the rows of least seeded hash, by seed."""
     rows = df.select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"), "row_id", F.col(value).alias("_v"))
-    order = Window.partitionBy("seed").orderBy(F.xxhash64("row_id", "seed", F.lit(base_seed)), "row_id")
-    chosen = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size)
+    chosen = shuffle_places(rows, ["seed"], base_seed, "_n").where(F.col("_n") < size)
     return chosen.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), (F.avg("_v") / F.nullif(F.stddev_samp("_v"), F.lit(0.0))).alias("ratio"))
 
 
@@ -233,6 +254,6 @@ def probability_of(column: str = "_p"):
 
 def meta_threshold(scored: DataFrame, score: str, ret: str, quantiles: Sequence[float]) -> float:
     """The score quantile with the greatest summed return above it; of equal ones the highest."""
-    cuts = scored.agg(F.percentile(score, list(quantiles))).first()[0]
+    cuts = exact_quantiles(scored, score, list(quantiles))
     sums = scored.agg(*[F.sum(F.when(F.col(score) >= c, F.col(ret)).otherwise(0.0)).alias(f"s{i}") for i, c in enumerate(cuts)]).first()
     return max(zip(sums, cuts, strict=True), key=lambda x: (round(x[0], 12), x[1]))[1]

@@ -45,10 +45,15 @@ def missing_from_grid(df: DataFrame, time: str, step: int, by: Sequence[str]) ->
 
 
 def classify_gaps(gaps: DataFrame, maintenance: DataFrame, time: str) -> DataFrame:
-    """explained: whether a gap lies in one of the few maintenance intervals (start_ms, end_ms), which are broadcast."""
-    spans = F.broadcast(maintenance.select("start_ms", "end_ms"))
-    hit = gaps.join(spans, (F.col(time) >= F.col("start_ms")) & (F.col(time) < F.col("end_ms")), "left")
-    return hit.groupBy(*gaps.columns).agg(F.max(F.col("start_ms").isNotNull()).alias("explained"))
+    """explained: whether a gap lies in one of the maintenance intervals [start_ms, end_ms), by a range join on blocks as long as the longest."""
+    from .ranges import within
+
+    longest = maintenance.agg(F.max(F.col("end_ms") - F.col("start_ms"))).first()[0]
+    if longest is None:
+        return gaps.withColumn("explained", F.lit(False))
+    spans = maintenance.select("start_ms", (F.col("end_ms") - 1).alias("_end")).where("_end >= start_ms")
+    hit = within(spans, gaps.select(time).distinct(), "start_ms", "_end", time, max(1, longest), ()).select(time).distinct().withColumn("_hit", F.lit(True))
+    return gaps.join(hit, time, "left").withColumn("explained", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -110,16 +115,39 @@ def max_deviation(a: DataFrame, b: DataFrame, on: Sequence[str], columns: Sequen
 _CHECK = re.compile(r"^(unique|monotonic_increasing|not_null|positive)\(([\w, ]+)\)$")
 
 
-def declared_check(df: DataFrame, check: str) -> bool:
-    """``unique(a, b)``, ``monotonic_increasing(a)``, ``not_null(a)`` or ``positive(a)``; anything else raises."""
+def falls(df: DataFrame, column: str, order: Sequence[str]) -> int:
+    """Rows, in the given order, that do not lie above the one before; null is not above. Ranges of the order are tasks."""
+    from .ranking import cuts, range_of
+
+    first = order[0]
+    rows = df.withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(range_of(first, cuts(df, first, 1024))))
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    w = Window.partitionBy("_range").orderBy(*order)
+    not_above = ~F.coalesce(F.col(column) > F.lag(column).over(w), F.lit(False)) & (F.row_number().over(w) > 1)
+    inner = rows.withColumn("_bad", not_above)
+    # one row a range: its own falls, and whether it begins above the end of the range before
+    ends = inner.groupBy("_range").agg(F.count_if("_bad").alias("_n"), F.min_by(column, at).alias("_first"), F.max_by(column, at).alias("_last"))
+    before = F.lag("_last").over(Window.orderBy("_range"))
+    edges = ends.withColumn("_edge", (F.row_number().over(Window.orderBy("_range")) > 1) & ~F.coalesce(F.col("_first") > before, F.lit(False)))
+    return edges.agg(F.sum(F.col("_n") + F.col("_edge").cast("int"))).first()[0] or 0
+
+
+def declared_check(df: DataFrame, check: str, order: Sequence[str] = ()) -> bool:
+    """``unique(a, b)``, ``monotonic_increasing(a)``, ``not_null(a)`` or ``positive(a)``; anything else raises.
+
+    A DataFrame has no order of its own: monotonic_increasing needs the columns that give
+    the rows' order, and fails where a row does not lie above the one before it.
+    """
     m = _CHECK.match(check.strip())
     if not m:
         raise ValueError(f"no such check: {check}")
     columns = [c.strip() for c in m[2].split(",")]
     if m[1] == "unique":
         return duplicates(df, columns).first().surplus in (0, None)
-    if m[1] == "monotonic_increasing":  # of a table's order, its values must not repeat
-        return duplicates(df, columns).first().surplus in (0, None) and df.where(F.col(columns[0]).isNull()).isEmpty()
+    if m[1] == "monotonic_increasing":
+        if not order:
+            raise ValueError("monotonic_increasing needs the order of the rows")
+        return all(falls(df, c, order) == 0 for c in columns) and df.where(_any([F.col(c).isNull() for c in columns])).isEmpty()
     bad = _any([F.col(c).isNull() if m[1] == "not_null" else ~(F.col(c) > 0) for c in columns])
     return df.where(bad).isEmpty()
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
-from .asof import asof
+from .asof import BLOCK_MS, asof
+from .ranking import running
 
 
 def within(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, longest_ms: int, by: Sequence[str] = ("symbol",), open_left: bool = False) -> DataFrame:
@@ -27,10 +28,10 @@ def within(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str,
 
 def range_sum(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, value: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """total and n of the points in [start, end]: differences of running sums at two as-of joins, whatever the length."""
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    running = points.groupBy(*by, at).agg(F.sum(value).alias("_v"), F.count(value).alias("_k")).select(*by, at, F.sum("_v").over(w).alias("_sum"), F.sum("_k").over(w).alias("_n"))
-    upper = asof(ranges, running, end, at, ["_sum", "_n"], by).withColumnsRenamed({"_sum": "_s1", "_n": "_n1"}).withColumn("_before", F.col(start) - 1)
-    both = asof(upper, running, "_before", at, ["_sum", "_n"], by)
+    sums = points.groupBy(*by, at).agg(F.sum(value).alias("_v"), F.count(value).alias("_k"))
+    sums = running(sums, {"_sum": F.coalesce("_v", F.lit(0.0)), "_n": F.col("_k")}, at, by, F.floor(F.col(at) / BLOCK_MS)).select(*by, at, "_sum", "_n")
+    upper = asof(ranges, sums, end, at, ["_sum", "_n"], by).withColumnsRenamed({"_sum": "_s1", "_n": "_n1"}).withColumn("_before", F.col(start) - 1)
+    both = asof(upper, sums, "_before", at, ["_sum", "_n"], by)
     n = F.coalesce("_n1", F.lit(0)) - F.coalesce("_n", F.lit(0))
     return both.withColumns({"total": F.coalesce("_s1", F.lit(0.0)) - F.coalesce("_sum", F.lit(0.0)), "n": n}).drop("_sum", "_n", "_s1", "_n1", "_before")
 
@@ -108,22 +109,29 @@ def first_touch(orders: DataFrame, path: DataFrame, order_id: str, longest_ms: i
     ).drop("_end", "_hit")
 
 
+PLACES_OF_BLOCK = 50_000
+
+
 def concurrency(labels: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """concurrency and uniqueness of intervals (t0, t1] counted in places of the sorted t0.
 
-    Interval i covers the places from its own to the last t0 at or before its t1. All by
-    windows and two joins on places: counts of begun and ended intervals, then prefix
-    sums of 1 / concurrency. The intervals are used several times, so they are written once.
+    Interval i covers the places from its own to the last t0 at or before its t1. Places,
+    counts of begun and ended intervals and prefix sums of 1 / concurrency are sums by
+    blocks of time or of places (one row a block is carried on), so a symbol is not one
+    task; two joins on places put them together. The intervals are used several times, so
+    they are written once.
     """
-    order = Window.partitionBy(*by).orderBy("t0", "label_id")
-    rows = materialise(labels.select(*by, "label_id", "t0", "t1").withColumn("idx0", F.row_number().over(order)))
+    rows = labels.select(*by, "label_id", "t0", "t1").withColumn("_at", F.struct("t0", "label_id"))
+    rows = running(rows, {"idx0": F.lit(1)}, "_at", by, F.floor(F.col("t0") / BLOCK_MS))
+    rows = materialise(rows.drop("_at").withColumn("idx0", F.col("idx0").cast("long")))
     last = rows.select(*by, F.col("t0").alias("_t"), "idx0")
     last = last.groupBy(*by, "_t").agg(F.max("idx0").alias("idx1"))
     rows = materialise(asof(rows, last, "t1", "_t", ["idx1"], by).withColumn("idx1", F.greatest("idx1", "idx0")))
     ended = rows.groupBy(*by, (F.col("idx1") + 1).alias("idx0")).agg(F.count(F.lit(1)).alias("_ended"))
-    w = Window.partitionBy(*by).orderBy("idx0").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(ended, [*by, "idx0"], "left").withColumn("concurrency", F.col("idx0") - F.sum(F.coalesce("_ended", F.lit(0))).over(w)).drop("_ended")
-    rows = rows.withColumn("_p", F.sum(1 / F.col("concurrency")).over(w))
+    block = F.expr(f"idx0 div {PLACES_OF_BLOCK}")
+    rows = running(rows.join(ended, [*by, "idx0"], "left"), {"_gone": F.coalesce("_ended", F.lit(0))}, "idx0", by, block)
+    rows = rows.withColumn("concurrency", F.col("idx0") - F.col("_gone")).drop("_ended", "_gone")
+    rows = running(rows, {"_p": 1 / F.col("concurrency")}, "idx0", by, block)
     upper = rows.select(*by, F.col("idx0").alias("idx1"), F.col("_p").alias("_p1"))
     rows = rows.join(upper, [*by, "idx1"])
     own = 1 / F.col("concurrency")

@@ -48,3 +48,36 @@ def positions(df: DataFrame, column: str, tie: Sequence[str] = (), by: Sequence[
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(column, *tie)) - 1
     placed = rows.withColumn("_at", inside).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.col("_at"))
     return placed.drop("_range", "_before", "_at")
+
+
+def running(df: DataFrame, values: dict[str, Column], order: str, by: Sequence[str] = (), block: Column | None = None) -> DataFrame:
+    """df with a column for each of values: its sum over the rows up to this one, in the order of a column without ties.
+
+    block is a function of order that never falls as order grows (by default ranges
+    between quantiles, nulls first). Each block is summed on its own; what the blocks
+    before it hold is one row a block, so no task needs all rows of a group.
+    """
+    if block is None:
+        block = F.when(F.col(order).isNull(), -1).otherwise(range_of(order, cuts(df, order, PARTS)))
+    rows = df.withColumns({"_block": block, **{f"_v_{k}": v for k, v in values.items()}})
+    totals = rows.groupBy(*by, "_block").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_t_{k}") for k in values])
+    same = F.col("_block") == F.col("_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumns({k: F.sum(f"_v_{k}").over(inside) for k in values}).join(totals, same)
+    return summed.withColumns({k: F.coalesce(k, F.lit(0)) + F.col(f"_t_{k}") for k in values}).select(*df.columns, *values)
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list:
+    """Exact quantiles with linear interpolation: the rows at the wanted places are picked, none is gathered."""
+    known = df.where(F.col(column).isNotNull()).select(column)
+    n = known.count()
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    wanted = sorted({int(p) for p in places} | {min(n - 1, int(p) + 1) for p in places})
+    at = {r.position: r[0] for r in positions(known, column).where(F.col("position").isin(wanted)).collect()}
+    return [at[int(p)] + (p - int(p)) * (at[min(n - 1, int(p) + 1)] - at[int(p)]) for p in places]

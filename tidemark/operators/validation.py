@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import positions
+from .ranking import positions, quantiles, running
 
 EULER = 0.5772156649015329
 
@@ -87,9 +87,8 @@ def walk_forward(labels: DataFrame, first_periods: int) -> DataFrame:
 
 def temporal_holdout(labels: DataFrame, share: float) -> DataFrame:
     """role: the last share of t0 calibrates; earlier rows that reach into it are purged."""
-    cut = labels.agg(F.percentile("t0", 1 - share).alias("cut"))
-    rows = labels.crossJoin(F.broadcast(cut))
-    return rows.withColumn("role", F.when(F.col("t0") >= F.col("cut"), "calibration").when(F.col("t1") >= F.col("cut"), "purged").otherwise("fit")).drop("cut")
+    (cut,) = quantiles(labels, "t0", [1 - share])
+    return labels.withColumn("role", F.when(F.col("t0") >= F.lit(cut), "calibration").when(F.col("t1") >= F.lit(cut), "purged").otherwise("fit"))
 
 
 # --- scores ---
@@ -124,11 +123,25 @@ def expected_max_sharpe(sigma: float, trials: int) -> float:
 
 def fdr(df: DataFrame, p: str, by: Sequence[str] = (), yekutieli: bool = False) -> DataFrame:
     """adjusted: the least of p * m / rank over this rank and those above, at most 1 (times the harmonic number for BY)."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(p, *[c for c in df.columns if c not in (p, *by)]))).withColumn("_m", F.count(F.lit(1)).over(w))
-    scale = F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0.0), lambda a, i: a + 1 / i) if yekutieli else F.lit(1.0)
-    up = w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") * scale / F.col("_rank")).over(up))).drop("_rank", "_m")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).withColumn("_scale", harmonic("_m") if yekutieli else F.lit(1.0))
+    rows = positions(df, p, [c for c in df.columns if c not in (p, *by)], by, "_rank").withColumn("_rank", F.col("_rank") + 1)
+    rows = rows.join(sizes, list(by)) if by else rows.crossJoin(F.broadcast(sizes))
+    # the least of those above, in blocks of ranks: one row a block is carried on
+    rows = rows.withColumns({"_q": F.col(p) * F.col("_m") * F.col("_scale") / F.col("_rank"), "_block": F.expr(f"_rank div {RANKS_OF_BLOCK}")})
+    later = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*by, "_block").agg(F.min("_q").alias("_low")).select(*by, "_block", F.min("_low").over(later).alias("_later"))
+    up = Window.partitionBy(*by, "_block").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_low", F.min("_q").over(up)).join(blocks, [*by, "_block"]).select(*df.columns, F.least(F.lit(1.0), "_low", "_later").alias("adjusted"))
+
+
+RANKS_OF_BLOCK = 50_000
+
+
+def harmonic(n: str) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to a thousand, by its expansion beyond (error under 1e-14)."""
+    x = F.col(n).cast("double")
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(F.col(n), F.lit(1000))), F.lit(0.0), lambda a, i: a + 1 / i)
+    return F.when(x <= 1000, summed).otherwise(F.log(x) + F.lit(EULER) + 1 / (2 * x) - 1 / (12 * x * x))
 
 
 def decile_profile(df: DataFrame, score: str, tie: Sequence[str], value: str, by: Sequence[str] = (), k: int = 10) -> DataFrame:
@@ -140,10 +153,9 @@ def decile_profile(df: DataFrame, score: str, tie: Sequence[str], value: str, by
 
 
 def ranked(df: DataFrame, column: str, by: Sequence[str], name: str) -> DataFrame:
-    """Average ranks from counts of distinct values: one row a value is sorted, not one a row."""
-    values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    values = values.select(*by, F.col(column).alias("_value"), (F.sum("_c").over(upto) - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+    """Average ranks from counts of distinct values: one row a value is sorted, not one a row, and that in ranges of values."""
+    values = running(df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c")), {"_upto": F.col("_c")}, column, by, block=None if not by else F.lit(0))
+    values = values.select(*by, F.col(column).alias("_value"), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
     return df.withColumn("_value", F.col(column)).join(values, [*by, "_value"]).select(*df.columns, name)
 
 
@@ -160,9 +172,9 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
     good = F.col(label) == 1
     sums = rows.groupBy(*by).agg(F.sum(F.when(good, F.col("_rank"))).alias("_s"), F.count_if(good).alias("n_pos"), F.count_if(~good).alias("n_neg"))
     roc = sums.withColumn("roc_auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg")))).drop("_s")
-    steps = df.groupBy(*by, score).agg(F.count_if(good).alias("_p"), F.count(F.lit(1)).alias("_k"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("_precision", F.sum("_p").over(down) / F.sum("_k").over(down))
+    steps = df.groupBy(*by, (-F.col(score)).alias("_down")).agg(F.count_if(good).alias("_p"), F.count(F.lit(1)).alias("_k"))
+    steps = running(steps, {"_good": F.col("_p"), "_all": F.col("_k")}, "_down", by, block=None if not by else F.lit(0))
+    steps = steps.withColumn("_precision", F.col("_good") / F.col("_all"))
     pr = steps.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_precision")) / F.nullif(F.sum("_p"), F.lit(0))).alias("pr_auc"))
     return roc.join(pr, list(by)) if by else roc.crossJoin(F.broadcast(pr))
 

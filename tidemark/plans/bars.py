@@ -86,10 +86,21 @@ def q_walkforward_bars(spark, sf_dir):
     return walkforward_bars(ticks(spark, sf_dir), trailing_days=7, cadence_days=2, bars_per_day=20)
 
 
-@query()
+#: The recurrence trade by trade: mean sign, signed count, trades of the bar, expected length, whether the trade ends its bar.
+_IMBALANCE = f"""WITH RECURSIVE {TICKS}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY transact_time, agg_trade_id) AS i, CASE WHEN is_buyer_maker THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM ticks),
+    s AS (SELECT symbol, i, b AS mean, b AS theta, 1::DOUBLE AS k, 6.0::DOUBLE AS len, 0::BIGINT AS bar_id, abs(b) >= 6.0 * greatest(abs(b), 1e-12) AS ends FROM t WHERE i = 1
+    UNION ALL SELECT symbol, i, mean, theta, k, len, bar_id, abs(theta) >= len * greatest(abs(mean), 1e-12) FROM (
+      SELECT t.symbol, t.i, 2.0::DOUBLE / 10 * t.b + (1 - 2.0::DOUBLE / 10) * s.mean AS mean, CASE WHEN s.ends THEN 0 ELSE s.theta END + t.b AS theta, CASE WHEN s.ends THEN 0 ELSE s.k END + 1 AS k,
+        CASE WHEN s.ends THEN least(greatest(2.0::DOUBLE / 6 * s.k + (1 - 2.0::DOUBLE / 6) * s.len, 2.0), 200.0) ELSE s.len END AS len, s.bar_id + CASE WHEN s.ends THEN 1 ELSE 0 END AS bar_id
+      FROM s JOIN t ON t.symbol = s.symbol AND t.i = s.i + 1)),
+    bars AS (SELECT t.symbol, s.bar_id, min(transact_time) AS open_time, max(transact_time) AS close_time, {OHLCV} FROM t JOIN s ON s.symbol = t.symbol AND s.i = t.i GROUP BY 1, 2)
+    SELECT symbol, bar_id, open_time, close_time, {ROUNDED}, CAST(NULL AS DOUBLE) AS threshold_quote FROM bars"""
+
+
+@query(_IMBALANCE)
 def q_tick_imbalance_bars(spark, sf_dir):
-    df = B.tick_imbalance_bars(ticks(spark, sf_dir), initial_length=20.0)
-    return df.select("symbol", "bar_id", "open_time", "close_time", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume", "theta")], "count")
+    df = B.tick_imbalance_bars(ticks(spark, sf_dir), B.ImbalanceRule(sign_span=9, length_span=5, initial_length=6.0, least=2.0, most=200.0))
+    return shown(df.withColumns({c: F.col(c).cast("long") for c in ("volume", "taker_buy_volume")}), "symbol", "bar_id", "open_time", "close_time", "threshold_quote")
 
 
 @query(

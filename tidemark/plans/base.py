@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 HOUR = 3_600_000
+#: Kinds of events, which stand for symbols.
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 
 
 def query(sql: str | None = None):

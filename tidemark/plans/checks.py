@@ -9,7 +9,7 @@ from ..functions import costs
 from ..operators import bars as B
 from ..operators import quality as Q
 from ..sources import tables as S
-from .base import BARS, HEAD, HOUR, TICKS, clock_sql, hours, query, r, ticks
+from .base import BARS, HEAD, HOUR, SYMBOLS, TICKS, clock_sql, hours, query, r, ticks
 
 
 @query("SELECT * FROM (SELECT 'o_orderkey' AS column, count(*) - count(o_orderkey) AS nulls, count(*) AS n FROM orders UNION ALL SELECT 'status_f', count(*) - count(CASE WHEN o_orderstatus = 'F' THEN 1 END), count(*) FROM orders UNION ALL SELECT 'o_totalprice', count(*) - count(o_totalprice), count(*) FROM orders)")
@@ -45,10 +45,10 @@ def q_funding_interval_check(spark, sf_dir):
     return df.select("symbol", r("median_hours", 5).alias("median_hours"), r("std_hours", 5).alias("std_hours"), "mismatches")
 
 
-@query(f"WITH {TICKS}, c AS (SELECT symbol AS source, min(transact_time) AS first, max(transact_time) AS last FROM ticks WHERE symbol IN ('click', 'view', 'purchase') GROUP BY 1) SELECT source, first, last, max(first) OVER () AS effective_start FROM c")
+@query(f"WITH {TICKS}, c AS (SELECT symbol AS source, min(transact_time) AS first, max(transact_time) AS last FROM ticks GROUP BY 1) SELECT source, first, last, max(first) OVER () AS effective_start FROM c")
 def q_coverage(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    return Q.coverage({s: (t.where(F.col("symbol") == s), "transact_time") for s in ("click", "view", "purchase")})
+    return Q.coverage({s: (t.where(F.col("symbol") == s), "transact_time") for s in SYMBOLS})
 
 
 @query(f"""WITH {TICKS}, {BARS}, {clock_sql(86_400_000, 'native')}, d AS (SELECT symbol, open_time // 86400000 * 86400000 AS t, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, sum(quote_volume) AS quote_volume FROM bars GROUP BY 1, 2)
@@ -91,9 +91,9 @@ def q_range_scan(spark, sf_dir):
     return e.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("agg_trade_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("transact_time"), F.col("value").alias("price"))
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS balance, CAST(NULL AS BIGINT) AS nation FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS BIGINT) FROM supplier")
+@query("SELECT c_custkey AS id, c_acctbal AS balance, CAST(NULL AS BIGINT) AS nation FROM customer UNION ALL SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS BIGINT) FROM supplier")
 def q_union_diagonal(spark, sf_dir):
-    a = S.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    a = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
     b = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("long").alias("nation"))
     return a.unionByName(b, allowMissingColumns=True)
 

@@ -9,7 +9,7 @@ from ..functions import costs
 from ..operators import asof as A
 from ..operators import ranges as R
 from ..sources import tables as S
-from .base import HEAD, HOUR, hours, query, r, ticks
+from .base import HEAD, HOUR, SYMBOLS, hours, query, r, ticks
 
 O = "(PARTITION BY symbol ORDER BY open_time)"  # noqa: E741
 #: Funding: every seventh event, its rate from the price; null for some.
@@ -216,22 +216,22 @@ def q_pivot_surface(spark, sf_dir):
 # --- equality joins ---
 
 
-@query(f"""{_FILL}, s AS (SELECT oid, symbol, t_post, side FROM fills WHERE order_id // 3600000 % 3 = 0), lab AS (SELECT oid, side, t_entry, fill_price FROM fills WHERE order_id // 3600000 % 4 <> 0)
+@query(f"""{_FILL}, s AS (SELECT oid, symbol, t_post, side FROM fills), lab AS (SELECT oid, side, t_entry, fill_price FROM fills WHERE order_id // 3600000 % 4 <> 0)
 SELECT s.oid, s.side, l.t_entry, l.oid IS NOT NULL AS labelled, round(l.fill_price, 6) + 0 AS fill_price FROM s LEFT JOIN lab l ON s.oid = l.oid AND s.side = l.side""")
 def q_signal_label_left_join(spark, sf_dir):
     f = fills(spark, sf_dir)
-    s = f.where("(open_time div 3600000) % 3 = 0").select("oid", "side")
+    s = f.select("oid", "side")
     lab = f.where("(open_time div 3600000) % 4 <> 0").select("oid", "side", "t_entry", "fill_price", F.lit(True).alias("labelled"))
     return s.join(lab, ["oid", "side"], "left").select("oid", "side", "t_entry", F.coalesce("labelled", F.lit(False)).alias("labelled"), r("fill_price").alias("fill_price"))
 
 
-@query(f"""{_FILL}, sig AS (SELECT oid, side, order_id // 3600000 % 7 = 0 AS bad FROM fills WHERE order_id // 3600000 % 3 <> 2), lab AS (SELECT oid, side, t_entry FROM fills WHERE order_id // 3600000 % 7 <> 0),
+@query(f"""{_FILL}, sig AS (SELECT oid, side, order_id // 3600000 % 7 = 0 AS bad FROM fills), lab AS (SELECT oid, side, t_entry FROM fills WHERE order_id // 3600000 % 7 <> 0),
 ord AS (SELECT oid, side, t_entry, true AS filled FROM fills WHERE t_entry IS NOT NULL AND order_id // 3600000 % 5 <> 0),
 j AS (SELECT s.oid, s.side, l.oid IS NOT NULL AS has_label, l.t_entry, o.filled FROM sig s LEFT JOIN lab l ON s.oid = l.oid AND s.side = l.side LEFT JOIN ord o ON s.oid = o.oid AND s.side = o.side AND l.t_entry = o.t_entry)
 SELECT side, count(*) AS n_signals, count(CASE WHEN NOT has_label THEN 1 END) AS missing_labels, count(CASE WHEN has_label AND t_entry IS NULL THEN 1 END) AS nofill, count(CASE WHEN t_entry IS NOT NULL AND filled IS NULL THEN 1 END) AS order_gaps, count(filled) AS filled FROM j GROUP BY 1""")
 def q_reconciliation_base(spark, sf_dir):
     f = fills(spark, sf_dir).withColumn("h", F.expr("open_time div 3600000"))
-    sig = f.where("h % 3 <> 2").select("oid", "side")
+    sig = f.select("oid", "side")
     lab = f.where("h % 7 <> 0").select("oid", "side", "t_entry", F.lit(True).alias("has_label"))
     sent = f.where("t_entry is not null and h % 5 <> 0").select("oid", "side", "t_entry", F.lit(True).alias("filled"))
     base = sig.join(lab, ["oid", "side"], "left")
@@ -245,23 +245,23 @@ def q_reconciliation_base(spark, sf_dir):
 
 
 @query("""WITH snap AS (SELECT c_nationkey AS k, CAST(c_custkey % 2000 AS INTEGER) AS d, c_custkey AS id, round(c_acctbal, 2) AS tick FROM customer),
-o AS (SELECT o_orderkey, o_custkey % 25 AS k, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d FROM orders WHERE o_orderkey % 5 = 0),
-l AS (SELECT o.o_orderkey, max(CAST(s.d AS BIGINT) * 10000000 + s.id) AS best FROM o LEFT JOIN snap s ON o.k = s.k AND s.d <= o.d GROUP BY 1)
-SELECT l.o_orderkey, s.id AS snapshot, s.tick FROM l LEFT JOIN snap s ON s.id = l.best % 10000000""")
+o AS (SELECT o_orderkey, o_custkey % 25 AS k, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d FROM orders),
+last AS (SELECT k, d, max(id) AS id, arg_max(tick, id) AS tick FROM snap GROUP BY 1, 2)
+SELECT o.o_orderkey, s.id AS snapshot, s.tick FROM o ASOF LEFT JOIN last s ON o.k = s.k AND o.d >= s.d""")
 def q_filters_scd_asof(spark, sf_dir):
     snap = S.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"), (F.col("c_custkey") % 2000).cast("int").alias("from_day"), F.col("c_custkey").alias("snapshot"), F.round("c_acctbal", 2).alias("tick"))
-    o = S.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_custkey") % 25).cast("long").alias("k"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("day"))
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("long").alias("k"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("day"))
     df = A.asof(o, snap, "day", "from_day", ["snapshot", "tick"], ["k"], ["from_day", "snapshot"], block=365)
     return df.select("o_orderkey", "snapshot", "tick")
 
 
-@query(f"""{HEAD}, o AS (SELECT symbol, open_time, close * (1 + (open_time // 3600000 % 13 - 6) / 200.0) AS other FROM bars WHERE open_time // 3600000 % 5 <> 0)
+@query(f"""{HEAD}, o AS (SELECT symbol, open_time, close * (1 + (open_time // 3600000 % 13 - 6) / 200.0) AS other FROM bars)
 SELECT b.symbol, count(*) AS n, count(CASE WHEN abs(b.close - o.other) / b.close > 0.02 THEN 1 END) AS beyond, round(max(abs(b.close - o.other) / b.close), 6) + 0 AS worst FROM bars b JOIN o ON b.symbol = o.symbol AND b.open_time = o.open_time WHERE b.close > 0 GROUP BY 1""")
 def q_price_deviation(spark, sf_dir):
     from ..operators.quality import price_deviation
 
     b = hours(spark, sf_dir)
-    o = b.where("(open_time div 3600000) % 5 <> 0").select("symbol", "open_time", (F.col("close") * (1 + (F.expr("open_time div 3600000 % 13") - 6) / 200.0)).alias("other"))
+    o = b.select("symbol", "open_time", (F.col("close") * (1 + (F.expr("open_time div 3600000 % 13") - 6) / 200.0)).alias("other"))
     return price_deviation(b, o, ["symbol", "open_time"], "close", "other", 0.02, ["symbol"]).select("symbol", "n", "beyond", r("worst").alias("worst"))
 
 
@@ -272,10 +272,9 @@ def q_grid_gaps_anti(spark, sf_dir):
     return missing_from_grid(hours(spark, sf_dir), "open_time", HOUR, ["symbol"])
 
 
-@query(f"{HEAD} SELECT b.open_time, round(a.close, 6) + 0 AS click, round(b.close, 6) + 0 AS purchase, round(c.close, 6) + 0 AS view FROM (SELECT * FROM bars WHERE symbol = 'click') a JOIN (SELECT * FROM bars WHERE symbol = 'purchase') b ON a.open_time = b.open_time JOIN (SELECT * FROM bars WHERE symbol = 'view') c ON a.open_time = c.open_time")
+@query(f"{HEAD}" + ", w AS (SELECT open_time, " + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN round(close, 6) + 0 END) AS {s}" for s in SYMBOLS) + " FROM bars GROUP BY 1) SELECT * FROM w WHERE " + " AND ".join(f"{s} IS NOT NULL" for s in SYMBOLS))
 def q_multi_symbol_alignment(spark, sf_dir):
-    names = ["click", "purchase", "view"]
-    return hours(spark, sf_dir).where(F.col("symbol").isin(names)).groupBy("open_time").pivot("symbol", names).agg(F.first(r("close"))).dropna(subset=names)
+    return hours(spark, sf_dir).groupBy("open_time").pivot("symbol", SYMBOLS).agg(F.first(r("close"))).dropna(subset=SYMBOLS)
 
 
 @query(f"""{HEAD}, d AS (SELECT symbol, open_time // 86400000 AS day, sum(quote_volume) AS q FROM bars WHERE open_time // 3600000 % 24 < 3 GROUP BY 1, 2),

@@ -145,9 +145,9 @@ def q_bh_fdr(spark, sf_dir):
     return V.fdr(pvalues(spark, sf_dir), "p", ["fam"]).select("id", r("adjusted").alias("adjusted"))
 
 
-@query(f"{_P}, k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, id) AS rk, count(*) OVER (PARTITION BY fam) AS m FROM t), h AS (SELECT *, (SELECT sum(1.0 / i) FROM range(1, 100000) r(i) WHERE i <= m) AS c FROM k WHERE fam < 5) SELECT id, round(least(1.0, min(p * m * c / rk) OVER (PARTITION BY fam ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) + 0 AS adjusted FROM h")
+@query(f"{_P}, k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, id) AS rk, count(*) OVER (PARTITION BY fam) AS m FROM t), c AS (SELECT fam, list_sum(list_transform(range(1, max(m) + 1), lambda i: 1.0::DOUBLE / i)) AS c FROM k GROUP BY 1), h AS (SELECT k.*, c.c FROM k JOIN c ON k.fam = c.fam) SELECT id, round(least(1.0, min(p * m * c / rk) OVER (PARTITION BY fam ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) + 0 AS adjusted FROM h")
 def q_by_fdr(spark, sf_dir):
-    return V.fdr(pvalues(spark, sf_dir).where("fam < 5"), "p", ["fam"], yekutieli=True).select("id", r("adjusted").alias("adjusted"))
+    return V.fdr(pvalues(spark, sf_dir), "p", ["fam"], yekutieli=True).select("id", r("adjusted").alias("adjusted"))
 
 
 @query(f"{SCORED}, k AS (SELECT *, row_number() OVER (ORDER BY margin DESC, id) AS rk, count(*) OVER () AS n FROM s) SELECT id, round(margin, 6) + 0 AS margin FROM k WHERE rk <= ceil(0.1 * n) AND margin > 0")

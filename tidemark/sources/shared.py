@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of its own."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine, which only a local session may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         if where.isDefined():
             return where.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/checkpoints/tidemark"
     spark.sparkContext.setCheckpointDir(found)
     return found

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.bars import IMBALANCE, Imbalance, ImbalanceRule
+
 BAR = "symbol string, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, count long"
 _STATE = "cum string, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, count long"
 _FIELDS = [c.split()[0] for c in BAR.split(", ")]
@@ -67,38 +69,32 @@ class ThresholdBars(StatefulProcessor):
 class ImbalanceBars(StatefulProcessor):
     """Tick-imbalance bars: one row of state a symbol."""
 
-    _KEPT = "length double, mean_sign double, theta double, sign double, last double, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, count long"
+    _KEPT = "mean double, theta double, length double, n long, bar_id long, open_time long, close_time long, open double, high double, low double, close double, volume double, quote_volume double, count long, taker_buy_volume double, taker_buy_quote_volume double"
+    output = IMBALANCE
 
-    def __init__(self, initial_length: float = 50.0, alpha: float = 0.05, least: float = 5.0, most: float = 500.0, floor: float = 0.1):
-        self.initial, self.alpha, self.least, self.most, self.floor = initial_length, alpha, least, most, floor
+    def __init__(self, rule: ImbalanceRule):
+        self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", self._KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["transact_time", "agg_trade_id"], kind="stable")
+        state, bar_id, bar = Imbalance(self.rule), 0, None
         if self.kept.exists():
-            length, mean, theta, sign, last, bar_id, *bar = self.kept.get()
-            bar = bar if bar[-1] else None
-        else:
-            length, mean, theta, sign, last, bar_id, bar = self.initial, 0.0, 0.0, 1.0, None, 0, None
+            state.mean, state.theta, state.length, state.n, bar_id, *bar = self.kept.get()
+            bar = bar if state.n else None
         out = []
-        for t, price, quantity in zip(pdf["transact_time"].tolist(), pdf["price"].tolist(), pdf["quantity"].tolist(), strict=True):
-            if last is not None and price != last:
-                sign = 1.0 if price > last else -1.0
-            last = price
-            theta += sign
-            mean += self.alpha * (sign - mean)
+        for t, price, quantity, maker in zip(*(pdf[c].tolist() for c in ("transact_time", "price", "quantity", "is_buyer_maker")), strict=True):
+            quote, taker = price * quantity, float(not maker)
             if bar is None:
-                bar = [t, t, price, price, price, price, float(quantity), price * quantity, 1]
-            else:
-                bar = [bar[0], t, bar[2], max(bar[3], price), min(bar[4], price), price, bar[6] + quantity, bar[7] + price * quantity, bar[8] + 1]
-            if abs(theta) >= length * max(abs(mean), self.floor):
-                out.append((key[0], bar_id, *bar))
-                length = min(self.most, max(self.least, length + self.alpha * (bar[8] - length)))
-                theta, bar, bar_id = 0.0, None, bar_id + 1
-        self.kept.update((length, mean, theta, sign, last, bar_id, *(bar or [0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0])))
-        yield pd.DataFrame(out, columns=_FIELDS)
+                bar = [t, t, price, price, price, price, 0.0, 0.0, 0, 0.0, 0.0]
+            bar = [bar[0], t, bar[2], max(bar[3], price), min(bar[4], price), price, bar[6] + quantity, bar[7] + quote, bar[8] + 1, bar[9] + taker * quantity, bar[10] + taker * quote]
+            if state.closes(not maker):
+                out.append((key[0], bar_id, *bar, None))
+                bar, bar_id = None, bar_id + 1
+        self.kept.update((state.mean, state.theta, state.length, state.n, bar_id, *(bar or [0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0])))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in IMBALANCE.split(", ")])
 
     def close(self) -> None:
         pass
@@ -106,8 +102,8 @@ class ImbalanceBars(StatefulProcessor):
 
 def stateful_bars(trades: DataFrame, processor: StatefulProcessor) -> DataFrame:
     """trades may be a stream or a batch; the state store must be RocksDB."""
-    own = trades.select("symbol", "transact_time", "agg_trade_id", "price", F.col("quantity").cast("double").alias("quantity"))
-    return own.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=BAR, outputMode="append", timeMode="ProcessingTime")
+    own = trades.select("symbol", "transact_time", "agg_trade_id", "price", F.col("quantity").cast("double").alias("quantity"), "is_buyer_maker")
+    return own.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=getattr(processor, "output", BAR), outputMode="append", timeMode="ProcessingTime")
 
 
 def tumbling_ohlcv(trades: DataFrame, width: str, late: str) -> DataFrame:
