@@ -133,12 +133,13 @@ def test_packing_round_trip(spark, frame, corpus):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
+    texts = {**dict(corpus), 70: "end <|endoftext|> and on<|endoftext|>", 71: "<|endoftext|>" * 300}
+    frame = frame.select("doc_id", "text").union(spark.createDataFrame([(d, texts[d]) for d in (70, 71)], "doc_id long, text string"))
     got = packing.pack_documents(frame, capacity=256).collect()
     n = check_packing(got, 256)
     lengths = sorted((r.length for r in got), reverse=True)
     assert n <= len(packing.best_fit(lengths, 256, list(range(len(lengths)))))
-    for d, text in dict(corpus).items():
+    for d, text in texts.items():
         ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
         mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == d)
         first = len(ids) % 256 or 256
@@ -146,10 +147,30 @@ def test_packing_round_trip(spark, frame, corpus):
         import numpy as np
 
         want = [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        copies = sum(x == d for x, _ in corpus)
+        copies = sum(x == d for x, _ in corpus) or 1
         assert mine == sorted(want * copies), d
 
 
+def test_lengths_that_do_not_pair_stay_in_small_subsets(spark, monkeypatch):
+    """No level gathers what the levels before could not fill."""
+    dealt, plain_level = [], packing.pack_level
+    monkeypatch.setattr(packing, "pack_level", lambda rest, columns, subsets, level, capacity: dealt.append((rest.count(), subsets)) or plain_level(rest, columns, subsets, level, capacity))
+    rows = [(7, 0, 0, 1200, 5, i) for i in range(640)]  # rows that differ in their number alone
+    found = spark.createDataFrame(rows, f"doc_id long, piece int, start long, length long, ids_crc32 long, {packing.ROW} long")
+    got = packing.pack(found, 2048, 40).collect()
+    assert check_packing(got, 2048) == 640 and len(got) == 640
+    assert dealt == [(640, 16)]
+
+
+def test_levels_bring_the_number_near_the_bound(spark):
+    rng = random.Random(8)
+    rows = [(i, 0, 0, rng.randrange(10, 1400), i, i) for i in range(1500)]
+    found = spark.createDataFrame(rows, f"doc_id long, piece int, start long, length long, ids_crc32 long, {packing.ROW} long")
+    got = packing.pack(found, 2048, 100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1500))
+    assert check_packing(got, 2048) <= -(-sum(r[3] for r in rows) // 2048) + 3
+
+
 def test_long_texts_are_encoded_whole(monkeypatch):
     enc = packing.encoder(packing.vocabulary())
     text = prose(5, 3000) + "\n\n  x" + "=" * 50 + prose(6, 500)

@@ -1,15 +1,19 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Documents become token pieces; pieces are dealt to subsets of bounded size by a hash.
-Each subset is searched by several islands, a task each: a population of packings,
+Documents become token pieces; pieces are dealt to subsets of about SUBSET by a hash.
+Each subset is searched by several islands, each on its own: a population of packings,
 where crossover injects whole well-filled bins of one parent into the other, drops
 bins that share a piece with them and best-fits the displaced pieces again. After each
 round the islands' elites migrate to their neighbours. The pieces of bins that stay
-under-filled go on to the next level, where they meet those of other subsets.
+under-filled go on to the next level, where they meet those of other subsets: again
+subsets of that size, however many pieces are left. Levels end when one subset holds
+all that is left, or when a level leaves nearly as many pieces as it was given: lengths
+that do not pair (all over half a sequence, say) are not dealt again and again.
 
 Cases: null or empty text is one piece, the end id alone; pieces as long as a sequence
-stand alone; equal lengths and repeated rows are packed one by one (ties in the order
-of doc_id and piece); no rows give none; the result does not depend on the partitions.
+stand alone; equal lengths and repeated rows are packed one by one, each by a row number
+that is written with it, so that copies of one row spread over the subsets; no rows give
+none. Which of several good packings comes out depends on the rows' partitions.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ SUBSET = 2048  # pieces
 ISLANDS = 2
 ROUNDS = 2
 FULL = 0.995  # bins under this share of the capacity are tried again on the next level
+WORTH = 0.8  # a further level is tried while the last one left at most this share of its pieces
+#: Islands that one task searches, one after the other, and the most tasks of a round.
+ISLANDS_OF_TASK = 4
+TASKS_MOST = 20_000
+#: The number of a written piece, which deals it to a subset.
+ROW = "_row"
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> str:
@@ -251,7 +261,7 @@ def _sorted(table: pa.Table, columns: list[str]) -> pa.Table:
 
 def pack_level(rest: DataFrame, columns: list[str], subsets: int, level: int, capacity: int) -> DataFrame:
     """columns, sequence_id, offset and bin_fill of all pieces of rest, packed subset by subset."""
-    dealt = rest.select(F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(subsets)).alias("subset"), *columns)
+    dealt = rest.select(F.pmod(F.xxhash64(F.lit(level), ROW), F.lit(subsets)).alias("subset"), *columns)
 
     def lengths_of(key: tuple, table: pa.Table) -> pa.Table:
         lengths = np.sort(table["length"].to_numpy())[::-1]
@@ -260,10 +270,12 @@ def pack_level(rest: DataFrame, columns: list[str], subsets: int, level: int, ca
 
     few = dealt.select("subset", "length").groupBy("subset").applyInArrow(lengths_of, "subset long, lengths binary")
     state = few.select("subset", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lengths")
-    state = state.repartition("subset", "island").mapInArrow(evolve(capacity, 0), STATE)
+    tasks = max(1, min(TASKS_MOST, -(-subsets * ISLANDS // ISLANDS_OF_TASK)))  # a given number: else small rows are gathered in one task
+    state = C.materialise(state.repartition(tasks, "subset", "island").mapInArrow(evolve(capacity, 0), STATE))
     for round_ in range(1, ROUNDS):
         migrants = state.select("subset", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
-        state = state.join(migrants, ["subset", "island"]).mapInArrow(evolve(capacity, round_), STATE)
+        met = state.repartition(tasks, "subset", "island").join(migrants.repartition(tasks, "subset", "island"), ["subset", "island"])
+        state = C.materialise(met.mapInArrow(evolve(capacity, round_), STATE))
     best = state.groupBy("subset").agg(F.min_by("elite", F.struct("bins", -F.col("fill"), "island")).alias("elite"))
 
     def place(key: tuple, mine: pa.Table, found: pa.Table) -> pa.Table:
@@ -289,7 +301,10 @@ def pack_level(rest: DataFrame, columns: list[str], subsets: int, level: int, ca
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, subset: int = SUBSET) -> DataFrame:
-    """sequence_id and offset of each piece. Lower levels meet until all under-filled bins share one subset."""
+    """sequence_id and offset of each piece; found needs a column ROW that differs from piece to piece.
+
+    Levels meet until the under-filled bins share one subset or a level is not worth another.
+    """
     columns = found.columns
     rest = found
     n = rest.count()
@@ -298,19 +313,18 @@ def pack(found: DataFrame, capacity: int = CAPACITY, subset: int = SUBSET) -> Da
         subsets = max(1, -(-n // subset))
         packed = C.materialise(pack_level(rest, columns, subsets, level, capacity))
         last = subsets == 1
+        left = 0 if last else packed.where(F.col("bin_fill") < FULL).count()
+        last = last or left > n * WORTH
         kept = packed if last else packed.where(F.col("bin_fill") >= FULL)
-        part = kept.select(*columns, "sequence_id", "offset")
+        part = kept.select(*[c for c in columns if c != ROW], "sequence_id", "offset")
         done = part if done is None else done.unionByName(part)
-        if last:
+        if last or not left:
             return done
         rest = packed.where(F.col("bin_fill") < FULL).select(*columns)
-        left = rest.count()
-        if left == 0:
-            return done
-        level, n = level + 1, min(left, n - 1) if left < n * 0.9 else max(1, n // 2)
+        level, n = level + 1, left
 
 
-def pack_documents(docs: DataFrame, ranks_file: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_file: str | None = None, capacity: int = CAPACITY, end_id: int = 0, subset: int = SUBSET) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of (doc_id, text)."""
-    found = C.materialise(pieces(docs, ranks_file or vocabulary(), capacity, end_id))
-    return pack(found, capacity)
+    found = pieces(docs, ranks_file or vocabulary(), capacity, end_id)
+    return pack(C.materialise(found.withColumn(ROW, F.monotonically_increasing_id())), capacity, subset)
