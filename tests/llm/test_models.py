@@ -97,6 +97,32 @@ def test_leaks_with_changed_words(spark):
     assert len(want) > 40 and got == pytest.approx(want)
 
 
+def test_a_benchmark_of_several_blocks(spark, frame, corpus, monkeypatch):
+    """One pass with a bitmap, then block after block: the same rows as with one block, short items included."""
+    items = [(1, prose(1, 60)), (2, prose(1, 60)[60:200]), (3, prose(77, 30)), (4, "one two"), (5, ""), (6, None), (7, prose(2, 120)), (8, "De de de de de de de")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    assert len(list(decontaminate._item_blocks(bench))) > 3
+    docs = [x for x in corpus if x[0] < 60]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(frame.where("doc_id < 60"), bench).collect()}
+    assert got == pytest.approx(plain.leaks(docs, items))
+    kept = decontaminate.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.where("doc_id < 60").collect()} == {d for d, _ in docs} - {d for d, _ in got}
+    assert kept.where("doc_id is null and text is null").count() == 1
+
+
+def test_a_window_meets_few_of_the_items():
+    """A stretch is compared with the items that have a shingle of it, not with all of its size."""
+    items = [(i, prose(9000 + i, 30)) for i in range(400)]
+    index = decontaminate.index_of(items)
+    h, _ = decontaminate.hashed([items[7][1]])
+    from tidemark.llm import common as C
+
+    met = index.sharing(C.grams(h, 5))
+    assert set(met) == {30} and 7 in met[30] and len(met[30]) < 10
+
+
 def test_no_benchmark(spark, frame):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(frame, empty).count() == 0
@@ -247,6 +273,75 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_equals_a_plain_scorer(spark):
+    """Counts, logs and backoff word by word, in plain dictionaries."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(6)
+    letters = {"aa": "abcdeé", "bb": "bcdefg", "cc": "cdefgñh"}
+    vocab = {lang: ["".join(rng.choice(x) for _ in range(rng.randrange(1, 7))) for _ in range(60)] for lang, x in letters.items()}
+    docs = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(1, 30))) + " 12 ½", lang) for i, lang in enumerate(rng.choices(list(vocab), k=200))]
+    docs += [(500 + i, " ".join(rng.choice(vocab["aa"]) + rng.choice(vocab["cc"]) for _ in range(5)), None) for i in range(20)]
+    words = {lang: Counter(w for d, t, x in docs if x == lang and not plain.held_out(d) for w in t.split() if w.isalpha()) for lang in vocab}
+    known = {w for w in set().union(*words.values()) if sum(c[w] for c in words.values()) >= 2}
+    grams = {}
+    for n in range(1, 5):
+        count = {lang: Counter() for lang in vocab}
+        for lang, c in words.items():
+            for w, k in c.items():
+                for i in range(len(w) + 2 - n + 1):
+                    count[lang][f"<{w}>"[i : i + n]] += k
+        kept = {g for g in set().union(*count.values()) if sum(c[g] for c in count.values()) >= (1 if n < 3 else 2)}
+        grams[n] = {g: [count[lang][g] for lang in sorted(vocab)] for g in kept}
+    tables = {0: {w: [words[lang][w] for lang in sorted(vocab)] for w in known}, **grams}
+    totals = {k: [sum(r[i] for r in t.values()) for i in range(3)] for k, t in tables.items()}
+
+    def log(k, key):
+        return [math.log((tables[k][key][i] + 0.5) / (totals[k][i] + 0.5 * len(tables[k]) + 1)) for i in range(3)]
+
+    def score(w):
+        if w in known:
+            return log(0, w)
+        p, at = f"<{w}>", []
+        for i in range(len(p) - 1):
+            for n in (4, 3, 2, 1):
+                if len(p[i : i + n]) == n and p[i : i + n] in grams[n]:
+                    at.append([x + (4 - n) * math.log(0.4) for x in log(n, p[i : i + n])])
+                    break
+        return [sum(x[i] for x in at) / max(1, len(at)) for i in range(3)]
+
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for d, text, _ in docs:
+        total = [sum(score(w)[i] for w in text.split() if w.isalpha()) for i in range(3)]
+        share = [math.exp(x - max(total)) for x in total]
+        best = max(range(3), key=lambda i: total[i])
+        assert got[d].lang_pred == sorted(vocab)[best] and got[d].score == pytest.approx(share[best] / sum(share), abs=1e-9)
+
+
+def test_language_of_what_holds_no_letter(spark, monkeypatch):
+    """Numerals are no letters; forgetting unseen words and long texts change nothing; ids may repeat; columns may clash."""
+    docs = [(i, "haus und strasse" if i % 2 else "maison et rue", "aa" if i % 2 else "bb", "x", 1.0) for i in range(40)]
+    asked = [(100, "½ ①", None, "x", 0.0), (101, "² Ⅷ 12", None, "x", 0.0), (102, "½ haus", None, "x", 0.0), (102, "rue²", None, "x", 0.0), (103, "haus " * 50_000, None, "x", 0.0), (104, " ".join(f"haus{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)), None, "x", 0.0)]
+    df = spark.createDataFrame(docs + asked, "doc_id long, text string, lang string, lang_pred string, score double")
+    one = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.identify(df).where("doc_id >= 100").collect())
+    assert [x[1] for x in one] == ["und", "und", *sorted(["aa", "bb"]), "aa", "aa"]
+    assert all(x[2] == 0 for x in one[:2])
+    model = language.fit(df)
+    scorer = language.Scorer(model)
+    scorer.cache = 5
+    small = language.Scorer(model)
+    for _, text, *_ in asked:
+        assert scorer.predict(text) == small.predict(text)
+
+
+def test_every_language_of_the_labelled_rows_is_learned(spark):
+    docs = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 26 // 26)}zz " * 3, f"l{i // 2}") for i in range(300)]
+    got = language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    learned = {lang for i, _, lang in docs if not plain.held_out(i)}
+    assert len(learned) > 120 and {r.lang_pred for r in got.collect()} == learned
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert language.identify(df).collect()[0].lang_pred == "und"

@@ -6,12 +6,16 @@ two, one. A text's score is the sum over its words, and the returned score is th
 share of the predicted language after a softmax over languages.
 
 The counts come from at most ``max_rows`` labelled rows (those with the least hashed
-doc_id); ``max_words`` words and ``max_grams`` n-grams, the most frequent, bound the
-model, and so does ``max_langs``.
+doc_id); every language of these rows is learned. ``max_words`` words and ``max_grams``
+n-grams of each length, the most frequent, bound the model: rarer words back off to their
+n-grams, rarer n-grams to shorter ones.
+
+A word is a run of letters (Unicode category L) in fit and prediction alike.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; ties go to the
 first language in alphabetical order; rows without lang teach nothing; without any
-labelled row everything is ``und``; further columns are ignored.
+labelled row everything is ``und``; of rows that share a doc_id one text teaches, and each
+row is predicted; very long texts are summed in stretches; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-LETTERS = re.compile(r"[^\W\d_]+")
+ALPHANUMERIC = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MAX_ROWS = 10_000
 MAX_WORDS = 40_000
 MAX_GRAMS = 40_000
-MAX_LANGS = 100
 ORDER = 4
 BACKOFF = float(np.log(0.4))
-#: Unseen words that are remembered at once; only memory depends on it.
-CACHE = 100_000
+#: Numbers of the rows of unseen words that are remembered at once; only memory depends on it.
+CACHE = 400_000
+
+
+def letters_of(text: str) -> list[str]:
+    """Runs of letters. The quick pattern also takes numerals that are no digits, so they are looked for."""
+    words = ALPHANUMERIC.findall(text)
+    return words if not words or "".join(words).isalpha() else LETTERS.findall(text)
 
 
 class Model:
@@ -58,12 +69,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.langs = model, model.langs
         self.gram = {g: i for i, g in enumerate(model.grams)}
+        self.cache = max(1000, CACHE // max(1, len(self.langs)))
         self.forget()
 
     def forget(self) -> None:
         self.seen = {w: i for i, w in enumerate(self.model.words)}
         self.n = len(self.seen)
-        self.table = np.zeros((self.n + 2 * CACHE, len(self.langs)))
+        self.table = np.zeros((self.n + 2 * self.cache, len(self.langs)))
         self.table[: self.n] = self.model.word_logs
 
     def learn(self, words: list[str]) -> None:
@@ -101,13 +113,13 @@ class Scorer:
         return self.table[at].sum(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = letters_of(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         for a in range(0, len(words), 20_000):
             total += self.total(words[a : a + 20_000])
-            if self.n > len(self.model.words) + CACHE:
+            if self.n > len(self.model.words) + self.cache:
                 self.forget()
         total -= total.max()
         share = np.exp(total)
@@ -124,12 +136,18 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, m
     rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows that repeat a doc_id one
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     counts = C.materialise(words.groupBy("lang", "w").agg(F.count("*").alias("c")))
-    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # at most max_rows of them
+    place = {x: i for i, x in enumerate(langs)}
 
     def table(frame: DataFrame, key: str, most: int, least: int) -> dict[str, list[int]]:
-        wide = frame.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)], F.sum("c").alias("c"))
-        best = wide.where(F.col("c") >= least).orderBy(F.desc("c"), key).limit(most)
-        return {r[0]: list(r[1:-1]) for r in best.collect()}
+        by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "c")))
+        best = frame.groupBy(key).agg(F.sum("c").alias("n"), by_lang.alias("by_lang")).where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(most)
+        out = {}
+        for r in best.collect():
+            out[r[0]] = row = [0] * len(langs)
+            for lang, c in r.by_lang.items():
+                row[place[lang]] = c
+        return out
 
     if not langs:
         return Model([], {}, [])
