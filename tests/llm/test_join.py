@@ -41,6 +41,26 @@ def test_links_where_no_central_class_may_link(spark):
     assert got == plain.components(docs) and (2, 50, 1) in got
 
 
+@pytest.mark.parametrize("cell", [1, 3, 256])
+def test_a_shingle_in_every_document(spark, monkeypatch, cell):
+    """One list holds everything: families that link, others that share the phrase alone; cells change nothing."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    rng = random.Random(17)
+    hot = [f"h{i}" for i in range(9)]
+    base = [[f"b{k}x{rng.randrange(300)}" for _ in range(40)] for k in range(8)]
+    docs = []
+    for i in range(60):
+        w = list(base[i % 8])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(40)] = f"n{rng.randrange(30)}"
+        at = rng.randrange(40)
+        docs.append((1000 - i, " ".join(w[:at] + hot + w[at:])))
+    docs += [(2000 + i, " ".join([*hot, f"t{i % 3}", f"v{i % 5}"])) for i in range(15)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(ngram_join.join_components(df))
+    assert got == plain.components(docs) and len({r[2] for r in got}) < len(docs)
+
+
 def test_keep_one(frame):
     got = sorted(r.doc_id for r in ngram_join.keep_one(frame).collect() if r.doc_id is not None)
     assert got == sorted(set(got)) and 30 not in got and 0 in got and 42 in got and 10 not in got

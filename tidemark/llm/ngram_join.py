@@ -1,18 +1,25 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Equal shingle sets are one class, joined by its representative. The global order of
-shingles is rare first; a class that has a partner at similarity t shares a shingle of
-its prefix with it, and all but (1 - t) of its shingles lie in some other class too.
-Verification is vertical: the order of hashes is cut into fragments, partial overlaps
-are counted in each fragment on its own and summed for each pair.
+shingles is rare first, by document frequency; it is cut into fragments at fixed
+frequencies. Shingles of one class alone come before the first fragment: they overlap
+with nothing and do not travel. A class that has a partner at similarity t shares a
+shingle of its prefix with it, and all but (1 - t) of its shingles lie in some other class
+too. Verification is vertical: a class's segment in each fragment is a row of its own,
+partial overlaps are counted fragment by fragment, and summed for each pair.
 
 Candidate pairs are not all pairs of a posting list. First each class is tested with one
 pivot of the lists it stands in, the class whose shingles are the most frequent, then
 with another; classes that links have joined need no further test among themselves. What
-is left are pairs of one list in different components. Two classes that were tested with
-the same pivot share at most, in each fragment, the lesser of their overlaps with it,
-and of the shingles outside it the lesser number of those that are not unique: pairs
-that this bound leaves are tested in full, so no link between components is lost.
+is left are pairs of one list in different components. In each fragment two classes share
+at most the lesser of their segments; if both were tested with the same pivot, at most the
+lesser of their overlaps with it and the lesser of what lies outside it. Pairs that the
+sum of these bounds leaves are tested in full, so no link between components is lost.
+
+No list is one task: pivots come by partial aggregation and meet their list in a join that
+AQE can split, and for the last join a list is cut into cells of CELL classes, of which
+each two are a key of their own. (The pairs that the last join looks at still grow with
+the square of a list whose classes neither link nor differ by the bounds.)
 
 Document frequencies (which only order the shingles) come from packed blobs, one for
 each (group of documents, hash range), so frequent shingles are combined per group.
@@ -39,10 +46,14 @@ from .components import components
 from .decontaminate import lower
 
 SHINGLE = 5
-FRAGMENTS = 16
+#: Where the global order is cut: ranks, 4 * log2 of the number of classes that hold a shingle.
+CUTS = (4, 7, 8, 10, 12, 14, 16, 18, 20, 24, 28, 32, 36, 40, 48)
+FRAGMENTS = len(CUTS)
 #: Neighbouring fragments that are counted as one where only the sum is wanted.
 JOINED = 4
 PIVOT_ROUNDS = 2
+#: Classes of a list's cell in the last join.
+CELL = 256
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -156,8 +167,8 @@ def candidates_of_group(n_buckets: int, num: int, den: int):
                     continue
                 ordered = s[np.lexsort((s, q))].view(np.int64)
                 prefix = ordered[: n - -(-num * n // den) + 1]
-                cuts = np.searchsorted(W.bucket_of(s, FRAGMENTS), np.arange(FRAGMENTS + 1))
-                rows.append((node, doc_id, n, u, float(q.mean()), prefix.tolist(), [s.view(np.int64)[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+                cuts = np.append(np.searchsorted(np.sort(q), CUTS), n)
+                rows.append((node, doc_id, n, u, float(q.mean()), prefix.tolist(), [ordered[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
         kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("node", "doc_id", "n", "u", "central", "prefix", "fragments"))})
 
@@ -165,6 +176,7 @@ def candidates_of_group(n_buckets: int, num: int, den: int):
 
 
 PARTS = [f"p{i}" for i in range(FRAGMENTS)]
+SIZES = [f"z{i}" for i in range(FRAGMENTS)]
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -182,12 +194,13 @@ def may_link(num: int, den: int, a: str = "", b: str = "p_"):
     return (num + den) * most >= need
 
 
-def may_link_by_pivot(num: int, den: int, a: str = "", b: str = "p_") -> Column:
-    """Unless both were tested with one pivot and what they share with it, by fragment, is too little."""
-    inside = sum((F.least(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in PARTS), F.lit(0))
-    most = inside + F.least(F.col(f"{a}outside"), F.col(f"{b}outside"))
-    enough = (num + den) * most >= F.lit(num) * (F.col(f"{a}n") + F.col(f"{b}n"))
-    return F.coalesce((F.col(f"{a}pivot") != F.col(f"{b}pivot")) | enough, F.lit(True))
+def may_link_by_fragments(num: int, den: int, a: str = "", b: str = "p_") -> Column:
+    """The greatest overlap that the segments leave, or the overlaps with a common pivot and what lies outside it."""
+    lesser = lambda names: sum((F.least(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in names), F.lit(0))
+    need = F.lit(num) * (F.col(f"{a}n") + F.col(f"{b}n"))
+    by_pivot = (num + den) * (lesser(PARTS) + sum((F.least(F.col(f"{a}{s}") - F.col(f"{a}{p}"), F.col(f"{b}{s}") - F.col(f"{b}{p}")) for s, p in zip(SIZES, PARTS, strict=True)), F.lit(0))) >= need
+    same = F.coalesce(F.col(f"{a}pivot") == F.col(f"{b}pivot"), F.lit(False))
+    return ((num + den) * lesser(SIZES) >= need) & (~same | by_pivot)
 
 
 def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
@@ -197,7 +210,8 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     coarse = found.select("node", F.posexplode(wide).alias("f", "seg")).where(F.size("seg") > 0)
     sizes = found.select("node", "n", "u")
     postings = C.materialise(found.select("node", "central", "n", "u", F.explode("prefix").alias("s")))
-    lists = postings.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    # what is aggregated by list is written first, so that its join with the list has nothing but exchanges below and can be split
+    lists = C.materialise(postings.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"))
     postings = C.materialise(postings.join(lists, "s"))
 
     def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -207,8 +221,8 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
 
     def between_components(tested: DataFrame) -> DataFrame:
         """Postings whose list reaches into several components."""
-        at = postings.join(components(tested.where("link")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = at.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
+        at = C.materialise(postings.join(components(tested.where("link")), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        open_ = C.materialise(at.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s"))
         return C.materialise(at.join(open_, "s"))
 
     def unordered(tested: DataFrame) -> DataFrame:
@@ -219,7 +233,7 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     for round_ in range(PIVOT_ROUNDS):
         first = -F.col("central") if round_ == 0 else F.xxhash64("node", F.lit(round_))
         pivots = at.groupBy("s").agg(F.min(F.struct(first, "node", "comp", "n", "u")).alias("p"))
-        pivots = pivots.select("s", F.col("p.node").alias("p"), F.col("p.comp").alias("p_comp"), F.col("p.n").alias("p_n"), F.col("p.u").alias("p_u"))
+        pivots = C.materialise(pivots.select("s", F.col("p.node").alias("p"), F.col("p.comp").alias("p_comp"), F.col("p.n").alias("p_n"), F.col("p.u").alias("p_u")))
         pairs = at.join(pivots, "s").where((F.col("comp") != F.col("p_comp")) & may_link(num, den))
         best = pairs.groupBy("node", "p").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
         best = best.select(F.col("node").alias("a"), F.col("p").alias("b"))
@@ -230,12 +244,20 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
         tested = more if tested is None else tested.union(more)
         if not more.isEmpty():  # else no list is joined yet, and the pairs are left to the next round or the last join
             at = between_components(tested)
-    near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "shared", *PARTS)
-    at = C.materialise(at.join(near, "node", "left").withColumn("outside", F.col("n") - F.col("shared") - F.col("u")).drop("shared", "central"))
-    other = at.select("s", *[F.col(c).alias(f"p_{c}") for c in at.columns if c != "s"])
-    differ = (F.col("node") < F.col("p_node")) & (F.col("comp") != F.col("p_comp"))
-    rest = at.join(other, (at.s == other.s) & differ & may_link(num, den) & may_link_by_pivot(num, den))
-    rest = rest.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
+    sizes_of = found.select("node", *[F.size(F.col("fragments")[i]).alias(c) for i, c in enumerate(SIZES)])
+    near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), *PARTS)
+    cells = C.materialise(at.groupBy("s").agg(F.ceil(F.count("*") / CELL).alias("cells")).where("cells > 1"))
+    at = at.drop("central").join(cells, "s", "left").withColumn("cell", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))))
+    at = C.materialise(at.join(sizes_of, "node").join(near, "node", "left"))
+    # a key for each two cells of a list: the lower cell of the pair on the left
+    last = F.coalesce("cells", F.lit(1)) - 1
+    lower = at.withColumns({"i": F.col("cell"), "j": F.explode(F.sequence(F.col("cell"), last))}).drop("cells", "cell")
+    upper = at.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("cell"))), "j": F.col("cell")}).drop("cells", "cell")
+    keys = ["s", "i", "j"]
+    upper = upper.select(*keys, *[F.col(c).alias(f"p_{c}") for c in upper.columns if c not in keys])
+    met = lower.join(upper, keys).where((F.col("comp") != F.col("p_comp")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("p_node"))))
+    rest = met.where(may_link(num, den) & may_link_by_fragments(num, den))
+    rest = rest.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
     more = linked(rest.join(unordered(tested), ["a", "b"], "left_anti"), coarse)
     return tested.union(more).where("link").select("a", "b")
 
