@@ -237,16 +237,31 @@ def test_monotonic_looks_at_the_rows_as_they_stand(spark, values, fine):
     assert quality.declared_check(df, "monotonic_increasing(a)", ["i"]) is fine
 
 
-def test_median_and_deviation_of_ascending_values():
+def test_gap_triggers_equal_the_plain_version():
     import random
 
     import numpy as np
 
     rng = random.Random(3)
-    for n in [*range(1, 12), 101, 500]:
-        x = sorted(rng.choice([rng.randrange(5), rng.random() * 100]) for _ in range(n))
-        m, mad = regime.centre(x)
-        assert m == pytest.approx(np.median(x)) and mad == pytest.approx(np.median(np.abs(np.array(x) - np.median(x))))
+    for k in range(6):
+        times = list(np.cumsum([rng.choice([5, 5, 7, rng.randrange(1, 60), 0 if k % 2 else 9]) for _ in range(120)]))
+        past, deviations = [], []
+        for i, got in enumerate(regime.gap_triggers([int(t) for t in times])):
+            if not i:
+                assert got is None
+                continue
+            gap = times[i] - times[i - 1]
+            if gap <= 0:
+                assert got is True
+                continue
+            if len(past) < 3:
+                assert got is None
+            else:
+                m, mad = np.median(past), np.median(deviations)
+                scale = mad if mad > 0 else np.mean(deviations)
+                assert got == (0.6745 * (gap - m) / scale > 3.5 if scale > 0 else gap > m)
+            past.append(gap)
+            deviations.append(abs(gap - np.median(past)))
 
 
 def test_student_t_tail():

@@ -6,7 +6,7 @@ All are recurrences over a symbol's bars: a grouped kernel each, parallel over s
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -98,47 +98,61 @@ def bar_gap(time: str, step_ms: int, by: tuple[str, ...] = ("symbol",)) -> Colum
     return F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(time)) > step_ms
 
 
-def centre(x: Sequence[float]) -> tuple[float, float]:
-    """Median and median absolute deviation of ascending values, in a logarithmic number of steps.
+#: Fixed values of the modified z-score, and the gaps it needs.
+Z_FACTOR, Z_LIMIT, Z_LEAST = 0.6745, 3.5, 3
 
-    The k + 1 values nearest to the median stand side by side, so the k-th deviation is
-    the least over i of the greater of m - x[i] and x[i + k] - m: one falls, one grows.
-    """
-    n = len(x)
-    m = (x[(n - 1) // 2] + x[n // 2]) / 2
 
-    def deviation(k: int) -> float:
-        i = bisect_left(range(n - k), True, key=lambda i: m - x[i] <= x[i + k] - m)
-        return min(max(m - x[j], x[j + k] - m) for j in (i - 1, i) if 0 <= j < n - k)
+class RunningMedian:
+    """Median of what has come so far: a search and an insertion for each value."""
+
+    def __init__(self) -> None:
+        self.x: list[float] = []
+
+    def add(self, value: float) -> None:
+        insort(self.x, value)
+
+    def value(self) -> float:
+        n = len(self.x)
+        return (self.x[(n - 1) // 2] + self.x[n // 2]) / 2
 
-    return m, (deviation((n - 1) // 2) + deviation(n // 2)) / 2
 
+def gap_triggers(times: Sequence[int], z_limit: float = Z_LIMIT, least: int = Z_LEAST) -> list[bool | None]:
+    """For ascending times: null for the first, true where the gap before is not positive, else by the gaps before it."""
+    gaps, deviations, total, out = RunningMedian(), RunningMedian(), 0.0, []
+    for i, t in enumerate(times):
+        gap = t - times[i - 1] if i else None
+        if gap is None:
+            out.append(None)
+            continue
+        if gap <= 0:
+            out.append(True)
+            continue
+        if len(gaps.x) < least:
+            out.append(None)
+        else:
+            middle, mad = gaps.value(), deviations.value()
+            scale = mad if mad > 0 else total / len(deviations.x)
+            out.append(bool(Z_FACTOR * (gap - middle) / scale > z_limit if scale > 0 else gap > middle))
+        gaps.add(gap)
+        deviation = abs(gap - gaps.value())
+        deviations.add(deviation)
+        total += deviation
+    return out
 
-def event_gap(bars: DataFrame, time: str, z_limit: float = 6.0, least: int = 20) -> DataFrame:
-    """triggered: the gap's modified z against the median and MAD of the positive gaps before it; a gap that is not positive always does.
 
-    The past gaps are kept in order: a row costs a search and an insertion, and a pass
-    over them only where more than half are equal. A symbol is a task, as in all recurrences.
+def event_gap(bars: DataFrame, time: str, z_limit: float = Z_LIMIT, least: int = Z_LEAST) -> DataFrame:
+    """triggered: whether the gap before a bar is out of line with the positive gaps before it, by a one-sided modified z.
+
+    The scale is the median of past deviations, each from the median at its own time (their
+    mean where that is 0; if that is 0 too, any longer gap triggers). Null for a symbol's
+    first bar and while there are fewer than ``least`` gaps; a gap that is not positive always
+    triggers. A symbol is a task, as in all recurrences.
     """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time, kind="stable")
-        times, past, out = pdf[time].tolist(), [], []
-        for i, t in enumerate(times):
-            if not i:
-                out.append(None)
-                continue
-            gap = t - times[i - 1]
-            if gap <= 0:
-                out.append(True)
-                continue
-            if len(past) < least:
-                out.append(None)
-            else:
-                middle, mad = centre(past)
-                scale = 1.4826 * mad if mad > 0 else 1.253314 * sum(abs(x - middle) for x in past) / len(past)
-                out.append(bool(scale > 0 and (gap - middle) / scale > z_limit))
-            insort(past, gap)
-        return pd.DataFrame({"symbol": pdf["symbol"], time: pdf[time], "triggered": pd.Series(out, index=pdf.index, dtype="object")})
+        found = gap_triggers(pdf[time].tolist(), z_limit, least)
+        return pd.DataFrame({"symbol": pdf["symbol"], time: pdf[time], "triggered": pd.Series(found, index=pdf.index, dtype="object")})
 
     return bars.select("symbol", time).groupBy("symbol").applyInPandas(run, f"symbol string, {time} long, triggered boolean")
 

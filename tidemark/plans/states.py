@@ -45,7 +45,13 @@ def q_jump_model(spark, sf_dir):
     return R.jump_states(measured(spark, sf_dir), ("r1", "vol"))
 
 
-@query()
+@query(
+    f"""{HEAD}, g AS (SELECT symbol, open_time, open_time - lag(open_time) OVER w AS gap, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+    m AS (SELECT *, median(gap) OVER w AS middle FROM g WHERE gap > 0 WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, abs(gap - middle) AS dev FROM m),
+    e AS (SELECT *, median(dev) OVER w AS mad, avg(dev) OVER w AS mean, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT symbol, open_time, gap, lag(middle) OVER w AS middle, CASE WHEN lag(mad) OVER w > 0 THEN lag(mad) OVER w ELSE lag(mean) OVER w END AS scale, lag(n) OVER w AS n FROM e WINDOW w AS (PARTITION BY symbol ORDER BY i))
+    SELECT g.symbol, g.open_time, CASE WHEN g.gap <= 0 THEN true WHEN p.n >= 3 THEN CASE WHEN p.scale > 0 THEN 0.6745 * (p.gap - p.middle) / p.scale > 3.5 ELSE p.gap > p.middle END END AS triggered FROM g LEFT JOIN p ON p.symbol = g.symbol AND p.open_time = g.open_time"""
+)
 def q_event_gap_trigger(spark, sf_dir):
     return R.event_gap(hours(spark, sf_dir), "open_time")
 
