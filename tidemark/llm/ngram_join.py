@@ -11,10 +11,10 @@ partial overlaps are counted fragment by fragment, and summed for each pair.
 Candidate pairs are not all pairs of a posting list. First each class is tested with one
 pivot of the lists it stands in, the class whose shingles are the most frequent, then
 with another; classes that links have joined need no further test among themselves. What
-is left are pairs of one list in different components. In each fragment two classes share
-at most the lesser of their segments; if both were tested with the same pivot, at most the
-lesser of their overlaps with it and the lesser of what lies outside it. Pairs that the
-sum of these bounds leaves are tested in full, so no link between components is lost.
+is left are pairs of one list in different components. Two classes that were tested with
+the same pivot share at most, in each fragment, the lesser of their overlaps with it, and
+of the shingles outside it the lesser number of those that are not unique: pairs that the
+sum leaves are tested in full, so no link between components is lost.
 
 No list is one task: pivots come by partial aggregation and meet their list in a join that
 AQE can split, and for the last join a list is cut into cells of CELL classes, of which
@@ -53,7 +53,7 @@ FRAGMENTS = len(CUTS)
 JOINED = 4
 PIVOT_ROUNDS = 2
 #: Classes of a list's cell in the last join.
-CELL = 256
+CELL = 1024
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -176,7 +176,6 @@ def candidates_of_group(n_buckets: int, num: int, den: int):
 
 
 PARTS = [f"p{i}" for i in range(FRAGMENTS)]
-SIZES = [f"z{i}" for i in range(FRAGMENTS)]
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -195,12 +194,11 @@ def may_link(num: int, den: int, a: str = "", b: str = "p_"):
 
 
 def may_link_by_fragments(num: int, den: int, a: str = "", b: str = "p_") -> Column:
-    """The greatest overlap that the segments leave, or the overlaps with a common pivot and what lies outside it."""
-    lesser = lambda names: sum((F.least(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in names), F.lit(0))
-    need = F.lit(num) * (F.col(f"{a}n") + F.col(f"{b}n"))
-    by_pivot = (num + den) * (lesser(PARTS) + sum((F.least(F.col(f"{a}{s}") - F.col(f"{a}{p}"), F.col(f"{b}{s}") - F.col(f"{b}{p}")) for s, p in zip(SIZES, PARTS, strict=True)), F.lit(0))) >= need
-    same = F.coalesce(F.col(f"{a}pivot") == F.col(f"{b}pivot"), F.lit(False))
-    return ((num + den) * lesser(SIZES) >= need) & (~same | by_pivot)
+    """Unless both were tested with one pivot and what they share with it, by fragment, is too little."""
+    inside = sum((F.least(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in PARTS), F.lit(0))
+    most = inside + F.least(F.col(f"{a}outside"), F.col(f"{b}outside"))
+    enough = (num + den) * most >= F.lit(num) * (F.col(f"{a}n") + F.col(f"{b}n"))
+    return F.coalesce((F.col(f"{a}pivot") != F.col(f"{b}pivot")) | enough, F.lit(True))
 
 
 def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
@@ -244,11 +242,10 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
         tested = more if tested is None else tested.union(more)
         if not more.isEmpty():  # else no list is joined yet, and the pairs are left to the next round or the last join
             at = between_components(tested)
-    sizes_of = found.select("node", *[F.size(F.col("fragments")[i]).alias(c) for i, c in enumerate(SIZES)])
-    near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), *PARTS)
+    near = profile.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "shared", *PARTS)
     cells = C.materialise(at.groupBy("s").agg(F.ceil(F.count("*") / CELL).alias("cells")).where("cells > 1"))
     at = at.drop("central").join(cells, "s", "left").withColumn("cell", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))))
-    at = C.materialise(at.join(sizes_of, "node").join(near, "node", "left"))
+    at = C.materialise(at.join(near, "node", "left").withColumn("outside", F.col("n") - F.col("shared") - F.col("u")).drop("shared"))
     # a key for each two cells of a list: the lower cell of the pair on the left
     last = F.coalesce("cells", F.lit(1)) - 1
     lower = at.withColumns({"i": F.col("cell"), "j": F.explode(F.sequence(F.col("cell"), last))}).drop("cells", "cell")
