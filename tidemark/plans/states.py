@@ -9,7 +9,7 @@ from ..operators import boosting as G
 from ..operators import models as M
 from ..operators import regime as R
 from ..operators import windows as W
-from .base import hours, query, r, ticks
+from .base import HEAD, hours, query, r, ticks
 
 
 def measured(spark, sf_dir):
