@@ -63,7 +63,7 @@ def running(df: DataFrame, values: dict[str, Column], order: str, by: Sequence[s
     totals = rows.groupBy(*by, "_block").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_t_{k}") for k in values])
-    same = F.col("_block") == F.col("_b")
+    same = F.col("_block").eqNullSafe(F.col("_b"))
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
