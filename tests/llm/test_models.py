@@ -366,3 +366,78 @@ def test_a_long_thread(spark):
     rows = [(1, i, "u", (f"> text {i - 1}\n" if i else "") + f"text {i}") for i in range(40)]
     got = sorted(quotes.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.turn)
     assert [r.depth for r in got] == list(range(40)) == [r.position for r in got] and {r.root_turn for r in got} == {0}
+
+
+def plain_conversations(rows):
+    """Links, threads and order by loops over whole conversations, on the parsed passages."""
+    parsed = [(c, t, role, *quotes.parse(text)) for c, t, role, text in rows]
+    out = []
+    for conv in {c for c, *_ in parsed}:
+        mine = sorted((x for x in parsed if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or ""))
+        parent, linked = {}, {}
+        for _, turn, _, _, passages in mine:
+            if conv is None or turn is None:
+                continue
+            weight = linked.setdefault(turn, [{}, set()])
+            for i, (level, lines) in enumerate(passages):
+                for h, size in quotes.units(lines).items():
+                    earlier = [t for _, t, _, body, _ in mine if t is not None and t < turn and h in quotes.units(body.split("\n"))]
+                    if earlier:
+                        weight[1].add((turn, i))
+                        if level == 1:
+                            weight[0][max(earlier)] = weight[0].get(max(earlier), 0) + size
+        for turn, (weight, _) in linked.items():
+            if weight:
+                parent[turn] = max(weight, key=lambda t: (weight[t], t))
+        turns = sorted({t for _, t, *_ in mine}, key=lambda t: (t is not None, t or 0))
+        order = []
+
+        def walk(turn, root, depth):
+            order.append((turn, root, depth))
+            for t in turns:
+                if t is not None and t in parent and parent[t] == turn:
+                    walk(t, root, depth + 1)
+
+        for t in turns:
+            if t not in parent:
+                walk(t, t, 0)
+        at = 0
+        for turn, root, depth in order:
+            for _, t, role, body, passages in mine:
+                if t == turn:
+                    out.append((conv, at, t, body, parent.get(t), root, depth, len(passages)))
+                    at += 1
+    return out
+
+
+def test_conversations_equal_the_plain_version(spark):
+    """Random quotes of earlier messages, deep and broad threads, unknown quotes, repeated turns, nulls, clashing columns."""
+    rng = random.Random(12)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randrange(1, 25)):
+            body = "\n".join(prose(rng.randrange(10**6), rng.randrange(1, 5)) for _ in range(rng.randrange(1, 4)))
+            text = body
+            if said and rng.random() < 0.8:
+                some = rng.choice(said[-3:] if conv % 2 else said)
+                text = "\n".join(f"> {x.upper()}" for x in some.split("\n")[: rng.randrange(1, 3)]) + "\n" + body
+                if rng.random() < 0.2:
+                    text = ">> " + rng.choice(said).split("\n")[0] + "\n" + text
+            said.append(body)
+            rows.append((conv, turn * 3, "u", text))
+    rows += [(20, 1, "u", "> nothing known\nok"), (21, None, "u", "lost"), (21, 4, "u", "> lost\nfound"), (None, 3, "u", "> x"), (22, 0, "u", None), (23, 5, "a", "twice"), (23, 5, "b", "twice over"), (23, 9, "u", "> twice\nyes"), (24, 0, "u", "long " * 40_000), (24, 1, "u", "> " + "long " * 40_000 + "\nsure")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, position int, hash int")
+    got = sorted(((r.conv_id, r.position, r.turn, r.text, r.parent_turn, r.root_turn, r.depth, r.n_quotes) for r in quotes.format_conversations(df).collect()), key=str)
+    want = sorted(plain_conversations(rows), key=str)
+    assert len(got) == len(rows) and max(r[6] for r in got) > 3
+    # of rows that repeat a turn either may come first
+    loose = lambda found: sorted(((c, None if c == 23 and t == 5 else p, t, x, *rest) for c, p, t, x, *rest in found), key=str)
+    assert loose(got) == loose(want)
+
+
+def test_quotes_from_elsewhere(spark):
+    rows = [(1, 0, "u", "a line of its own"), (2, 0, "u", "> a line of its own\nwho said so"), (2, 1, "u", "> who said so\nme"), (3, 0, "u", "> nobody did\nno")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_elsewhere, r.n_linked, r.parent_turn) for r in quotes.format_conversations(df, elsewhere=True).collect()}
+    assert got == {(1, 0): (0, 0, None), (2, 0): (1, 0, None), (2, 1): (0, 1, 0), (3, 0): (0, 0, None)}

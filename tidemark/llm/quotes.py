@@ -6,12 +6,16 @@ within, are normalised (compatibility forms, case, white space) and hashed, and
 to the latest earlier message of the conversation that has the same unit in its own
 words. The message that most characters of the first level come from is the one that
 is answered. Conversations are given in reply order: each thread after its first
-message, answers below what they answer, in the order of their turns.
+message, answers below what they answer, in the order of their turns. Quotes link inside
+a conversation; with ``elsewhere`` the passages that only another conversation has are
+counted too.
 
 Cases: null text counts as empty; a quote whose original is unknown links to nothing
 and still goes; messages without a linked quote begin a thread; equal units link to the
-latest earlier turn; rows that repeat a turn are each given, side by side; a null
-conversation or turn is linked with nothing; an empty table gives none.
+latest earlier turn; rows that repeat a turn are each given, side by side, and answered
+as one; a null conversation or turn is linked with nothing (nulls come first in the
+order of turns); very long texts are parsed line by line; further columns are ignored;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.asof import asof
+from ..operators.ranking import running
 from . import common as C
 
 MARKS = re.compile(r"^[ \t]?((?:>[ \t]?)+)(.*)$", re.DOTALL)
 WROTE = re.compile(r"^\S.{0,200}\b(?:wrote|schrieb|escribió|a écrit) ?:$")
-#: First messages that one task orders.
+#: First messages of a range: a task counts the threads of one range.
 ROOTS = 1024
 
 
@@ -98,47 +104,101 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def link(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, n_linked): what each message answers, and how many of its passages have an original."""
-    quoted = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", F.col("q.hash").alias("hash"), "q.passage", "q.level", "q.size", F.lit(None).cast("long").alias("origin"))
+#: Turns of a block of the as-of join: a unit that a long conversation repeats is not one task.
+TURNS = 4096
+
+
+def quoted_units(parsed: DataFrame) -> DataFrame:
+    return parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", F.col("q.hash").alias("hash"), "q.passage", "q.level", "q.size")
+
+
+def link(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quoted units with the turn they come from (null: unknown), and (conv_id, turn, parent_turn, n_linked)."""
+    quoted = quoted_units(parsed)
     # only units that somebody quotes
     wanted = quoted.select("conv_id", "hash").distinct()
     own = parsed.select("conv_id", "turn", F.explode("own").alias("hash")).distinct().join(wanted, ["conv_id", "hash"], "left_semi")
-    own = own.select("conv_id", "turn", "hash", F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size"), F.col("turn").alias("origin"))
-    # turns before this one: quotes of a turn stand before its own words
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("origin").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    found = quoted.unionByName(own).withColumn("from", F.last("origin", True).over(earlier)).where("passage is not null and `from` is not null")
-    linked = found.groupBy("conv_id", "turn").agg(F.countDistinct("passage").cast("int").alias("n_linked"))
-    score = found.where("level = 1").groupBy("conv_id", "turn", "from").agg(F.sum("size").alias("size"))
+    own = own.select("conv_id", "hash", F.col("turn").alias("from"))
+    found = asof(quoted.withColumn("_before", F.col("turn") - 1), own, "_before", "from", ["from"], ["conv_id", "hash"], block=TURNS).drop("_before")
+    found = C.materialise(found)
+    known = found.where("`from` is not null")
+    linked = known.groupBy("conv_id", "turn").agg(F.countDistinct("passage").cast("int").alias("n_linked"))
+    score = known.where("level = 1").groupBy("conv_id", "turn", "from").agg(F.sum("size").alias("size"))
     parent = score.groupBy("conv_id", "turn").agg(F.max_by("from", F.struct("size", "from")).alias("parent_turn"))
-    return linked.join(parent, ["conv_id", "turn"], "left")
+    return found, linked.join(parent, ["conv_id", "turn"], "left")
 
 
-def thread(nodes: DataFrame) -> DataFrame:
-    """(conv_id, turn, path): the turns from the thread's first message down, by pointer doubling."""
-    state = C.materialise(nodes.select("conv_id", "turn", F.array("turn").alias("path"), F.col("parent_turn").alias("up")))
-    while not state.where("up is not null").isEmpty():
-        above = state.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("path").alias("p"), F.col("up").alias("u"))
-        joined = state.join(above, (state.conv_id == above.c) & (state.up == above.t), "left")
-        state = C.materialise(joined.select("conv_id", "turn", F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("p", "path")).alias("path"), F.col("u").alias("up")))
-    return state.select("conv_id", "turn", "path")
+def from_elsewhere(parsed: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv_id, turn, n_elsewhere): passages without an original in their conversation that another one has."""
+    whole = found.groupBy("conv_id", "turn", "passage").agg(F.max(F.col("from").isNotNull()).alias("_known"))
+    open_ = found.join(whole.where("not _known"), ["conv_id", "turn", "passage"], "left_semi").select("conv_id", "turn", "passage", "hash")
+    own = parsed.where("conv_id is not null").select("conv_id", F.explode("own").alias("hash"))
+    # a row for each unit: two of its conversations tell whether another one than this has it
+    holders = own.groupBy("hash").agg(F.min("conv_id").alias("_low"), F.max("conv_id").alias("_high"))
+    hit = open_.join(holders, "hash").where((F.col("_low") != F.col("conv_id")) | (F.col("_high") != F.col("conv_id")))
+    return hit.groupBy("conv_id", "turn").agg(F.countDistinct("passage").cast("int").alias("n_elsewhere"))
+
 
+def doubled(state: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Follows the pointers ``up`` to the end of each chain: sums of the chain, and its last node as ``end``.
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, position, turn, role, text without quotes, parent_turn, root_turn, depth, n_quotes, n_linked."""
+    keys: names of the node's columns, within conv_id; up: a struct of them, null at an end.
+    Each round doubles the reach and is written, a row a node.
+    """
+    node = F.struct(*keys)
+    state = C.materialise(state.select("conv_id", *keys, "up", F.coalesce("up", node).alias("end"), *sums))
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("conv_id").alias("_c"), node.alias("_node"), F.col("up").alias("_up"), F.col("end").alias("_end"), *[F.col(s).alias(f"_{s}") for s in sums])
+        joined = state.join(above, (F.col("conv_id") == F.col("_c")) & (F.col("up") == F.col("_node")), "left")
+        state = C.materialise(joined.select("conv_id", *keys, F.col("_up").alias("up"), F.coalesce("_end", "end").alias("end"), *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums]))
+    return state.drop("up")
+
+
+def threads(nodes: DataFrame) -> DataFrame:
+    """(conv_id, turn, root_turn, depth, before): of nodes (conv_id, turn, parent_turn, rows), the rows that stand before in the thread.
+
+    Pointers up give root and depth. For the order a thread is walked around: into a message,
+    into its first answer, out of it into the next answer of the same message, and out of
+    the last one into the message above. What is left of the walk, in rows, is a sum along
+    pointers too; so no task needs a whole thread, and no row grows with its depth.
+    """
+    nodes = C.materialise(nodes)
+    up = nodes.select("conv_id", "turn", F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_turn").alias("turn"))).alias("up"), F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0).alias("depth"))
+    roots = doubled(up, ["turn"], ["depth"]).select("conv_id", "turn", F.col("end.turn").alias("root_turn"), "depth")
+    siblings = Window.partitionBy("conv_id", "parent_turn").orderBy("turn")
+    following = nodes.withColumn("next", F.when(F.col("parent_turn").isNotNull(), F.lead("turn").over(siblings)))
+    first = nodes.where("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("first"))
+    known = following.join(first, ["conv_id", "turn"], "left")
+    step = lambda turn, out: F.struct(turn.alias("turn"), F.lit(out).alias("out"))
+    into = known.select("conv_id", "turn", F.lit(False).alias("out"), "rows", F.when(F.col("first").isNotNull(), step(F.col("first"), False)).otherwise(step(F.col("turn"), True)).alias("up"))
+    outof = known.select("conv_id", "turn", F.lit(True).alias("out"), F.lit(0).cast("long").alias("rows"), F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent_turn").isNotNull(), step(F.col("parent_turn"), True)).alias("up"))
+    left = doubled(into.unionByName(outof), ["turn", "out"], ["rows"]).where("not out").select("conv_id", "turn", F.col("rows").alias("left"))
+    placed = C.materialise(roots.join(left, ["conv_id", "turn"]))
+    whole = placed.where("turn = root_turn").select("conv_id", "root_turn", F.col("left").alias("whole"))
+    return placed.join(whole, ["conv_id", "root_turn"]).select("conv_id", "turn", "root_turn", "depth", (F.col("whole") - F.col("left")).alias("before"))
+
+
+def format_conversations(conversations: DataFrame, elsewhere: bool = False) -> DataFrame:
+    """conv_id, position, turn, role, text without quotes, parent_turn, root_turn, depth, n_quotes, n_linked (and n_elsewhere)."""
     parsed = C.materialise(conversations.select("conv_id", "turn", "role", "text").mapInArrow(_parse, PARSED))
-    links = C.materialise(link(parsed))
-    # messages without a linked quote begin a thread: only the others, and what they answer, need a path
+    found, links = link(parsed)
+    links = C.materialise(links)
+    # messages without a linked quote begin a thread: only the others, and what they answer, need a walk
     answers = links.where("parent_turn is not null").select("conv_id", "turn", "parent_turn")
     roots = answers.select("conv_id", F.col("parent_turn").alias("turn")).distinct().join(answers, ["conv_id", "turn"], "left_anti")
-    paths = thread(answers.unionByName(roots, allowMissingColumns=True))
-    rows = parsed.join(links, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
-    rows = rows.select("conv_id", "turn", "role", "text", "parent_turn", F.coalesce("path", F.array("turn")).alias("path"), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    rows = rows.withColumn("root_turn", F.col("path")[0]).withColumn("range", F.expr(f"root_turn div {ROOTS}"))
+    copies = parsed.groupBy("conv_id", "turn").agg(F.count("*").alias("rows"))
+    walked = threads(answers.unionByName(roots, allowMissingColumns=True).join(copies, ["conv_id", "turn"]))
+    rows = parsed.join(links, ["conv_id", "turn"], "left").join(walked, ["conv_id", "turn"], "left")
+    rows = rows.select("conv_id", "turn", "role", "text", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("before", F.lit(0)).alias("before"), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     rows = C.materialise(rows)
-    sizes = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("conv_id", "range").orderBy("path", "role", F.xxhash64("text"))
-    placed = rows.withColumn("at", F.row_number().over(inside) - 1).join(sizes, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("range").eqNullSafe(F.col("_r")))
-    return placed.select("conv_id", (F.col("before") + F.col("at")).alias("position"), "turn", "role", "text", "parent_turn", "root_turn", (F.size("path") - 1).alias("depth"), "n_quotes", "n_linked")
+    # rows before a thread: sums over ranges of first messages, one row a range carried on
+    sizes = rows.groupBy("conv_id", "root_turn").agg(F.count("*").alias("_n"))
+    sizes = C.materialise(running(sizes, {"_upto": F.col("_n")}, "root_turn", ["conv_id"], F.expr(f"root_turn div {ROOTS}")))
+    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("root_turn").alias("_r"), (F.col("_upto") - F.col("_n")).alias("_earlier"))
+    # rows that repeat a turn stand side by side
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", F.xxhash64("text"))
+    placed = rows.withColumn("_at", F.row_number().over(same) - 1).join(sizes, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("root_turn").eqNullSafe(F.col("_r")))
+    out = placed.select("conv_id", (F.col("_earlier") + F.col("before") + F.col("_at")).alias("position"), "turn", "role", "text", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked")
+    if elsewhere:
+        out = out.join(from_elsewhere(parsed, found), ["conv_id", "turn"], "left").withColumn("n_elsewhere", F.coalesce("n_elsewhere", F.lit(0)))
+    return out
