@@ -59,6 +59,54 @@ def test_fingerprints_estimate(frame, corpus):
     assert got[0].fingerprint == got[30].fingerprint != got[1].fingerprint
 
 
+def plain_sketch(text):
+    """The least 128 of the chained 64-bit hashes of five words."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    w = [signed(xxhash.xxh64(x.encode(), seed=42).intdigest()) for x in plain.words(text)]
+
+    def chain(xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64(x.to_bytes(8, "little", signed=True), seed=h % (1 << 64)).intdigest()
+        return signed(h)
+
+    def fold(xs):
+        h = 0
+        for x in xs:
+            h = chain([h, x])
+        return h
+
+    found = {chain(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {fold(w)} if w else set()
+    return sorted(found)[:128]
+
+
+def plain_resemblance(a, b):
+    both = sorted(set(a) | set(b))[:128]
+    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("bytes_of_range", [2000, 8 << 20])
+def test_fingerprints_equal_the_plain_version(frame, corpus, monkeypatch, bytes_of_range):
+    """Whole table: nulls, repeated rows and ids, a text of 20,000 words; ranges of any size give the same rows."""
+    monkeypatch.setattr(fingerprints, "BYTES_OF_RANGE", bytes_of_range)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.compare(frame).collect()), key=str)
+    import xxhash
+
+    text_hash = lambda t: (h := xxhash.xxh64((t or "").encode(), seed=42).intdigest()) - (1 << 64 if h >> 63 else 0)
+    named = sorted(corpus, key=lambda x: (-x[0], text_hash(x[1])))
+    pairs = [(d, t or "", named[(i + 1) % len(named)][1] or "") for i, (d, t) in enumerate(named)] + [(None, t or "", t or "") for t in (corpus[0][1], None)]
+    want = []
+    for d, text, following in pairs:
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(following)
+        shown = lambda s: " ".join(f"{h % (1 << 64):x}" for h in s)
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(plain_resemblance(a, b), 9), round(plain_resemblance(a, c), 9)))
+    assert got == sorted(want, key=str)
+
+
 def test_sketches_merge(spark):
     a, b = prose(1, 400), prose(2, 300)
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
@@ -255,6 +303,68 @@ def test_quality_on_held_out_rows(labelled):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.predicted}
 
 
+def test_pair_loss_comes_near_the_best_of_all_pairs():
+    """The stochastic fit against plain gradient descent over every preference pair."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    y = (x @ np.array([1.5, -1.0, 0.5, 0.0]) + rng.normal(size=90) > 0).astype(int)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    decay = 2e-4
+
+    def loss(w):
+        total = 0.0
+        for i in good:
+            for j in bad:
+                total += math.log1p(math.exp(-float((x[i] - x[j]) @ w)))
+        return total / (len(good) * len(bad)) + decay / 2 * float(w @ w)
+
+    w = np.zeros(4)
+    diff = (x[good][:, None] - x[bad][None]).reshape(-1, 4)
+    for _ in range(3000):
+        w -= 0.5 * (-(diff.T @ (1 / (1 + np.exp(diff @ w)))) / len(diff) + decay * w)
+    got = quality.fit_pairs(x, good, bad, 7)
+    assert loss(got) < loss(w) * 1.03 + 1e-3 and loss(got) < loss(np.zeros(4)) * 0.75
+    order = np.argsort(x @ got)
+    assert np.corrcoef(x @ got, x @ w)[0, 1] > 0.99 and len(order) == 90
+
+
+def test_quality_scores_equal_a_plain_scorer(spark, labelled):
+    """Features word by word, the weighted sum and the logistic; long texts, repeated ids and clashing columns."""
+    import math
+    import re
+    from collections import Counter
+
+    docs, labels = labelled
+    model = quality.fit(docs, labels)
+
+    def plain_features(text):
+        raw, words = text.encode(), re.findall(r"[^\W\d_]+", text.lower())
+        n, share = max(1, len(raw)), lambda k: math.log1p(100 * k / max(1, len(raw)))
+        out = [share(raw.count(c)) for c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+        out += [share(sum(48 <= c < 58 for c in raw)), share(sum(65 <= c < 91 for c in raw)), share(sum(97 <= c < 123 for c in raw)), share(sum(c > 127 for c in raw)), share(raw.count(10)), share(raw.count(32))]
+        k, count, lines = len(words), Counter(words), text.split("\n")
+        out += [math.log1p(k), len(count) / k if k > 20 else 1.0, max(count.values()) / k if k > 20 else 0.0, math.log1p(100 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, k))]
+        out += [math.log1p(len(lines)), len(set(lines)) / len(lines), sum(map(len, words)) / max(1, k)]
+        assert n
+        return out, set(words)
+
+    rows = [(i, t) for i, t in [(1, prose(1, 60)), (1, "one # two\n\none one"), (2, None), (3, ""), (4, "horrid " + prose(4, 50)), (5, "Ünïcode ½ 12 " * 9000), (None, "x")]]
+    df = spark.createDataFrame([(*r, 1.0, 2, "y") for r in rows], "doc_id long, text string, score double, predicted int, held_out string")
+    got = sorted(((r.doc_id, round(r.score, 9)) for r in quality.score(df, model).collect()), key=str)
+    want = []
+    for d, text in rows:
+        x, words = plain_features(text or "")
+        raw = sum(min(6, max(-6, (v - c) / s)) * w for v, c, s, w in zip(x, model.centre, model.scale, model.weights, strict=False)) + sum(model.weights[quality.N_DENSE + i] for i, w in enumerate(model.words) if w in words)
+        z = math.log(0.3 / 0.7) + model.slope * (raw - model.threshold)
+        want.append((d, round(1 / (1 + math.exp(-max(-60, min(60, z)))), 9)))
+    assert got == sorted(want, key=str)
+    assert quality.classify(df, labels).count() == len(rows) and quality.keep_good(df, labels).columns == df.columns
+
+
 def test_quality_without_labels(spark, labelled):
     docs, labels = labelled
     got = quality.classify(docs, labels.limit(0)).collect()

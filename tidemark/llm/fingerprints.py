@@ -7,7 +7,9 @@ and containment, and one the number of distinct shingles.
 Cases: null text counts as empty; under five words the whole sequence is the one
 shingle; without words the sketch is empty, like any other empty one (1) and unlike the
 rest (0); equal texts have equal sketches; a single document is its own next one; rows
-that share a doc_id are ordered by their text's hash; an empty table gives none.
+that share a doc_id are ordered by their text's hash (one range, so one task); a row
+without a doc_id has no place in the order and is its own next one; very long texts are
+hashed whole; further columns are ignored; an empty table gives none.
 DataFrame operations only.
 """
 
@@ -16,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import cuts, range_of
 from . import common as C
-from . import ordered
 
 K = 128
 SHINGLE = 5
@@ -74,10 +76,11 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
 
 def compare(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edit, with their likeness, and that to the next document's."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs, unnamed = every.where("doc_id is not null"), every.where("doc_id is null")
     total = C.text_bytes(docs)
-    at = ordered.cuts(docs, "doc_id", max(4, -(-total // BYTES_OF_RANGE)))
-    placed = docs.withColumn("range", ordered.range_of("doc_id", at))
+    at = cuts(docs, "doc_id", max(4, -(-total // BYTES_OF_RANGE)))
+    placed = docs.withColumn("range", range_of("doc_id", at))
     heads = placed.groupBy("range").agg(F.max("doc_id").alias("head"))  # at most MOST_RANGES rows
     by_range = Window.orderBy("range")
     heads = heads.select("range", F.coalesce(F.lag("head").over(by_range), F.last("head").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("doc_id"))
@@ -87,6 +90,9 @@ def compare(docs: DataFrame, k: int = K) -> DataFrame:
     rows = rows.withColumn("_w", word_hashes(F.col("text"))).withColumn("a", sketch("_w", k)).drop("_w")
     order = Window.partitionBy("range").orderBy("end", F.desc("doc_id"), F.xxhash64("text"))
     rows = rows.select("doc_id", "text", "end", "a", F.lead("text").over(order).alias("next"), F.lead("a").over(order).alias("c")).where(~F.col("end"))
+    alone = unnamed.withColumn("_w", word_hashes(F.col("text"))).withColumn("a", sketch("_w", k))
+    alone = alone.select("doc_id", "text", F.lit(False).alias("end"), "a", F.col("text").alias("next"), F.col("a").alias("c"))
+    rows = rows.unionByName(alone)
     n = F.char_length("text")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "a", "c", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.substring("next", F.lit(1), F.floor(n / 3).cast("int"))).alias("edited"))
     rows = rows.withColumn("_w", word_hashes(F.col("edited"))).withColumn("b", sketch("_w", k))

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import cuts, range_of
 from . import common as C
-from . import ordered
 
 SHARDS = 24
 ROWS_OF_RANGE = 20_000
@@ -28,8 +28,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sized = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     sized = C.materialise(sized)
     n, total = sized.agg(F.count("*"), F.sum("size")).first()
-    at = ordered.cuts(sized, "doc_id", max(8, n // ROWS_OF_RANGE))
-    placed = sized.withColumn("range", ordered.range_of("doc_id", at))
+    at = cuts(sized, "doc_id", max(8, n // ROWS_OF_RANGE))
+    placed = sized.withColumn("range", range_of("doc_id", at))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most MOST_RANGES rows
     ranges = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     ranges = ranges.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
