@@ -124,11 +124,15 @@ def q_feature_frame(spark, sf_dir):
     return df.select("symbol", "open_time", "close_time", *[r(c).alias(c) for c in X.ACTIVE])
 
 
-@query()
+@query(
+    f"""{SCORED}, g AS (SELECT range AS i FROM range(1001)), q AS (SELECT i, (SELECT quantile_cont(p, list_transform(range(1001), lambda k: k / 1000.0::DOUBLE)) FROM s)[i + 1] AS a, (SELECT quantile_cont(1 - p, list_transform(range(1001), lambda k: k / 1000.0::DOUBLE)) FROM s)[i + 1] AS b FROM g),
+    d AS (SELECT p, count(*) AS n FROM s GROUP BY 1), h AS (SELECT i, sum(CASE WHEN p >= a OR 1 - p >= b THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS share FROM q, d GROUP BY 1),
+    x AS (SELECT coalesce(min(CASE WHEN share <= 0.3 AND i BETWEEN 1 AND 999 THEN i END), 1000) AS i FROM h) SELECT round(a, 9) + 0 AS tau_long, round(b, 9) + 0 AS tau_short FROM q JOIN x USING (i)"""
+)
 def q_joint_threshold(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("q", 1 - F.col("p"))
     a, b = A.joint_threshold(s, "p", "q", 0.3)
-    return spark.createDataFrame([(float(a), float(b))], "tau_long double, tau_short double")
+    return spark.createDataFrame([(round(float(a), 9), round(float(b), 9))], "tau_long double, tau_short double")
 
 
 @query()

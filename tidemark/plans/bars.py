@@ -79,11 +79,25 @@ def q_walkforward_threshold(spark, sf_dir):
     return df.select("symbol", "day", r("quote", 4).alias("quote"), r("threshold", 4).alias("threshold"))
 
 
-@query()
+#: Trade by trade: the running value, its bucket and the open bar's value; a new period's threshold counts the open bar anew.
+_WALK = f"""WITH RECURSIVE {TICKS}, days AS (SELECT symbol, transact_time // 86400000 AS day, sum(price * quantity) AS quote FROM ticks GROUP BY 1, 2),
+    th AS (SELECT symbol, day, sum(quote) OVER (PARTITION BY symbol ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) / 140 AS threshold FROM days), f AS (SELECT symbol, min(day) AS first FROM days GROUP BY 1),
+    o AS (SELECT t.*, t.transact_time // 86400000 AS day, (t.transact_time // 86400000 - f.first) // 2 AS period FROM ticks t JOIN f ON f.symbol = t.symbol), st AS (SELECT symbol, period, min(day) AS day FROM o GROUP BY 1, 2),
+    x AS (SELECT o.symbol, o.period, th.threshold, o.transact_time, o.agg_trade_id, o.price, o.quantity, o.price * o.quantity AS pq, row_number() OVER (PARTITION BY o.symbol ORDER BY o.transact_time, o.agg_trade_id) AS i
+      FROM o JOIN st ON st.symbol = o.symbol AND st.period = o.period JOIN th ON th.symbol = o.symbol AND th.day = st.day WHERE th.threshold > 0),
+    s AS (SELECT symbol, i, period, threshold, pq AS base, floor(pq / threshold) AS bucket, pq AS own, CAST(0 AS BIGINT) AS bar_id FROM x WHERE i = 1
+    UNION ALL SELECT symbol, i, period, threshold, base, floor(base / threshold), CASE WHEN floor(base / threshold) <> held THEN pq ELSE own + pq END, bar_id + CASE WHEN floor(base / threshold) <> held THEN 1 ELSE 0 END FROM (
+      SELECT x.symbol, x.i, x.period, x.threshold, x.pq, s.own, s.bar_id, CASE WHEN x.period <> s.period THEN s.own ELSE s.base END + x.pq AS base, CASE WHEN x.period <> s.period THEN floor(s.own / x.threshold) ELSE s.bucket END AS held FROM s JOIN x ON x.symbol = s.symbol AND x.i = s.i + 1)),
+    b AS (SELECT x.symbol, s.bar_id, max(x.i) AS last, max(x.period) AS own_period, arg_max(x.threshold, x.i) AS own_threshold, min(transact_time) AS open_time, max(transact_time) AS close_time, arg_min(price, x.i) AS open, max(price) AS high, min(price) AS low, arg_max(price, x.i) AS close, CAST(sum(quantity) AS DOUBLE) AS volume, sum(pq) AS quote_volume, count(*) AS count FROM x JOIN s ON s.symbol = x.symbol AND s.i = x.i GROUP BY 1, 2)
+    SELECT b.symbol, coalesce(n.period, own_period) AS period, bar_id, open_time, close_time, open, high, low, close, volume, round(quote_volume, 6) + 0 AS quote_volume, count, round(coalesce(n.threshold, own_threshold), 6) + 0 AS threshold_quote FROM b LEFT JOIN x n ON n.symbol = b.symbol AND n.i = b.last + 1"""
+
+
+@query(_WALK)
 def q_walkforward_bars(spark, sf_dir):
     from ..operators.walkforward import walkforward_bars
 
-    return walkforward_bars(ticks(spark, sf_dir), trailing_days=7, cadence_days=2, bars_per_day=20)
+    df = walkforward_bars(ticks(spark, sf_dir), trailing_days=7, cadence_days=2, bars_per_day=20)
+    return df.withColumns({c: r(c) for c in ("quote_volume", "threshold_quote")})
 
 
 #: The recurrence trade by trade: mean sign, signed count, trades of the bar, expected length, whether the trade ends its bar.

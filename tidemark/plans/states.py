@@ -9,25 +9,51 @@ from ..operators import boosting as G
 from ..operators import models as M
 from ..operators import regime as R
 from ..operators import windows as W
-from .base import HEAD, hours, query, r, ticks
+from .base import HEAD, TICKS, hours, query, r, ticks
+from .windows import O, full, log
 
 
 def measured(spark, sf_dir):
     """Hourly bars with trend, volatility and return."""
     step, ratio = W.efficiency_ratio("close", 12)
-    df = hours(spark, sf_dir).withColumn("_step", step).withColumn("er", ratio).withColumn("r1", W.log_return("close")).withColumn("vol", W.rolling(F.stddev_samp("r1"), "r1", 12)).drop("_step")
+    df = hours(spark, sf_dir).withColumn("_step", step).withColumn("er", F.round(ratio, 9)).withColumn("r1", W.log_return("close")).withColumn("vol", F.round(W.rolling(F.stddev_samp("r1"), "r1", 12), 9)).drop("_step")
     ranked = W.percentile_rank(df, "vol", name="vol_rank").join(W.percentile_rank(df, "er", name="er_rank"), ["symbol", "open_time"])
     return df.join(ranked, ["symbol", "open_time"]).withColumn("stressed", F.coalesce(F.abs("r1") > 3.5, F.lit(False)))
 
 
-@query()
+def _expanding(x: str) -> str:
+    """Share of the earlier known values that are not above this one."""
+    return f"CASE WHEN a.{x} IS NOT NULL AND count(b.{x}) > 0 THEN count(CASE WHEN b.{x} <= a.{x} THEN 1 END) / CAST(count(b.{x}) AS DOUBLE) END"
+
+
+MEASURED = f"""p AS (SELECT *, lag(close) OVER {O} AS pc, abs(close - lag(close) OVER {O}) AS st, abs(close - lag(close, 12) OVER {O}) AS net, row_number() OVER {O} AS i FROM bars),
+    q AS (SELECT *, ({log('close')}) - ({log('pc')}) AS r1 FROM p), w AS (SELECT symbol, open_time, i, r1, round(CASE WHEN {full('sum(st)', 'st', 12)} > 0 THEN net / {full('sum(st)', 'st', 12)} END, 9) AS er, round({full('stddev_samp(r1)', 'r1', 12)}, 9) AS vol FROM q),
+    measured AS (SELECT a.symbol, a.open_time, a.i, any_value(coalesce(abs(a.r1) > 3.5, false)) AS s, {_expanding('er')} AS e, {_expanding('vol')} AS v FROM w a LEFT JOIN w b ON b.symbol = a.symbol AND b.i < a.i GROUP BY a.symbol, a.open_time, a.i, a.er, a.vol)"""
+
+
+def _machine(cells: list[tuple[float, float, float, float]]) -> str:
+    """The machine bar by bar, for each cell of (enter, leave) cutoffs of trend and volatility."""
+    values = ", ".join(str(c) for c in cells)
+    return f"""WITH RECURSIVE {TICKS}, {HEAD.split(TICKS + ', ')[1]}, {MEASURED}, cells(te, tl, ve, vl) AS (VALUES {values}),
+    m AS (SELECT DISTINCT ON (symbol, te, ve) symbol, te, tl, ve, vl, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, false AS trend, false AS high, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS regime, CAST(NULL AS VARCHAR) AS cand, 0 AS n, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS len FROM measured, cells
+    UNION ALL SELECT symbol, te, tl, ve, vl, i, t, trend, high, raw, now, CASE WHEN now = raw THEN NULL ELSE raw END, CASE WHEN now = raw THEN 0 ELSE n END, CASE WHEN now = raw THEN t ELSE since END, CASE WHEN now = was THEN len + 1 ELSE 1 END FROM (
+      SELECT *, CASE WHEN raw IN ('R5', 'R0') OR was IS NULL OR was = 'R0' OR (n >= 2 AND t - since >= 7200000) THEN raw ELSE was END AS now FROM (
+        SELECT symbol, te, tl, ve, vl, i, t, trend, high, raw, was, len, CASE WHEN raw = cand THEN n ELSE 0 END + 1 AS n, CASE WHEN raw = cand THEN since ELSE t END AS since FROM (
+          SELECT *, CASE WHEN s THEN 'R5' WHEN e IS NULL OR v IS NULL THEN 'R0' WHEN trend AND high THEN 'R4' WHEN trend THEN 'R3' WHEN high THEN 'R2' ELSE 'R1' END AS raw FROM (
+            SELECT m.symbol, te, tl, ve, vl, d.i, d.open_time AS t, d.s, d.e, d.v, m.regime AS was, m.cand, m.n, m.since, m.len,
+              CASE WHEN d.s OR d.e IS NULL OR d.v IS NULL THEN m.trend ELSE d.e >= CASE WHEN m.trend THEN tl ELSE te END END AS trend, CASE WHEN d.s OR d.e IS NULL OR d.v IS NULL THEN m.high ELSE d.v >= CASE WHEN m.high THEN vl ELSE ve END END AS high
+            FROM m JOIN measured d ON d.symbol = m.symbol AND d.i = m.i + 1)))))"""
+
+
+@query(f"{_machine([(0.7, 0.5, 0.7, 0.5)])} SELECT symbol, t AS open_time, raw AS regime_raw, regime, len AS bars_in_regime, regime NOT IN ('R0', 'R5') AS tradeable FROM m WHERE i > 0")
 def q_regime_state_machine(spark, sf_dir):
     return R.state_machine(measured(spark, sf_dir), "er_rank", "vol_rank", "stressed")
 
 
-@query()
+@query(f"{_machine([(a, a - 0.2, a, a - 0.2) for a in (0.6, 0.7, 0.8)])} SELECT symbol, CAST(te AS DOUBLE) AS trend_cut, CAST(ve AS DOUBLE) AS vol_cut, regime, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY symbol, te, ve) AS DOUBLE), 9) + 0 AS share FROM m WHERE i > 0 GROUP BY symbol, te, ve, regime")
 def q_regime_cutoff_sweep(spark, sf_dir):
-    return R.cutoff_sweep(measured(spark, sf_dir), "er_rank", "vol_rank", "stressed", [(0.6, 0.6), (0.7, 0.7), (0.8, 0.8)])
+    df = R.cutoff_sweep(measured(spark, sf_dir), "er_rank", "vol_rank", "stressed", [(0.6, 0.6), (0.7, 0.7), (0.8, 0.8)])
+    return df.withColumn("share", r("share", 9))
 
 
 @query()

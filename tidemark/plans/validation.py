@@ -235,14 +235,21 @@ def q_pnl_decomposition(spark, sf_dir):
     return lab.groupBy("symbol").agg(r(F.sum("ret_gross")).alias("directional"), r(-F.sum(funding)).alias("carry"), r(F.sum(entry + exit_)).alias("execution"), r(F.sum(F.col("ret_gross") - funding + entry + exit_)).alias("net"))
 
 
-@query()
+@query(
+    f"""WITH {TICKS}, v AS (SELECT transact_time // 86400000 AS day, symbol, avg(price - 50) AS x FROM ticks GROUP BY 1, 2), d AS (SELECT day, symbol, coalesce(x, 0) AS x FROM (SELECT DISTINCT day FROM v) CROSS JOIN (SELECT DISTINCT symbol FROM v) LEFT JOIN v USING (day, symbol)),
+    b AS (SELECT day % 8 AS block, symbol, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM d GROUP BY 1, 2), c AS (SELECT range AS c FROM range(256) WHERE bit_count(range) = 4),
+    h AS (SELECT c, symbol, (c >> block) & 1 = 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b, c GROUP BY 1, 2, 3), k AS (SELECT c, symbol, inside, CASE WHEN (q - s * s / n) / (n - 1) > 0 THEN s / n / sqrt((q - s * s / n) / (n - 1)) ELSE 0 END AS score FROM h),
+    best AS (SELECT c, arg_min(symbol, (-score, symbol)) AS symbol FROM k WHERE inside GROUP BY 1), o AS (SELECT b.c, (SELECT score FROM k WHERE k.c = b.c AND NOT k.inside AND k.symbol = b.symbol) AS v FROM best b),
+    r AS (SELECT o.c, (count(CASE WHEN k.score < o.v THEN 1 END) + (count(CASE WHEN k.score = o.v THEN 1 END) + 1) / 2.0) / (count(*) + 1) AS rank FROM o JOIN k ON k.c = o.c AND NOT k.inside GROUP BY 1)
+    SELECT round(avg(CASE WHEN rank <= 0.5 THEN 1.0 ELSE 0.0 END), 9) + 0 AS pbo, CAST(count(*) AS INTEGER) AS n_combinations FROM r"""
+)
 def q_pbo_cscv(spark, sf_dir):
     t = ticks(spark, sf_dir)
     days = t.groupBy(F.expr("transact_time div 86400000").alias("day")).pivot("symbol").agg(F.avg(F.col("price") - 50)).na.fill(0.0)
     names = sorted(c for c in days.columns if c != "day")
     blocks = days.withColumn("block", (F.col("day") % 8).cast("int"))
     out = V.pbo(blocks, "block", names, 8)
-    return spark.createDataFrame([(out["pbo"], out["n_combinations"])], "pbo double, n_combinations int")
+    return spark.createDataFrame([(round(out["pbo"], 9), out["n_combinations"])], "pbo double, n_combinations int")
 
 
 @query(f"{HEAD}, p AS (SELECT symbol, open_time, close, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS pc FROM bars), v AS (SELECT symbol, open_time, power(CASE WHEN close > 0 AND pc > 0 THEN ln(close / pc) END, 2) AS rv FROM p), f AS (SELECT symbol, rv, avg(rv) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS a, lag(rv) OVER (PARTITION BY symbol ORDER BY open_time) AS b FROM v), l AS (SELECT symbol, CASE WHEN a > 0 AND rv > 0 AND b > 0 THEN rv / a - ln(rv / a) - 1 END AS la, CASE WHEN b > 0 AND rv > 0 AND a > 0 THEN rv / b - ln(rv / b) - 1 END AS lb, rv, a FROM f) SELECT symbol, count(la - lb) AS n, round(avg(la), 6) + 0 AS qlike_mean, round(avg(la - lb) / (stddev_samp(la - lb) / sqrt(count(la - lb))), 5) + 0 AS dm, round(regr_slope(rv, a), 6) + 0 AS slope, round(regr_intercept(rv, a), 6) + 0 AS intercept, round(regr_r2(rv, a), 6) + 0 AS r2 FROM l GROUP BY 1")

@@ -177,7 +177,18 @@ def q_rsi(spark, sf_dir):
     return W.rsi(hours(spark, sf_dir), 14).select(*KEY, r("rsi", 5).alias("rsi"))
 
 
-@query()
+def _ema_sql(name: str, of: str, x: str, span: int) -> str:
+    """name(symbol, i, k, v): the recurrence over the rows of ``of`` where x is known, numbered anew as k."""
+    a = 2 / (span + 1)
+    return f"""{name}_k AS (SELECT symbol, i, {x} AS x, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM {of} WHERE {x} IS NOT NULL),
+    {name} AS (SELECT symbol, i, k, x AS v FROM {name}_k WHERE k = 1 UNION ALL SELECT n.symbol, n.i, n.k, {a!r} * n.x + {1 - a!r} * e.v FROM {name} e JOIN {name}_k n ON n.symbol = e.symbol AND n.k = e.k + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TICKS}, {HEAD.split(TICKS + ', ')[1]}, b AS (SELECT symbol, open_time, close, row_number() OVER {O} AS i FROM bars), {_ema_sql('fast', 'b', 'close', 12)}, {_ema_sql('slow', 'b', 'close', 26)},
+    line AS (SELECT b.symbol, b.open_time, b.i, CASE WHEN f.k >= 12 AND s.k >= 26 THEN f.v - s.v END AS macd FROM b LEFT JOIN fast f ON f.symbol = b.symbol AND f.i = b.i LEFT JOIN slow s ON s.symbol = b.symbol AND s.i = b.i), {_ema_sql('sig', 'line', 'macd', 9)}
+    SELECT l.symbol, l.open_time, round(macd, 6) + 0 AS macd, round(CASE WHEN g.k >= 9 THEN g.v END, 6) + 0 AS signal, round(macd - CASE WHEN g.k >= 9 THEN g.v END, 6) + 0 AS histogram FROM line l LEFT JOIN sig g ON g.symbol = l.symbol AND g.i = l.i"""
+)
 def q_macd_hist(spark, sf_dir):
     return pick(W.macd_histogram(hours(spark, sf_dir)), KEY, macd="macd", signal="signal", histogram="histogram")
 
