@@ -1,9 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Equal shingle sets are one class, joined by its representative. The global order of
-shingles is rare first, by document frequency; it is cut into fragments at fixed
-frequencies. Shingles of one class alone come before the first fragment: they overlap
-with nothing and do not travel. A class that has a partner at similarity t shares a
+shingles is rare first: those of one class alone, which overlap with nothing and do not
+travel, then the others. The others are cut by hash into fragments, at the same places for
+all. A class that has a partner at similarity t shares a
 shingle of its prefix with it, and all but (1 - t) of its shingles lie in some other class
 too. Verification is vertical: a class's segment in each fragment is a row of its own,
 partial overlaps are counted fragment by fragment, and summed for each pair.
@@ -46,9 +46,8 @@ from .components import components
 from .decontaminate import lower
 
 SHINGLE = 5
-#: Where the global order is cut: ranks, 4 * log2 of the number of classes that hold a shingle.
-CUTS = (4, 7, 8, 10, 12, 14, 16, 18, 20, 24, 28, 32, 36, 40, 48)
-FRAGMENTS = len(CUTS)
+#: Ranges of hashes. Bands of frequency instead, or four ranges in each of four bands, leave six and four times the pairs to test.
+FRAGMENTS = 16
 #: Neighbouring fragments that are counted as one where only the sum is wanted.
 JOINED = 4
 PIVOT_ROUNDS = 2
@@ -167,8 +166,10 @@ def candidates_of_group(n_buckets: int, num: int, den: int):
                     continue
                 ordered = s[np.lexsort((s, q))].view(np.int64)
                 prefix = ordered[: n - -(-num * n // den) + 1]
-                cuts = np.append(np.searchsorted(np.sort(q), CUTS), n)
-                rows.append((node, doc_id, n, u, float(q.mean()), prefix.tolist(), [ordered[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+                at = np.where(q == 0, -1, W.bucket_of(s, FRAGMENTS))  # held by one class: in no fragment
+                by = s[np.argsort(at, kind="stable")].view(np.int64)
+                cuts = np.append(np.searchsorted(np.sort(at), np.arange(FRAGMENTS)), n)
+                rows.append((node, doc_id, n, u, float(q.mean()), prefix.tolist(), [by[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
         kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("node", "doc_id", "n", "u", "central", "prefix", "fragments"))})
 
