@@ -47,3 +47,12 @@ def decile(order: WindowSpec, by: WindowSpec, k: int = 10) -> Column:
 def average_rank(by: Sequence[Column | str], value: str) -> Column:
     """Rank from 1 where ties share their mean rank."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+
+
+def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson over rows where both are there; null, not an error, where one side does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    parts = F.covar_pop(x, y), F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    cov, sx, sy = (p.over(over) if over is not None else p for p in parts)
+    return F.when((sx > 0) & (sy > 0), F.try_divide(cov, sx * sy))

@@ -8,6 +8,7 @@ from math import exp, lgamma, log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import correlation
 from .ranking import positions, quantiles, running
 from .validation import ranked, spearman
 
@@ -47,7 +48,7 @@ def peak(df: DataFrame, at: str, value: str, by: Sequence[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:
     """Pairwise Pearson over rows where both are there, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[f"c{i}"] for i, p in enumerate(pairs)}
 
 

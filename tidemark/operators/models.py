@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import correlation
 from .ranking import positions
 from .ranking import quantiles as exact_quantiles
 
@@ -189,7 +190,7 @@ def permutation_null(df: DataFrame, x: str, y: str, replicates: int, seed: int)
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     left = rows.select(reps, "_i", x)
     shuffled = shuffle_places(rows.select(reps, y, "row_id"), ["replicate"], seed, "_i").select("replicate", "_i", y)
-    return left.join(shuffled, ["replicate", "_i"]).groupBy("replicate").agg(F.corr(x, y).alias("statistic"))
+    return left.join(shuffled, ["replicate", "_i"]).groupBy("replicate").agg(correlation(x, y).alias("statistic"))
 
 
 HASH_RANGES = 256

@@ -14,6 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import correlation
 from .ranking import positions, quantiles, running
 
 EULER = 0.5772156649015329
@@ -163,7 +164,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     """ic and n of each group: Pearson of average ranks over rows where both are there."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = ranked(ranked(rows, x, by, "_rx"), y, by, "_ry")
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry")).alias("ic"))
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("ic"))
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

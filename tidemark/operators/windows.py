@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import candles
-from ..functions.semantics import full, ln, rows_before, strictly_before
+from ..functions.semantics import correlation, full, ln, rows_before, strictly_before
 
 BY, ORDER = ("symbol",), ("open_time",)
 
@@ -43,7 +43,7 @@ def rolling_zscore(x: str, n: int, by: Sequence[str] = BY, order: Sequence[str]
 def rolling_corr(x: str, y: str, n: int, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> Column:
     w = rows_before(by, order, n)
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
-    return F.when((F.count(both).over(w) == n) & (F.stddev_pop(x).over(w) > 0) & (F.stddev_pop(y).over(w) > 0), F.corr(x, y).over(w))
+    return F.when(F.count(both).over(w) == n, correlation(x, y, w))
 
 
 def rolling_median(x: str, n: int, by: Sequence[str] = BY, order: Sequence[str] = ORDER) -> Column:

@@ -31,21 +31,22 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, contract: str | Contract, symbol: str | None = None, start: str | None = None, end: str | None = None, cast_prices: bool = True) -> DataFrame:
-    """A table with a contract between two dates, both whole days; day and symbol folders are pruned.
+def scan(spark: SparkSession, root: str, contract: str | Contract, symbol: str | None = None, start: str | None = None, end: str | None = None, cast_prices: bool = True, folder: str = "day") -> DataFrame:
+    """A table with a contract between two dates, both whole days; day (or month, yyyy-MM) and symbol folders are pruned.
 
     An empty or missing range is an empty frame with the contract's columns.
     """
     c = CONTRACTS[contract] if isinstance(contract, str) else contract
-    fields = [*c.schema.fields, T.StructField("symbol", T.StringType()), T.StructField("day", T.DateType())]
+    fields = [*c.schema.fields, T.StructField("symbol", T.StringType()), T.StructField(folder, T.DateType() if folder == "day" else T.StringType())]
     fields = list({f.name: f for f in fields}.values())
     df = spark.read.schema(T.StructType(fields)).parquet(root)
     if symbol is not None:
         df = df.where(F.col("symbol") == symbol)
+    of = (lambda date: F.lit(date).cast("date")) if folder == "day" else (lambda date: F.lit(date[:7]))
     if start is not None:
-        df = df.where(F.col("day") >= F.lit(start).cast("date"))
+        df = df.where(F.col(folder) >= of(start))
     if end is not None:
-        df = df.where(F.col("day") <= F.lit(end).cast("date"))
+        df = df.where(F.col(folder) <= of(end))
     if dict(df.dtypes)[c.time] == "bigint" and (start or end):
         low = F.unix_millis(F.lit(start or "0001-01-01").cast("timestamp"))
         high = F.unix_millis(F.lit(end or "9999-12-30").cast("timestamp")) + DAY_MS - 1
@@ -53,6 +54,26 @@ def scan(spark: SparkSession, root: str, contract: str | Contract, symbol: str |
     return df.withColumns({n: F.col(n).cast(t) for n, t in c.casts.items()}) if cast_prices and c.casts else df
 
 
+def scan_bars(spark: SparkSession, root: str, contract: str | Contract, step: str | None = None, **where) -> DataFrame:
+    """scan, and coarser bars where a step (``15m``, ``1h``, ...) above the contract's own is asked for; buckets that lack a bar go."""
+    from ..operators.bars import STEPS, resample
+
+    c = CONTRACTS[contract] if isinstance(contract, str) else contract
+    df = scan(spark, root, c, **where)
+    if step is None or STEPS[step] == c.step_ms:
+        return df
+    if c.step_ms is None or STEPS[step] % c.step_ms:
+        raise ValueError(f"{c.name} cannot be resampled to {step}")
+    return resample(df, STEPS[step], c.step_ms)
+
+
+def split_months(spark: SparkSession, root: str, contract: str | Contract, to: str) -> None:
+    """A table in month folders as one in day folders (of its time column), symbol by symbol."""
+    c = CONTRACTS[contract] if isinstance(contract, str) else contract
+    df = scan(spark, root, c, cast_prices=False, folder="month").drop("month")
+    df.withColumn("day", F.to_date(F.timestamp_millis(c.time))).repartition("symbol", "day").sortWithinPartitions(c.time).write.partitionBy("symbol", "day").parquet(to)
+
+
 def write_by_day(df: DataFrame, root: str, time: str = "close_time", mode: str = "errorifexists") -> None:
     """One folder for each UTC day of a time column in ms."""
     df.withColumn("day", F.to_date(F.timestamp_millis(time))).repartition("day").sortWithinPartitions(time).write.mode(mode).partitionBy("day").parquet(root)
