@@ -157,3 +157,109 @@ def test_model_bundles(spark, tmp_path):
     A.write_model(store, "s/fold=2", model, [(0.0, 0.0)], ["y", "x"], {})
     with pytest.raises(ValueError, match="manifest"):
         A.read_model(store, "s/fold=2")
+
+
+def test_jump_paths_equal_all_paths():
+    """The least of all paths, by trying each, for both kinds of vectors."""
+    from itertools import product
+
+    import numpy as np
+
+    from tidemark.operators import regime
+
+    rng = np.random.default_rng(4)
+    for vectors in (np.eye(2), regime.simplex(2, 0.5), regime.simplex(3, 0.5)):
+        costs = regime.jump_costs(vectors, 0.7)
+        assert costs[0, 0] == 0 and (costs >= 0).all() and np.allclose(costs, costs.T)
+        loss = rng.random((5, len(vectors)))
+        total = lambda p: sum(loss[t, v] for t, v in enumerate(p)) + sum(costs[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert total(regime.jump_path(loss, costs)) == pytest.approx(min(total(p) for p in product(range(len(vectors)), repeat=5)))
+    assert len(regime.simplex(2)) == 21 and np.allclose(regime.simplex(3).sum(1), 1)
+
+
+def test_continuous_jumps_find_two_states(spark):
+    import random
+
+    from tidemark.operators import regime
+
+    rng = random.Random(2)
+    rows = [("a", i, rng.gauss(0.3 if (i // 50) % 2 else -0.3, 0.1), rng.gauss(2 if (i // 50) % 2 else 1, 0.2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, r double, vol double")
+    for cont in (True, False):
+        got = {r.open_time: r for r in regime.jump_states(df, ("r", "vol"), cont=cont).collect()}
+        assert sum(got[i].state == (i // 50) % 2 for i in range(400)) > 370 and all(0.3 < r.probability <= 1 for r in got.values())
+
+
+def test_coupled_variance_by_hand():
+    import numpy as np
+
+    from tidemark.operators import models
+
+    x, psi = np.array([np.nan, 0.1, -0.2, np.nan, 0.3]), np.array([1.0, 2.0, np.nan, 1.0, 1.0])
+    omega, alpha, beta, gamma = 0.01, 0.2, 0.8, -0.1
+    h = [math.log(0.04)]
+    for value, tau in ((0.1, 2.0), (-0.2, 1.0)):
+        z = value / math.exp(h[-1] / 2)
+        h.append(omega + beta**tau * h[-1] + tau * (alpha * (abs(z) - math.sqrt(2 / math.pi)) + gamma * z))
+    got = models.coupled_log_variance(x, psi, (omega, alpha, beta, gamma), 1.0, math.log(0.04))
+    assert np.isnan(got[0]) and got[1:].tolist() == pytest.approx([h[0], h[1], h[2], h[2]])
+    # average durations throughout: the plain recursion
+    one = models.coupled_log_variance(x, np.ones(5), (omega, alpha, beta, gamma), 1.0, math.log(0.04))
+    z = 0.1 / 0.2
+    assert one[2] == pytest.approx(omega + beta * math.log(0.04) + alpha * (z - math.sqrt(2 / math.pi)) + gamma * z)
+
+
+def test_coupled_variance_is_fitted(spark):
+    import numpy as np
+
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(1)
+    sd = np.where((np.arange(300) // 60) % 2, 0.03, 0.005)
+    rows = [("a", i, float(rng.normal(0, sd[i])), float(rng.uniform(0.5, 2))) for i in range(300)] + [("b", i, 0.0, 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, x double, psi double")
+    got = models.egarch_coupled(df, "x", "psi", 0.9).toPandas().sort_values("open_time")
+    a = got[got.symbol == "a"]
+    x, h = np.array([r[2] for r in rows[:270]]), np.log(a.variance.to_numpy()[:270])
+    assert models.coupled_loss(x, h) < models.coupled_loss(x, np.full(270, math.log(x.var()))) and (a.beta.between(0, 0.999)).all()
+    assert got[got.symbol == "b"].variance.isna().all()
+
+
+def test_welch_gates_and_majority(spark):
+    from tidemark.operators import analysis as N
+
+    assert N.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
+    diff, low, high = N.welch_interval((1.0, 2.0, 10), (0.5, 1.0, 20))
+    assert diff == 0.5 and (low, high) == pytest.approx((-0.985, 1.985), abs=0.02)
+    assert math.isnan(N.welch_interval((1.0, 0.0, 1), (0.0, 1.0, 9))[1])
+    assert N.fold_gate([0.6, 0.62, 0.61, 0.63], 0.5, 3)["passes"] and not N.fold_gate([0.6, 0.62], 0.5, 3)["passes"] and not N.fold_gate([0.6, 0.3, 0.61], 0.5, 3)["passes"]
+    paths = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", -1.0), ("b", 1.0), ("b", None)], "g string, s double")
+    assert {r.g: (r.n_paths, r.above, r.majority) for r in N.path_majority(paths, "s", 0.0, ["g"]).collect()} == {"a": (3, 2, True), "b": (2, 1, False)}
+
+
+def test_pooled_bootstrap_and_max_t(spark):
+    from tidemark.operators import research as X
+
+    rows = [(g, i, float((i * 13) % 7 + (5 if g == "b" else 0))) for g in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i long, x double")
+    mean = sum(r[2] for r in rows) / len(rows)
+    got = [r.mean for r in X.pooled_block_bootstrap(df, "x", "g", "i", 200, 5).collect()]
+    assert len(got) == 200 and abs(sum(got) / 200 - mean) < 0.1 and got == [r.mean for r in X.pooled_block_bootstrap(df, "x", "g", "i", 200, 5).collect()]
+    wide = spark.createDataFrame([(i, float(i % 10), float((i * 7) % 11), float(i % 10) + (i % 3)) for i in range(300)], "i long, a double, b double, y double")
+    null = X.max_t_null(wide, ["a", "b"], "y", "i", 99, 3, 7)
+    assert X.null_p_value(null, "max_t") == 0.01 and null.count() == 100
+    noise = X.max_t_null(wide.withColumn("y", F.rand(3)), ["a", "b"], "y", "i", 99, 3, 7)
+    assert X.null_p_value(noise, "max_t") > 0.01
+
+
+def test_too_long_a_series_is_refused(spark, monkeypatch):
+    from tidemark.operators import models
+    from tidemark.operators import research as X
+
+    monkeypatch.setattr(X, "VALUES_MOST", 5)
+    monkeypatch.setattr(models, "SERIES_MOST", 5)
+    df = spark.range(9).select(F.lit("a").alias("g"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="aggregate"):
+        X.pooled_block_bootstrap(df, "x", "g", "i", 3, 1)
+    with pytest.raises(ValueError, match="aggregate"):
+        models.block_bootstrap(df, "x", 3, 1)

@@ -127,6 +127,43 @@ def one_sided_gate(mean: float, sd: float, n: int, least: float, level: float =
     return n >= 2 and sd > 0 and t_tail((mean - least) / (sd / sqrt(n)), n - 1) < level
 
 
+def t_quantile(p: float, df: float) -> float:
+    """Of Student's t, by bisection."""
+    low, high = -1e6, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - t_tail(mid, df) < p else (low, mid)
+    return (low + high) / 2
+
+
+def welch_interval(a: tuple[float, float, int], b: tuple[float, float, int], level: float = 0.95) -> tuple[float, float, float]:
+    """Difference of two means (mean, sd, n), and its interval by Welch's degrees of freedom; nothing with fewer than two values."""
+    (ma, sa, na), (mb, sb, nb) = a, b
+    if min(na, nb) < 2:
+        return ma - mb, float("nan"), float("nan")
+    va, vb = sa * sa / na, sb * sb / nb
+    if va + vb == 0:
+        return ma - mb, ma - mb, ma - mb
+    df = (va + vb) ** 2 / (va * va / (na - 1) + vb * vb / (nb - 1))
+    half = t_quantile(0.5 + level / 2, df) * sqrt(va + vb)
+    return ma - mb, ma - mb - half, ma - mb + half
+
+
+def path_majority(paths: DataFrame, statistic: str, least: float, by: Sequence[str] = ()) -> DataFrame:
+    """n_paths, above and majority: whether more than half of the backtest paths lie above ``least`` (a null path does not)."""
+    out = paths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_paths"), F.count_if(F.col(statistic) > least).alias("above"))
+    return out.withColumn("majority", 2 * F.col("above") > F.col("n_paths"))
+
+
+def fold_gate(values: Sequence[float], least: float, folds: int, level: float = 0.05) -> dict:
+    """A mean over folds against ``least``: at least so many folds, and a one-sided t test."""
+    n = len(values)
+    mean = sum(values) / n if n else float("nan")
+    sd = sqrt(sum((v - mean) ** 2 for v in values) / (n - 1)) if n > 1 else 0.0
+    p = t_tail((mean - least) / (sd / sqrt(n)), n - 1) if n > 1 and sd > 0 else 1.0
+    return {"n": n, "mean": mean, "sd": sd, "p": p, "passes": n >= folds and p < level}
+
+
 def t_tail(t: float, df: float) -> float:
     """Chance that Student's t exceeds t: half the regularised incomplete beta at df / (df + t^2), by its continued fraction."""
     half = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + t * t))

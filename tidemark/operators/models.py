@@ -145,6 +145,73 @@ def egarch(bars: DataFrame, value: str, train_share: float = 0.5) -> DataFrame:
     return bars.select("symbol", "open_time", F.col(value).alias("_x")).groupBy("symbol").applyInPandas(run, "symbol string, open_time long, variance double")
 
 
+MEAN_ABS = math.sqrt(2 / math.pi)
+
+
+def coupled_log_variance(x: np.ndarray, psi: np.ndarray, p: Sequence[float], psi_bar: float, seed: float) -> np.ndarray:
+    """ln variance of each return given those before; time runs by expected duration.
+
+    With tau = psi / psi_bar a bar that is expected to last long decays the memory by
+    beta^tau and takes tau times the news. A missing return carries the variance on; a
+    missing duration counts as an average one.
+    """
+    omega, alpha, beta, gamma = p
+    out = np.full(len(x), np.nan)
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return out
+    h = out[known[0]] = seed
+    for t in range(known[0], len(x) - 1):
+        if not np.isnan(x[t]):
+            z = x[t] / math.exp(min(h, 50.0) / 2)
+            tau = psi[t] / psi_bar if np.isfinite(psi[t]) and psi[t] > 0 else 1.0
+            h = omega + beta**tau * h + tau * (alpha * (abs(z) - MEAN_ABS) + gamma * z)
+            if not math.isfinite(h):
+                break
+        out[t + 1] = h
+    return out
+
+
+def coupled_loss(x: np.ndarray, h: np.ndarray) -> float:
+    """Negative log likelihood of normal returns; very large with fewer than fifty."""
+    ok = np.isfinite(h) & ~np.isnan(x)
+    if ok.sum() < 50:
+        return 1e12
+    var = np.exp(np.clip(h[ok], -50, 50))
+    total = 0.5 * float((np.log(2 * np.pi) + np.log(var) + x[ok] ** 2 / var).sum())
+    return total if math.isfinite(total) else 1e12
+
+
+def egarch_coupled(bars: DataFrame, value: str, expected: str, train_share: float = 0.5, steps: int = 150) -> DataFrame:
+    """EGARCH(1, 1) coupled to expected durations (see ``acd``): variance of each return given those before, and the parameters.
+
+    Fitted on a prefix of each symbol; no variance where it is too short or does not vary.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("open_time", kind="stable")
+        x, psi = pdf["_x"].astype(float).to_numpy(), pdf["_psi"].astype(float).to_numpy()
+        cut = int(len(x) * train_share)
+        train, psi_train = x[:cut], psi[:cut][np.isfinite(psi[:cut])]
+        out = pdf[["symbol", "open_time"]].assign(variance=np.nan, omega=np.nan, alpha=np.nan, beta=np.nan, gamma=np.nan)
+        known = train[~np.isnan(train)]
+        if len(known) < 50 or known.var() <= 0 or not len(psi_train) or np.median(psi_train) <= 0:
+            return out
+        seed, psi_bar = math.log(known.var()), float(np.median(psi_train))
+
+        def inside(v: np.ndarray) -> tuple[float, float, float, float]:
+            bound = lambda u, most: most * math.tanh(u / most)
+            return bound(v[0], 50.0), bound(v[1], 5.0), 0.999 / (1 + math.exp(-v[2])), bound(v[3], 5.0)
+
+        best = inside(nelder_mead(lambda v: coupled_loss(train, coupled_log_variance(train, psi[:cut], inside(v), psi_bar, seed)), np.array([seed * 0.1, 0.1, 2.2, 0.0]), steps))
+        out["variance"] = np.exp(np.clip(coupled_log_variance(x, psi, best, psi_bar, seed), -50, 50))
+        out[["omega", "alpha", "beta", "gamma"]] = best
+        return out
+
+    own = bars.select("symbol", "open_time", F.col(value).alias("_x"), F.col(expected).alias("_psi"))
+    return own.groupBy("symbol").applyInPandas(run, "symbol string, open_time long, variance double, omega double, alpha double, beta double, gamma double")
+
+
 SERIES_MOST = 1_000_000
 
 

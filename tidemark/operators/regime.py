@@ -286,39 +286,75 @@ def hidden_states(bars: DataFrame, columns: tuple[str, str], train_share: float
     return bars.select("symbol", "open_time", *columns).groupBy("symbol").applyInPandas(run, HIDDEN)
 
 
-def jump_states(bars: DataFrame, columns: tuple[str, ...], n_states: int = 2, penalty: float = 5.0, train_share: float = 0.5) -> DataFrame:
-    """Jump model: centroids fitted on a prefix by alternating a penalised path and means; then assigned online."""
+def simplex(n: int, step: float = 0.05) -> np.ndarray:
+    """Probability vectors of n states on a grid."""
+    k = round(1 / step)
+    whole = [c for c in np.ndindex(*[k + 1] * (n - 1)) if sum(c) <= k]
+    return np.array([[*c, k - sum(c)] for c in whole], float) / k
+
+
+def jump_costs(vectors: np.ndarray, penalty: float) -> np.ndarray:
+    """From each vector to each: the penalty times the squared half of their distance in absolute values (1 between two states)."""
+    half = np.abs(vectors[:, None] - vectors[None]).sum(2) / 2
+    return penalty * half**2
+
+
+def jump_path(loss: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The vectors, one a row, whose losses and jumps together are least."""
+    value, back = loss[0].copy(), np.zeros(loss.shape, np.int32)
+    for t in range(1, len(loss)):
+        reach = value[:, None] + costs
+        back[t] = reach.argmin(0)
+        value = reach.min(0) + loss[t]
+    path = np.empty(len(loss), int)
+    path[-1] = value.argmin()
+    for t in range(len(loss) - 1, 0, -1):
+        path[t - 1] = back[t][path[t]]
+    return path
+
+
+def fit_jumps(train: np.ndarray, n_states: int, penalty: float, vectors: np.ndarray) -> np.ndarray:
+    """Centres by turns: the best path for the centres, then means weighted by the path's probabilities."""
+    centre = np.array([train[p].mean(0) for p in np.array_split(np.argsort(train[:, -1], kind="stable"), n_states)])
+    costs = jump_costs(vectors, penalty)
+    for _ in range(20):
+        loss = ((train[:, None] - centre[None]) ** 2).sum(2) / 2 @ vectors.T
+        weight = vectors[jump_path(loss, costs)]
+        total = weight.sum(0)
+        new = np.where(total[:, None] > 0, weight.T @ train / np.maximum(total, 1e-12)[:, None], centre)
+        if np.allclose(new, centre):
+            break
+        centre = new
+    return centre
+
+
+def jump_states(bars: DataFrame, columns: tuple[str, ...], n_states: int = 2, penalty: float = 5.0, train_share: float = 0.5, cont: bool = True, online: bool = True) -> DataFrame:
+    """Jump model: centres fitted on a prefix; a state for each bar, and its probability.
+
+    Continuous: a bar has a vector of probabilities, from a grid, and small moves between
+    vectors cost little; discrete (``cont=False``): a bar has one state. Online each bar is
+    told from what came up to it, else from the best path through all. States are numbered
+    by the mean of the first column.
+    """
+    vectors = simplex(n_states) if cont else np.eye(n_states)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("open_time", kind="stable")
         x = np.nan_to_num(pdf[list(columns)].astype(float).to_numpy())
         cut = max(n_states, int(len(x) * train_share))
-        sd = np.maximum(x[:cut].std(0), 1e-12)
-        z = (x - x[:cut].mean(0)) / sd
-        train = z[:cut]
-        centre = np.array([train[p].mean(0) for p in np.array_split(np.argsort(train[:, -1], kind="stable"), n_states)])
-        for _ in range(20):
-            cost = ((train[:, None] - centre[None]) ** 2).sum(2)
-            value, back = cost[0].copy(), np.zeros(cost.shape, int)
-            for t in range(1, len(train)):
-                jump = value.min() + penalty
-                stay = value <= jump
-                back[t] = np.where(stay, np.arange(n_states), value.argmin())
-                value = np.minimum(value, jump) + cost[t]
-            path = np.empty(len(train), int)
-            path[-1] = value.argmin()
-            for t in range(len(train) - 1, 0, -1):
-                path[t - 1] = back[t][path[t]]
-            new = np.array([train[path == k].mean(0) if (path == k).any() else centre[k] for k in range(n_states)])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        centre = centre[np.argsort(centre[:, -1], kind="stable")]
-        value, out = np.zeros(n_states), []
-        for row in z:
-            value = np.minimum(value, value.min() + penalty) + ((row - centre) ** 2).sum(1)
-            value -= value.min()
-            out.append(int(value.argmin()))
-        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "state": out})
-
-    return bars.select("symbol", "open_time", *columns).groupBy("symbol").applyInPandas(run, "symbol string, open_time long, state long")
+        z = (x - x[:cut].mean(0)) / np.maximum(x[:cut].std(0), 1e-12)
+        centre = fit_jumps(z[:cut], n_states, penalty, vectors)
+        centre = centre[np.argsort(centre[:, 0], kind="stable")]
+        loss, costs = ((z[:, None] - centre[None]) ** 2).sum(2) / 2 @ vectors.T, jump_costs(vectors, penalty)
+        if online:
+            value, path = np.zeros(len(vectors)), []
+            for row in loss:
+                value = (value[:, None] + costs).min(0) + row
+                value -= value.min()
+                path.append(int(value.argmin()))
+        else:
+            path = jump_path(loss, costs)
+        chosen = vectors[path]
+        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "state": chosen.argmax(1).astype(np.int64), "probability": chosen.max(1)})
+
+    return bars.select("symbol", "open_time", *columns).groupBy("symbol").applyInPandas(run, "symbol string, open_time long, state long, probability double")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import leakage as L
+from ..operators import research as X
 from ..operators import validation as V
 from ..operators import windows as W
 from ..sources import artifacts as A
 from ..sources import shared
 from ..sources import tables as S
-from .base import HEAD, HOUR, TICKS, hours, query, r, ticks
+from .base import HEAD, HOUR, SYMBOLS, TICKS, hours, query, r, ticks
 from .bars import ROUNDED, shown
 from .validation import _EMBARGO, spans
+from .windows import O, full, log
 
 
 def place(spark) -> str:
@@ -94,6 +96,41 @@ def q_sealed_table(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("n"), r(F.sum("close"), 4).alias("closes")).withColumn("holds", F.col("n") == about["rows"])
 
 
+_INDEX = "ix AS (SELECT transact_time // 21600000 * 21600000 AS calc_time, avg(price) AS index_value FROM ticks GROUP BY 1)"
+
+
+@query(
+    f"""{HEAD}, {_INDEX}, p AS (SELECT *, lag(close) OVER {O} AS pc FROM bars), q AS (SELECT *, ({log('close')}) - ({log('pc')}) AS r1 FROM p), j AS (SELECT q.*, ix.index_value AS c13 FROM q ASOF LEFT JOIN ix ON q.close_time >= ix.calc_time),
+    z AS (SELECT *, {full('avg(c13)', 'c13', 24)} AS m, {full('stddev_samp(c13)', 'c13', 24)} AS sd, {full('stddev_samp(r1)', 'r1', 24)} AS rv FROM j)
+    SELECT symbol, open_time, round(CASE WHEN pc <> 0 THEN (open - pc) / pc END, 8) + 0 AS gap_pct, round((open_time - 1704499200000) / 86400000.0e0, 8) + 0 AS days_since, round(c13, 6) + 0 AS c13, round(CASE WHEN sd > 1e-9 THEN (c13 - m) / sd END, 5) + 0 AS c14, round(c13 / 100 - rv * sqrt(8766.0e0), 6) + 0 AS c15 FROM z WHERE open_time >= 1704499200000"""
+)
+def q_research_features(spark, sf_dir):
+    b = hours(spark, sf_dir).withColumn("gap_pct", X.gap_pct()).withColumn("r1", W.log_return("close")).withColumn("rv", X.realised_volatility("r1", 24))
+    index = ticks(spark, sf_dir).groupBy(F.expr("transact_time div 21600000 * 21600000").alias("calc_time")).agg(F.avg("price").alias("index_value"))
+    b = X.index_features(b, index, 24, "rv", 8766.0)
+    b = b.withColumn("C14_bvol_z", F.when(W.rolling(F.stddev_samp("C13_bvol_index"), "C13_bvol_index", 24) > 1e-9, F.col("C14_bvol_z")))
+    b = X.days_since(b, spark.createDataFrame([(1704499200000,), (1893456000000,)], "event_ms long")).where("days_since is not null")
+    return b.select("symbol", "open_time", r("gap_pct", 8).alias("gap_pct"), r("days_since", 8).alias("days_since"), r("C13_bvol_index").alias("c13"), r("C14_bvol_z", 5).alias("c14"), r("C15_iv_rv_spread").alias("c15"))
+
+
+@query(f"""{HEAD}, {_INDEX}, a AS (SELECT b.symbol, b.open_time, i.calc_time AS x FROM bars b ASOF LEFT JOIN ix i ON b.open_time >= i.calc_time), c AS (SELECT b.symbol, b.open_time, i.calc_time AS y FROM bars b ASOF LEFT JOIN ix i ON b.close_time >= i.calc_time)
+SELECT symbol, count(*) AS n, count(CASE WHEN x IS DISTINCT FROM y THEN 1 END) AS differing FROM a JOIN c USING (symbol, open_time) GROUP BY 1""")
+def q_open_close_divergence(spark, sf_dir):
+    at = F.expr("transact_time div 21600000 * 21600000")
+    index = ticks(spark, sf_dir).select(at.alias("calc_time")).distinct()
+    events = index.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string"))).withColumn("v", F.col("calc_time"))
+    return X.open_close_divergence(hours(spark, sf_dir), events, "calc_time", "v")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus AS regime, o_totalprice AS score, l.ret FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS ret FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY score, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY regime) AS m FROM b) SELECT regime, CAST(i * 8 // m AS BIGINT) AS bucket, count(*) AS n, round(avg(score), 4) + 0 AS mean_score, round(avg(ret), 4) + 0 AS mean_ret FROM k GROUP BY 1, 2""")
+def q_conditioned_quantiles(spark, sf_dir):
+    p = S.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("regime"), F.col("o_totalprice").alias("score"))
+    lab = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("ret"))
+    df = X.conditioned(p, lab, ["o_orderkey"], "score", "ret", "regime", 8, ["o_orderkey"])
+    return df.select("regime", "bucket", "n", r("mean_score", 4).alias("mean_score"), r("mean_ret", 4).alias("mean_ret"))
+
+
 _SUITE = {1: "PASS", 2: "PASS", 3: "PASS", 4: "PASS", 5: "PENDING", 6: "PASS", 7: "PASS", 8: "PASS", 9: "PASS", 10: "PENDING", 11: "PENDING", 12: "PASS", 13: "PASS", 14: "PASS"}
 
 
