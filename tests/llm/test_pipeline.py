@@ -58,3 +58,35 @@ def test_rows_without_or_with_a_shared_doc_id_reach_the_end(spark, tmp_path):
     spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(40), *range(200, 220)]], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     found = [(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, where).collect()]
     assert [found.count((d, 0)) for d in (900, None, 901, 3)] == [2, 2, 1, 1]
+
+
+SCHEMAS = {"documents": "doc_id long, text string, n_chars long, score double", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+
+
+@pytest.mark.parametrize("left_out", ["documents", "labels", "benchmark", "all"])
+def test_empty_tables_end_to_end(spark, tmp_path, left_out):
+    """Without documents nothing comes out; without labels or items every clean document does."""
+    texts = [(i, prose(1000 + i, 80), 80, 0.5) for i in range(30)] + [(40, None, None, None), (41, "", 0, None), (None, prose(77, 60), 60, None)]
+    rows = {"documents": texts, "benchmark": [(1, prose(501, 30))], "labels": [(i, int(i % 3 > 0), 0) for i in range(30)]}
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([] if left_out in (name, "all") else rows[name], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    if left_out in ("documents", "all"):
+        assert got == set()
+    elif left_out == "labels":
+        assert got == {d for d, *_ in texts}
+    else:
+        assert got <= {d for d, *_ in texts} and len(got) > 10
+
+
+def test_stages_take_long_texts_and_repeated_rows(spark, tmp_path):
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
+    texts = [(1, long, 1, 0.0), (1, long, 1, 0.0), (2, long + " more", 1, 0.0), (3, prose(5, 80), 1, 0.0)] + [(10 + i, prose(50 + i, 60), 1, 0.0) for i in range(20)]
+    rows = {"documents": texts, "benchmark": [(1, prose(501, 30)), (2, None), (3, "")], "labels": [(i, 1, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0)]}
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame(rows[name], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = {d: sorted((r.start, r.length) for r in got if r.doc_id == d) for d in {r.doc_id for r in got}}
+    assert set(pieces) == {1, 3, *range(10, 30)}
+    for parts in pieces.values():
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
