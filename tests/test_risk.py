@@ -263,3 +263,35 @@ def test_too_long_a_series_is_refused(spark, monkeypatch):
         X.pooled_block_bootstrap(df, "x", "g", "i", 3, 1)
     with pytest.raises(ValueError, match="aggregate"):
         models.block_bootstrap(df, "x", 3, 1)
+
+
+def test_experiments_and_remaining_trials(spark, tmp_path):
+    store = A.Store(spark, str(tmp_path / "log"))
+    assert [A.append_experiment(store, {"name": n}) for n in ("a", "b")] == [1, 2]
+    store.put("experiments/000000003.json", b"{}")  # another writer was first
+    assert A.append_experiment(store, {"name": "c"}) == 4
+    assert sorted((r.experiment_id, r.name) for r in A.experiments(store, "name string").where("name is not null").collect()) == [(1, "a"), (2, "b"), (4, "c")]
+    left = A.remaining(spark.createDataFrame([(1, 2), (1, 3)], "a int, b int"), spark.createDataFrame([(1, 2)], "a int, b int"), ["a", "b"])
+    assert [tuple(r) for r in left.collect()] == [(1, 3)]
+
+
+def test_parzen_search_comes_near_the_best():
+    from tidemark.operators import boosting
+
+    score = lambda s: 1 - (s["x"] - 0.3) ** 2 - (s["y"] - 7) ** 2 / 100
+    space = {"x": (0.0, 1.0), "y": (0.0, 10.0)}
+    tried = boosting.parzen_search(score, space, 60, 3)
+    assert len(tried) == 60 and tried[0]["auc"] > 0.99 and all(0 <= t["settings"]["x"] <= 1 and 0 <= t["settings"]["y"] <= 10 for t in tried)
+    again = boosting.parzen_search(score, space, 60, 3, done=[])
+    assert again == tried and boosting.parzen_search(score, space, 60, 3, done=tried) == tried
+    best = boosting.over_seeds(tried, 3, [1, 2], lambda s, seed: score(s) - seed / 100)
+    assert len(best) == 3 and best[0]["least"] < best[0]["mean"]
+
+
+def test_ablation_arms(spark):
+    from tidemark.operators import boosting
+
+    df = spark.createDataFrame([(float(i), float(i % 7), int(i > 50)) for i in range(100)], "a double, b double, y int")
+    score = lambda train, test, features: test.withColumn("_s", F.col("a") if "a" in features else F.col("b"))
+    got = boosting.ablation([(df, df)], {"all": ["a", "b"], "without a": ["b"]}, "y", score)
+    assert got[0]["auc"] == 1.0 and got[0]["loss"] == 0 and got[1]["loss"] > 0.3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import exp, lgamma, log, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,6 +114,29 @@ def return_statistics(df: DataFrame, x: str, by: Sequence[str], order: Sequence[
     return both.select(*by, "n", "sd", "skew", "excess_kurtosis", jb.alias("jarque_bera"), (F.col("n") * (F.col("n") + 2) * box).alias("ljung_box"), "r1")
 
 
+def dickey_fuller(df: DataFrame, x: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """n, slope and t of the regression of a step on the level before it (with a constant): far below 0 speaks against a unit root."""
+    before = F.lag(x).over(Window.partitionBy(*by).orderBy(*order))
+    rows = df.withColumn("_b", before.cast("double")).withColumn("_s", F.col(x) - F.col("_b")).where("_s is not null")
+    m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_sxx("_s", "_b").alias("_xx"), F.regr_sxy("_s", "_b").alias("_xy"), F.regr_syy("_s", "_b").alias("_yy"))
+    slope = F.try_divide(F.col("_xy"), F.col("_xx"))
+    error = F.try_divide(F.col("_yy") - slope * F.col("_xy"), F.col("n") - 2)
+    return m.select(*by, "n", slope.alias("slope"), F.when((F.col("n") > 2) & (error > 0), slope / F.sqrt(error / F.col("_xx"))).alias("df_t"))
+
+
+def compare_bars(frames: dict[str, DataFrame], lags: int = 5, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("close_time", "open_time")) -> DataFrame:
+    """A row for each kind of bars and symbol: number, moments, Jarque-Bera and Ljung-Box of log returns, Dickey-Fuller t of the log close."""
+    parts = []
+    for name, bars in frames.items():
+        w = Window.partitionBy(*by).orderBy(*order)
+        level = bars.where(F.col("close") > 0).select(*by, *order, F.log("close").alias("_level"))
+        level = level.withColumn("_r", F.col("_level") - F.lag("_level").over(w))
+        stats = return_statistics(level, "_r", by, order, lags)
+        root = dickey_fuller(level, "_level", by, order).select(*by, "df_t")
+        parts.append(stats.join(root, list(by)).select(F.lit(name).alias("bars"), *by, "n", "sd", "skew", "excess_kurtosis", "jarque_bera", "ljung_box", "df_t"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def required_lift(p_tp: Column, breakeven: Column) -> Column:
     return F.when(p_tp > 0, breakeven / p_tp)
 
@@ -209,8 +233,6 @@ def gate_efficiency(df: DataFrame, kept: str, outcome: str, bucket: str) -> Data
 
 def leakage(df: DataFrame, features: Sequence[str], target: str, limit: float) -> DataFrame:
     """(feature, ic, suspicious): features whose rank correlation with the target is too good to be causal."""
-    from functools import reduce
-
     parts = [spearman(df, f, target).select(F.lit(f).alias("feature"), "n", "ic") for f in features]
     return reduce(lambda a, b: a.unionByName(b), parts).withColumn("suspicious", F.abs("ic") > limit)
 

@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +93,58 @@ def search(folds: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str]
             known[key] = {"settings": settings, "auc": sum(x or 0.5 for x in scores) / len(scores)}
         out.append(known[key])
     return sorted(out, key=lambda t: -t["auc"])
+
+
+def suggest(tried: Sequence[dict], space: dict[str, tuple[float, float]], seed: int, share: float = 0.25, candidates: int = 24, first: int = 8) -> dict[str, float]:
+    """The next setting by a tree-structured Parzen estimator: among draws around the good trials, the one most likely good and least likely not.
+
+    tried: rows with settings and auc; space: bounds of each parameter. The first few are
+    uniform draws. Deterministic for a seed and the trials so far.
+    """
+    rng = np.random.default_rng([seed, len(tried)])
+    names = list(space)
+    low, high = (np.array([space[n][i] for n in names], float) for i in range(2))
+    if len(tried) < first:
+        return dict(zip(names, (low + rng.random(len(names)) * (high - low)).tolist(), strict=True))
+    ranked = sorted(tried, key=lambda t: -t["auc"])
+    cut = max(1, round(share * len(ranked)))
+    at = [np.array([[t["settings"][n] for n in names] for t in part], float) for part in (ranked[:cut], ranked[cut:])]
+    widths = [np.maximum((high - low) / (len(p) ** 0.2 * 4), 1e-12) for p in at]
+
+    def density(x: np.ndarray, points: np.ndarray, width: np.ndarray) -> np.ndarray:
+        z = (x[:, None] - points[None]) / width
+        kernels = np.exp(-0.5 * z * z) / width
+        return np.log(np.concatenate((kernels, np.broadcast_to(1 / (high - low), (len(x), 1, len(names)))), 1).mean(1)).sum(1)
+
+    draws = at[0][rng.integers(0, len(at[0]), candidates)] + rng.normal(size=(candidates, len(names))) * widths[0]
+    draws = np.clip(draws, low, high)
+    return dict(zip(names, draws[np.argmax(density(draws, at[0], widths[0]) - density(draws, at[1], widths[1]))].tolist(), strict=True))
+
+
+def parzen_search(score, space: dict[str, tuple[float, float]], trials: int, seed: int, done: Sequence[dict] = ()) -> list[dict]:
+    """Trials (settings, auc), best first: goes on from those in ``done``. score(settings) is the mean test AUC."""
+    tried = list(done)
+    while len(tried) < trials:
+        settings = suggest(tried, space, seed)
+        tried.append({"settings": settings, "auc": score(settings)})
+    return sorted(tried, key=lambda t: -t["auc"])
+
+
+def over_seeds(tried: Sequence[dict], k: int, seeds: Sequence[int], score) -> list[dict]:
+    """The best k settings scored again with each seed: mean and least AUC, best mean first."""
+    out = []
+    for t in list(tried)[:k]:
+        scores = [score(t["settings"], s) for s in seeds]
+        out.append({"settings": t["settings"], "mean": sum(scores) / len(scores), "least": min(scores)})
+    return sorted(out, key=lambda t: -t["mean"])
+
+
+def ablation(folds: Sequence[tuple[DataFrame, DataFrame]], arms: dict[str, Sequence[str]], label: str, score) -> list[dict]:
+    """Mean test AUC of a model on each set of features, and what each arm loses against the first. score(train, test, features) gives test with ``_s``."""
+    out, base = [], None
+    for name, features in arms.items():
+        found = [auc(score(train, test, list(features)), "_s", label).first().roc_auc or 0.5 for train, test in folds]
+        mean = sum(found) / len(found)
+        base = mean if base is None else base
+        out.append({"arm": name, "auc": mean, "loss": base - mean})
+    return out

@@ -8,7 +8,7 @@ from ..operators import analysis as A
 from ..operators import features as X
 from ..operators import validation as V
 from ..operators import windows as W
-from .base import HEAD, hours, query, r
+from .base import HEAD, HOUR, TICKS, clock_sql, hours, query, r, ticks
 from .joins import _FILL, _labels_sql, barrier_labels, fills
 from .validation import SCORED, scored
 from .windows import RET, rets
@@ -61,6 +61,22 @@ def q_bar_return_statistics(spark, sf_dir):
     return s.select("symbol", "n", r("sd").alias("sd"), r("skew").alias("skew"), r("excess_kurtosis", 5).alias("excess"), r("jarque_bera", 3).alias("jarque_bera"), r("ljung_box", 4).alias("ljung_box"))
 
 
+_KINDS = f"""WITH {TICKS}, {clock_sql(HOUR, 'h')}, ids AS (SELECT *, CAST(floor(sum(CAST(price * quantity AS DECIMAL(38,6))) OVER (PARTITION BY symbol ORDER BY transact_time, agg_trade_id ROWS UNBOUNDED PRECEDING) / 20000) AS BIGINT) AS bar_id FROM ticks),
+    d AS (SELECT symbol, min(transact_time) AS open_time, max(transact_time) AS close_time, arg_max(price, (transact_time, agg_trade_id)) AS close FROM ids GROUP BY symbol, bar_id),
+    l AS (SELECT 'hour' AS bars, symbol, open_time, close_time, ln(close) AS x FROM h WHERE close > 0 UNION ALL SELECT 'dollar', symbol, open_time, close_time, ln(close) FROM d WHERE close > 0), s AS (SELECT *, lag(x) OVER (PARTITION BY bars, symbol ORDER BY close_time, open_time) AS b FROM l), r AS (SELECT *, x - b AS r FROM s),
+    m AS (SELECT bars, symbol, count(r) AS n, avg(r) AS mu, stddev_pop(r) AS sd FROM r GROUP BY 1, 2), t AS (SELECT r.*, r.r - m.mu AS e, m.n, m.sd, lag(r.r - m.mu) OVER w AS e1, lag(r.r - m.mu, 2) OVER w AS e2 FROM r JOIN m USING (bars, symbol) WINDOW w AS (PARTITION BY r.bars, r.symbol ORDER BY close_time, open_time)),
+    a AS (SELECT bars, symbol, any_value(n) AS n, any_value(sd) AS sd, avg(power(e / sd, 3)) AS sk, avg(power(e / sd, 4)) - 3 AS ex, sum(e * e1) / sum(e * e) AS r1, sum(e * e2) / sum(e * e) AS r2, regr_sxx(r, b) AS xx, regr_sxy(r, b) AS xy, regr_syy(r, b) AS yy FROM t GROUP BY 1, 2)
+    SELECT bars, symbol, n, round(sd, 6) + 0 AS sd, round(n / 6.0 * (sk * sk + ex * ex / 4), 2) + 0 AS jarque_bera, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 4) + 0 AS ljung_box, round(xy / xx / sqrt((yy - xy / xx * xy) / (n - 2) / xx), 5) + 0 AS df_t FROM a"""
+
+
+@query(_KINDS)
+def q_bar_type_comparison(spark, sf_dir):
+    from ..operators import bars as B
+
+    kinds = {"hour": hours(spark, sf_dir), "dollar": B.dollar_bars(ticks(spark, sf_dir), 20000)}
+    return A.compare_bars(kinds, 2).select("bars", "symbol", "n", r("sd").alias("sd"), r("jarque_bera", 2).alias("jarque_bera"), r("ljung_box", 4).alias("ljung_box"), r("df_t", 5).alias("df_t"))
+
+
 @query(f"{SCORED}, l AS (SELECT symbol, CAST(floor(p * 20) AS BIGINT) AS lv, count(*) AS n FROM s GROUP BY 1, 2) SELECT symbol, count(*) AS levels, CAST(sum(n) AS BIGINT) AS n, round(max(n) / CAST(sum(n) AS DOUBLE), 6) + 0 AS largest_share FROM l GROUP BY 1")
 def q_isotonic_plateaus(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("lv", F.floor(F.col("p") * 20))

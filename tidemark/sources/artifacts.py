@@ -170,3 +170,31 @@ def collect_orphans(store: Store, below: str = "", older_than_ms: int = 3_600_00
         elif not store.sealed(where):
             gone += collect_orphans(store, where, older_than_ms, now)
     return gone
+
+
+def append_experiment(store: Store, entry: dict, name: str = "experiments", most: int = 1_000_000) -> int:
+    """Writes an entry under the next free number. The number is claimed by creating its file, which only one writer can: no two share one."""
+    start = 1 + max([int(x.getPath().getName().split(".")[0]) for x in (store.fs.listStatus(store._path(store.at(name))) if store.exists(name) else [])], default=0)
+    for number in range(start, most):
+        where = store._path(store.at(f"{name}/{number:09}.json"))
+        try:
+            out = store.fs.create(where, False)
+        except Exception as e:  # another writer was first
+            if "exist" in str(e).lower():
+                continue
+            raise
+        try:
+            out.write(bytearray(json.dumps({"experiment_id": number, **entry}, sort_keys=True).encode()))
+        finally:
+            out.close()
+        return number
+    raise OSError("no number is free")
+
+
+def experiments(store: Store, schema: str, name: str = "experiments") -> DataFrame:
+    return store.spark.read.schema(f"experiment_id long, {schema}").json(store.at(name))
+
+
+def remaining(trials: DataFrame, log: DataFrame, key) -> DataFrame:
+    """Trials that the log does not hold yet: a search that was cut off goes on with these."""
+    return trials.join(log.select(*key).distinct(), list(key), "left_anti")
