@@ -81,19 +81,24 @@ ACTIVE = ("ret_1", "ret_4", "ret_16", "body_ratio", "close_place", "gap", "tr_pc
 
 
 def order(wanted: Sequence[str]) -> list[str]:
-    """The features and all that they need, each after what it needs; unknown names and circles raise."""
+    return ordered(REGISTRY, wanted)
+
+
+def ordered(registry: dict[str, Feature], wanted: Sequence[str], given: Sequence[str] = ()) -> list[str]:
+    """The features and all that they need (but for columns that are given), each after what it needs; unknown names and circles raise."""
     out: list[str] = []
     open_: set[str] = set()
+    known = set(given)
 
     def visit(name: str) -> None:
-        if name in out:
+        if name in out or name in known:
             return
-        if name not in REGISTRY:
+        if name not in registry:
             raise KeyError(f"no such feature: {name}")
         if name in open_:
             raise ValueError(f"a circle through {name}")
         open_.add(name)
-        for n in REGISTRY[name].needs:
+        for n in registry[name].needs:
             visit(n)
         out.append(name)
 

@@ -11,7 +11,7 @@ from ..operators import windows as W
 from .base import HEAD, HOUR, TICKS, clock_sql, hours, query, r, ticks
 from .joins import _FILL, _labels_sql, barrier_labels, fills
 from .validation import SCORED, scored
-from .windows import RET, rets
+from .windows import RET, O, full, log, rets
 
 
 @query(f"{SCORED}, tr AS (SELECT symbol, score FROM s WHERE id % 2 = 0) SELECT s.id, round((SELECT count(*) FROM tr WHERE tr.symbol = s.symbol AND tr.score <= s.score) / CAST((SELECT count(*) FROM tr WHERE tr.symbol = s.symbol) AS DOUBLE), 6) + 0 AS ecdf FROM s WHERE id % 2 = 1")
@@ -134,6 +134,31 @@ def q_kill_switch(spark, sf_dir):
     return k.select("o_orderkey", "trigger", "state")
 
 
+def _of(n: int, x: str = "r1", f: str = "stddev_samp") -> str:
+    return full(f"{f}({x})", x, n)
+
+
+#: Catalogue ids that windows give; those of the recurrences are held against ema, atr, rsi and macd_hist.
+_CATALOGUE = f"""{HEAD}, p AS (SELECT *, lag(close) OVER {O} AS pc, lag(close, 3) OVER {O} AS c3, lag(close, 4) OVER {O} AS c4, lag(close, 12) OVER {O} AS c12, lag(close, 48) OVER {O} AS c48, lag(high) OVER {O} AS ph, lag(low) OVER {O} AS pl FROM bars),
+    q AS (SELECT *, ({log('close')}) - ({log('pc')}) AS r1, ({log('close')}) - ({log('c3')}) AS r3, ({log('close')}) - ({log('c12')}) AS r12, abs(close - pc) AS st, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, close - open AS body, abs(close - open) AS size, ln(1 + volume) AS lv,
+      CASE WHEN volume > 0 THEN 2 * taker_buy_volume / CAST(volume AS DOUBLE) - 1 END AS taker FROM p),
+    w AS (SELECT *, {_of(12)} AS rv12, {_of(96)} AS rv96, {_of(48)} AS rv48, {_of(3)} AS rv3, avg(lv) OVER e AS lm, stddev_samp(lv) OVER e AS ls, count(lv) OVER e AS ln_, {_of(48, 'taker', 'avg')} AS tm, {_of(48, 'taker')} AS ts FROM q WINDOW e AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT symbol, open_time, round(r12, 6) + 0 AS a04, round(CASE WHEN pc IS NOT NULL AND pc <> 0 THEN tr / pc END, 6) + 0 AS a11, round(({log('close')}) - ({log('open')}), 6) + 0 AS a18, round(ln(1 + (close_time - open_time) / 1000.0e0), 6) + 0 AS a20,
+      round(CASE WHEN c12 <> 0 THEN (close - c12) / c12 END, 6) + 0 AS b03, round(CASE WHEN {_of(48, 'st', 'sum')} > 0 THEN abs(close - c48) / {_of(48, 'st', 'sum')} END, 6) + 0 AS b07, round(CASE WHEN rv3 > 0 THEN abs(r3) / (rv3 * sqrt(3.0e0)) END, 5) + 0 AS b13,
+      round(CASE WHEN {_of(3, 'size', 'sum')} > 0 THEN {_of(3, 'body', 'sum')} / {_of(3, 'size', 'sum')} END, 6) + 0 AS b17, round(rv48 * sqrt(48.0e0), 6) + 0 AS c03, round(CASE WHEN rv96 > 0 THEN rv12 * sqrt(12.0e0) / (rv96 * sqrt(96.0e0)) END, 6) + 0 AS c06, round({_of(48, 'rv12')} * sqrt(12.0e0), 6) + 0 AS c12,
+      round(CASE WHEN ln_ >= 2 AND ls > 0 THEN (lv - lm) / ls END, 5) + 0 AS d03, round(CASE WHEN ts > 0 THEN (taker - tm) / ts END, 5) + 0 AS d06, CASE WHEN close_time // 3600000 % 24 < 8 THEN 1.0e0 ELSE 0.0e0 END AS k04 FROM w"""
+
+
+@query(_CATALOGUE)
+def q_feature_catalogue(spark, sf_dir):
+    from ..operators import catalogue as G
+
+    shown = {"a04": "A04_log_return_12", "a11": "A11_true_range_pct", "a18": "A18_body_log", "a20": "A20_log_duration", "b03": "B03_roc_12", "b07": "B07_efficiency_ratio_48", "b17": "B17_directional_pressure_h3", "c03": "C03_realized_vol_48", "c06": "C06_vol_ratio_12_96", "c12": "C12_vol_of_vol_48"}
+    five = {"b13": "B13_extension_h3", "d03": "D03f_volume_z_expanding", "d06": "D06f_taker_imbalance_z_48"}
+    df = G.catalogue(hours(spark, sf_dir), [*shown.values(), *five.values(), "K04_session_asia"])
+    return df.select("symbol", "open_time", *[r(c).alias(k) for k, c in shown.items()], *[r(c, 5).alias(k) for k, c in five.items()], F.col("K04_session_asia").alias("k04"))
+
+
 @query()
 def q_feature_frame(spark, sf_dir):
     df = X.frame(hours(spark, sf_dir), mask_warmup=True)
