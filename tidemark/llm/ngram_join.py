@@ -53,6 +53,9 @@ JOINED = 4
 PIVOT_ROUNDS = 2
 #: Classes of a list's cell in the last join.
 CELL = 1024
+#: Postings of a task of the last join, and the most tasks.
+POSTINGS_OF_TASK = 16_384
+PARTS_MOST = 100_000
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -253,7 +256,8 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     upper = at.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("cell"))), "j": F.col("cell")}).drop("cells", "cell")
     keys = ["s", "i", "j"]
     upper = upper.select(*keys, *[F.col(c).alias(f"p_{c}") for c in upper.columns if c not in keys])
-    met = lower.join(upper, keys).where((F.col("comp") != F.col("p_comp")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("p_node"))))
+    parts = max(1, min(PARTS_MOST, at.count() // POSTINGS_OF_TASK))  # a given number: few bytes can be many pairs
+    met = lower.repartition(parts, *keys).join(upper.repartition(parts, *keys), keys).where((F.col("comp") != F.col("p_comp")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("p_node"))))
     rest = met.where(may_link(num, den) & may_link_by_fragments(num, den))
     rest = rest.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
     more = linked(rest.join(unordered(tested), ["a", "b"], "left_anti"), coarse)
