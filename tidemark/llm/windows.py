@@ -534,7 +534,7 @@ SAMPLE_MOST = 400_000
 
 
 def string_cuts(docs: DataFrame, spec: Spec, n: int, total: int) -> Cuts:
-    """Quantiles of the leading bytes of a sample's anchors, at most SAMPLE_MOST of them."""
+    """Quantiles of the distinct leading bytes of a sample's anchors, at most SAMPLE_MOST of them."""
     if not spec.leading:
         return Cuts(n)
     values = min(SAMPLE_MOST, n * SAMPLE_OF_BUCKET)
@@ -551,8 +551,9 @@ def string_cuts(docs: DataFrame, spec: Spec, n: int, total: int) -> Cuts:
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(one_in)) == 0).select("text")
     found = some.mapInArrow(sampled, "a long, b long").orderBy("a", "b").limit(SAMPLE_MOST).toArrow()
     first, second = (found[c].to_numpy().view(np.uint64) ^ np.uint64(1 << 63) for c in ("a", "b"))
-    at = np.linspace(0, len(first), n + 1).astype(int)[1:-1] if len(first) else np.empty(0, int)
-    pairs = np.unique(np.stack([first[at], second[at]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
+    pairs = np.unique(np.stack([first, second], axis=1), axis=0)  # a group sends a string once, however often it occurs
+    at = np.unique(np.linspace(0, len(pairs), n + 1).astype(int)[1:-1])
+    pairs = pairs[at[at < len(pairs)]]
     return Cuts(len(pairs) + 1, pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
