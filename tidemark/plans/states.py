@@ -87,12 +87,31 @@ def q_acd_durations(spark, sf_dir):
     return M.acd(hours(spark, sf_dir))
 
 
-@query()
+def _mean(ms: int) -> str:
+    return f"avg(rv) OVER (PARTITION BY symbol ORDER BY close_time RANGE BETWEEN {ms} PRECEDING AND 1 PRECEDING)"
+
+
+def _det(*rows: str) -> str:
+    """Of a 3 x 3 matrix whose rows are lists of three names."""
+    a, b, c = (r.split() for r in rows)
+    return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+
+
+#: Three regressors: Cramer's rule on their covariances.
+_HAR = f"""{HEAD}, p AS (SELECT *, lag(close) OVER {O} AS pc FROM bars), q AS (SELECT symbol, close_time, power(({log('close')}) - ({log('pc')}), 2) AS rv FROM p),
+    x AS (SELECT symbol, rv AS y, {_mean(86_400_000)} AS a, {_mean(604_800_000)} AS b, {_mean(2_592_000_000)} AS c FROM q), k AS (SELECT * FROM x WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+    s AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM k GROUP BY 1),
+    d AS (SELECT *, {_det('aa ab ac', 'ab bb bc', 'ac bc cc')} AS d FROM s),
+    z AS (SELECT *, {_det('ay ab ac', 'by_ bb bc', 'cy bc cc')} / d AS b1, {_det('aa ay ac', 'ab by_ bc', 'ac cy cc')} / d AS b2, {_det('aa ab ay', 'ab bb by_', 'ac bc cy')} / d AS b3 FROM d)
+    SELECT symbol, n, round(my - b1 * ma - b2 * mb - b3 * mc, 5) + 0 AS b0, round(b1, 5) + 0 AS b1, round(b2, 5) + 0 AS b2, round(b3, 5) + 0 AS b3 FROM z"""
+
+
+@query(_HAR)
 def q_har_ols(spark, sf_dir):
     df = measured(spark, sf_dir).withColumn("rv", F.col("r1") * F.col("r1"))
     df = df.withColumns({n: W.time_mean("rv", "close_time", ms) for n, ms in (("day", 86_400_000), ("week", 604_800_000), ("month", 2_592_000_000))})
     out = M.ols(df, "rv", ["day", "week", "month"], ["symbol"])
-    return out.select("symbol", "n", *[r(c).alias(c) for c in ("b0", "b1", "b2", "b3")])
+    return out.select("symbol", "n", *[r(c, 5).alias(c) for c in ("b0", "b1", "b2", "b3")])
 
 
 @query()
