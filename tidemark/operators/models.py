@@ -49,9 +49,10 @@ def nelder_mead(f, x0: np.ndarray, steps: int = 400, tolerance: float = 1e-9) ->
     return points[int(np.argmin(values))]
 
 
-def _acd_psi(x: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
+def _acd_psi(x: np.ndarray, omega: float, alpha: float, beta: float, first: float) -> np.ndarray:
+    """Expected durations, each from those before; the first is given (the mean of the training prefix)."""
     psi = np.empty(len(x))
-    psi[0] = x.mean()
+    psi[0] = first
     for i in range(1, len(x)):
         psi[i] = omega + alpha * x[i - 1] + beta * psi[i - 1]
     return psi
@@ -76,13 +77,13 @@ def acd(bars: DataFrame, time: str = "close_time", train_share: float = 0.5) ->
 
         def loss(p: np.ndarray) -> float:
             omega, alpha, beta, shape = parts(p)
-            psi = np.maximum(_acd_psi(x[:cut], omega, alpha, beta), 1e-9)
+            psi = np.maximum(_acd_psi(x[:cut], omega, alpha, beta, x[:cut].mean()), 1e-9)
             scale = psi / math.gamma(1 + 1 / shape)
             r = x[:cut] / scale
             return float(-(np.log(shape / scale) + (shape - 1) * np.log(r) - r**shape).sum())
 
         omega, alpha, beta, shape = parts(nelder_mead(loss, np.array([-2.0, 1.0, 0.0]), 150))
-        out.loc[out.index[1:], "expected_minutes"] = _acd_psi(x, omega, alpha, beta)
+        out.loc[out.index[1:], "expected_minutes"] = _acd_psi(x, omega, alpha, beta, x[:cut].mean())
         out["alpha"], out["beta"], out["shape"] = alpha, beta, shape
         return out
 
