@@ -101,9 +101,12 @@ class ImbalanceBars(StatefulProcessor):
 
 
 def stateful_bars(trades: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """trades may be a stream or a batch; the state store must be RocksDB."""
+    """trades may be a stream or a batch; the state store must be RocksDB.
+
+    Timers only where the processor asks for them: with them a query that takes what is available never ends.
+    """
     own = trades.select("symbol", "transact_time", "agg_trade_id", "price", F.col("quantity").cast("double").alias("quantity"), "is_buyer_maker")
-    return own.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=getattr(processor, "output", BAR), outputMode="append", timeMode="ProcessingTime")
+    return own.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=getattr(processor, "output", BAR), outputMode="append", timeMode="ProcessingTime" if getattr(processor, "silent_ms", None) else "None")
 
 
 def tumbling_ohlcv(trades: DataFrame, width: str, late: str) -> DataFrame:
