@@ -52,7 +52,7 @@ FRAGMENTS = 16
 JOINED = 4
 PIVOT_ROUNDS = 2
 #: Classes of a list's cell in the last join.
-CELL = 1024
+CELL = 512
 #: Postings of a task of the last join, and the most tasks.
 POSTINGS_OF_TASK = 16_384
 PARTS_MOST = 100_000
