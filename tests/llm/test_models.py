@@ -365,6 +365,58 @@ def test_quality_scores_equal_a_plain_scorer(spark, labelled):
     assert quality.classify(df, labels).count() == len(rows) and quality.keep_good(df, labels).columns == df.columns
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Words, means and counts are those of all rows that are not held out, however many."""
+    import numpy as np
+
+    rows = spark.range(20_000).selectExpr("id as doc_id", "concat('plain text number ', id, if(id % 5 = 0, ' awful', ' nice')) as text", "cast(id % 5 > 0 as int) as quality", "0 as toxic").persist()
+    model = quality.fit(rows.select("doc_id", "text"), rows.select("doc_id", "quality", "toxic"))
+    taught = [i for i in range(20_000) if not plain.held_out(i)]
+    assert len(taught) > 15_000 and {"awful", "nice"} <= set(model.words)
+    x = np.array([quality.features(f"plain text number {i} {'nice' if i % 5 else 'awful'}", {})[0] for i in taught])
+    assert np.allclose(model.centre, x.mean(0), rtol=0, atol=1e-12) and np.allclose(model.scale, np.maximum(x.std(0), 0.05), rtol=0, atol=1e-9)
+
+
+def test_quality_by_tasks_and_by_the_driver_are_one(labelled):
+    import numpy as np
+
+    docs, labels = labelled
+    here, tasks = quality.fit(docs, labels), quality.fit(docs.repartition(7), labels, local_bytes=0)
+    assert here.words == tasks.words and np.allclose(here.weights, tasks.weights, rtol=0, atol=1e-6)
+    assert abs(here.threshold - tasks.threshold) < 1e-6 and abs(here.slope / tasks.slope - 1) < 1e-6
+
+
+def test_pair_sums_are_those_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(70, 5)) * 2, (np.arange(70) % 3 > 0).astype(np.int32)
+    of, words = np.repeat(np.arange(70), 2), rng.integers(0, 4, 140)
+    full = np.hstack((x, np.zeros((70, 4))))
+    np.add.at(full, (of, 5 + words), 1)
+    w = rng.normal(size=9)
+    blocks = [quality.Block(y[a:b], x[a:b], of[2 * a : 2 * b] - a, words[2 * a : 2 * b]) for a, b in ((0, 11), (11, 12), (12, 70))]
+    low, counts = quality.fold_here(blocks)(lambda b: quality.score_counts(b, w), quality.add_counts)
+    assert np.allclose(counts.sum(1), [(y == 0).sum(), (y == 1).sum()])
+    value, *slopes = quality.pair_sums(low, counts)
+    gap = (full[y == 1][:, None] - full[y == 0][None]).reshape(-1, 9)
+    assert abs(value - np.logaddexp(0, -gap @ w).mean()) < 2e-5
+    got = sum(quality.gradient_of(b, w, low, np.array(slopes)) for b in blocks)
+    assert np.allclose(got, -(gap / (1 + np.exp(gap @ w))[:, None]).mean(0), rtol=0, atol=1e-4)
+
+
+def test_threshold_by_tasks_and_by_the_driver_are_one(spark):
+    import numpy as np
+
+    none = np.empty(0, np.int32)
+    for raw, y in (([1.0, 1.0, 2.0, 3.0, 3.0], [0, 1, 0, 1, 1]), ([1.0, 2.0], [1, 0]), ([4.0, 5.0, 6.0], [0, 0, 0]), ([0.0, 1.0, 2.0, 3.0], [0, 1, 0, 1])):
+        x = np.zeros((len(raw), quality.N_DENSE))
+        x[:, 0] = raw
+        w = np.eye(1, quality.N_DENSE)[0]
+        blocks = spark.createDataFrame([tuple(bytearray(v.tobytes()) for v in (np.array(y, np.int32), x, np.zeros(len(raw), np.int32), none))], "y binary, x binary, n binary, words binary")
+        assert quality.place(blocks, lambda b: b, w) == quality.place_here([(np.array(raw), np.array(y))])
+
+
 def test_quality_without_labels(spark, labelled):
     docs, labels = labelled
     got = quality.classify(docs, labels.limit(0)).collect()
